@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -29,12 +31,14 @@ def drop_shared_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1
 
     Two passes over the text make (row key, position, hash) only; counting is partial before its
     shuffle and the text moves once, for reassembly. Hot lines make hot hashes on one side of a
-    sort-merge join, which AQE splits; the other side has one row for each frequent hash.
+    sort-merge join, which AQE splits, as the other side, one row for each frequent hash, is a table
+    of its own in the shared folder.
     """
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     row = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__t1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__t2")]
     keys = docs.select(F.explode(F.array_distinct(F.transform(lines, line_key))).alias("__key"))
     frequent = keys.where(F.char_length("__key") >= min_chars).select(*_hash(F.col("__key"))).groupBy("__h1", "__h2").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs).select("__h1", "__h2")
+    frequent = materialize(frequent, "frequent-lines")
     placed = docs.select(*row, F.posexplode(F.transform(lines, line_key)).alias("__pos", "__key"))
     placed = placed.where(F.char_length("__key") >= min_chars).select("__id", "__t1", "__t2", "__pos", *_hash(F.col("__key")))
     dropped = placed.join(frequent, ["__h1", "__h2"]).groupBy("__id", "__t1", "__t2").agg(F.collect_set("__pos").alias("__gone"))
