@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
-from .sql import LINE_DEDUP
+from . import decontaminate, language_id, line_dedup, packing, simhash
+from .sql import DECONTAMINATE, LINE_DEDUP
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(_read(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=3, radius=3)
+
+
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL = {
     "op6_line_dedup": LINE_DEDUP,
+    "op8_decontaminate": DECONTAMINATE,
 }
