@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ BUCKET_WINDOWS = 128
 #: Where the rest of a document, after its whole windows, is cut; smaller pieces even out windows better.
 CUTS = (256, 128, 64, 32, 16)
 #: Distinct strings between blanks whose ids a worker remembers.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_200_000
 _SLICE = 1 << 21
 
 
@@ -74,22 +77,31 @@ class Encoder:
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.entries = entries
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _ids(self, pieces: list[bytes]) -> list[np.ndarray]:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if len(self.known) + len(new) > self.entries:
-            self.known = {}
-            new = list(dict.fromkeys(pieces))
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Number of each known piece; ids of all, one after the other, and where each piece's start.
+        self.known: dict[bytes, int] = {}
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def _numbers(self, pieces: list[bytes]) -> list[int]:
+        """The numbers of pieces, which may repeat."""
+        if len(self.known) + len(pieces) > self.entries:
+            self._forget()
+        known = self.known
+        new = [p for p in dict.fromkeys(pieces) if p not in known]
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, np.uint32)
-        return [self.known[p] for p in pieces]
+                known[p] = len(known)
+                self.flat.extend(e.ids)
+                self.ends.append(len(self.flat))
+        return [known[p] for p in pieces]
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); raw holds the texts, at their n + 1 offsets."""
@@ -101,6 +113,10 @@ class Encoder:
         cut[1:] = blank[1:] & solid[:-1]
         # After a two-byte letter of U+00C0 to U+07FF, too: no white space is there.
         cut[2:] |= blank[2:] & (raw[1:-1] >= 128) & (raw[1:-1] < 192) & (raw[:-2] >= 0xC3) & (raw[:-2] < 0xE0)
+        # Words end before ASCII punctuation, but for what contractions and special tokens hold.
+        letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
+        point = solid & ~letter & ((raw < 48) | (raw > 57)) & (raw != 39) & (raw != 124)
+        cut[1:] |= point[1:] & letter[:-1]
         filled = at[:-1][np.diff(at) > 0]
         cut[filled] = True
         starts = np.flatnonzero(cut)
@@ -121,13 +137,18 @@ class Encoder:
             back = np.arange(len(starts))
             first = back
         data = raw.tobytes()
-        table = self._ids([data[s : s + n] for s, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)])
-        size = np.array([len(x) for x in table], np.int64)
-        flat = np.concatenate(table)
-        offset = np.cumsum(size) - size
-        ids = flat[ranges(offset[back], size[back])]
+        pieces = [data[s : s + n] for s, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)]
+        number = np.array(self._numbers(pieces), np.int64)[back]
+        ends, flat = np.array(self.ends, np.int64), np.array(self.flat, np.uint32)
+        begin, size = ends[number], ends[number + 1] - ends[number]
         of = np.searchsorted(at, starts, "right") - 1
-        return ids, np.bincount(of, size[back], len(at) - 1).astype(np.int64)
+        return flat[ranges(begin, size)], np.bincount(of, size, len(at) - 1).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of a worker process, which its tasks share."""
+    return Encoder(path)
 
 
 def _rest(length: int) -> list[int]:
@@ -183,7 +204,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = SEQUENCE_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         number = iter(range(first, first + (1 << 40)))
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         bucket = _Bucket(capacity, number)
         rows: list[tuple] = []
         id_type = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, packing, simhash, warc
+from . import decontaminate, language_id, line_dedup, packing, simhash, suffix_dedup, warc
 from .sql import DECONTAMINATE, LINE_DEDUP
 
 
@@ -29,6 +29,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), width=50)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op10_simhash": op10_simhash,
 }
