@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, packing, simhash, suffix_dedup, warc
+from . import ann, decontaminate, language_id, line_dedup, packing, simhash, suffix_dedup, warc
 from .sql import DECONTAMINATE, LINE_DEDUP
 
 
@@ -37,6 +37,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=3, radius=3)
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_ann": op9_ann,
     "op10_simhash": op10_simhash,
 }
 
