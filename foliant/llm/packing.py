@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,9 +21,9 @@ SEQUENCE_TOKENS = 1024
 BUCKET_WINDOWS = 128
 #: Where the rest of a document, after its whole windows, is cut; smaller pieces even out windows better.
 CUTS = (256, 128, 64, 32, 16)
-#: Distinct strings between blanks whose ids a worker remembers.
-CACHE_ENTRIES = 1_200_000
-_SLICE = 1 << 21
+#: Distinct pieces of text whose ids a worker remembers, about 70 bytes each.
+CACHE_ENTRIES = 1_000_000
+_SLICE = 1 << 20
 
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
@@ -73,7 +72,8 @@ class Encoder:
     """Token ids of many texts at once, by a byte-level BPE file of the tokenizers library.
 
     Such a tokenizer never joins what stands before a blank with the blank, so texts fall into pieces
-    at each blank after an ASCII character that is none; the tokenizer sees each distinct piece once.
+    at each blank after an ASCII character that is none, and at punctuation after an ASCII letter. The
+    tokenizer sees each distinct piece once; pieces of up to 32 bytes are remembered in sorted arrays.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -82,26 +82,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.entries = entries
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token, whose string has a character for each byte.
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        #: Number of each known piece; ids of all, one after the other, and where each piece's start.
-        self.known: dict[bytes, int] = {}
-        self.flat, self.ends = array("I"), array("q", [0])
-
-    def _numbers(self, pieces: list[bytes]) -> list[int]:
-        """The numbers of pieces, which may repeat."""
-        if len(self.known) + len(pieces) > self.entries:
-            self._forget()
-        known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                known[p] = len(known)
-                self.flat.extend(e.ids)
-                self.ends.append(len(self.flat))
-        return [known[p] for p in pieces]
+        #: Codes of the known pieces, sorted; their bytes as four words; where their ids are in flat.
+        self.codes, self.words = np.zeros(0, np.uint64), np.zeros((0, 4), np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each), by the tokenizer."""
+        sizes = np.zeros(len(pieces), np.int64)
+        parts: list[np.ndarray | None] = [None] * len(pieces)
+        # What starts with a blank and ends with another ASCII character can be joined: ids do not cross.
+        joint = [i for i, p in enumerate(pieces) if p[0] <= 32 and 32 < p[-1] < 127]
+        alone = set(range(len(pieces))).difference(joint)
+        for lo in range(0, len(joint), 512):
+            own = joint[lo : lo + 512]
+            ids = np.array(self.tokenizer.encode(b"".join(pieces[i] for i in own).decode(), add_special_tokens=False).ids, np.uint32)
+            at = np.concatenate([[0], np.cumsum(self.widths[ids])])
+            cuts = np.cumsum([0] + [len(pieces[i]) for i in own])
+            edges = np.searchsorted(at, cuts)
+            if at[-1] != cuts[-1] or (at[edges] != cuts).any():  # not a byte-level vocabulary
+                alone.update(own)
+                continue
+            for i, a, b in zip(own, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                parts[i] = ids[a:b]
+        rest = sorted(alone)
+        for lo in range(0, len(rest), 1024):
+            own = rest[lo : lo + 1024]
+            for i, e in zip(own, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in own], add_special_tokens=False), strict=True):
+                parts[i] = np.array(e.ids, np.uint32)
+        sizes[:] = [len(p) for p in parts]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), sizes
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where the ids are in flat from now on."""
+        n = len(self.flat)
+        self.flat = np.concatenate([self.flat, ids])
+        return n
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); raw holds the texts, at their n + 1 offsets."""
@@ -117,32 +141,53 @@ class Encoder:
         letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
         point = solid & ~letter & ((raw < 48) | (raw > 57)) & (raw != 39) & (raw != 124)
         cut[1:] |= point[1:] & letter[:-1]
-        filled = at[:-1][np.diff(at) > 0]
-        cut[filled] = True
+        cut[at[:-1][np.diff(at) > 0]] = True
         starts = np.flatnonzero(cut)
         lengths = np.diff(np.append(starts, len(raw)))
-        words = words_le(raw)
-        # Up to 16 bytes a piece is known by its two words; longer ones are taken one by one.
-        keep = np.append((np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1), np.uint64(2**64 - 1))
-        one = words[starts] & keep[np.minimum(lengths, 8)]
-        two = words[np.minimum(starts + 8, len(words) - 1)] & keep[np.clip(lengths - 8, 0, 8)]
-        with np.errstate(over="ignore"):
-            code = one * np.uint64(0x9E3779B185EBCA87) ^ (two + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F) ^ lengths.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-            code ^= code >> np.uint64(29)
-        code[lengths > 16] = np.arange(int((lengths > 16).sum()), dtype=np.uint64) | np.uint64(1 << 63)
-        code[lengths <= 16] &= np.uint64(2**63 - 1)
-        _, first, back = np.unique(code, return_index=True, return_inverse=True)
-        same = (one == one[first][back]) & (two == two[first][back]) & (lengths == lengths[first][back]) | (lengths > 16)
-        if not same.all():  # two pieces of one code: give each piece its own number
-            back = np.arange(len(starts))
-            first = back
+        if len(self.codes) > self.entries or len(self.flat) > 6 * self.entries:
+            self._forget()
         data = raw.tobytes()
-        pieces = [data[s : s + n] for s, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)]
-        number = np.array(self._numbers(pieces), np.int64)[back]
-        ends, flat = np.array(self.ends, np.int64), np.array(self.flat, np.uint32)
-        begin, size = ends[number], ends[number + 1] - ends[number]
+        begin, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = lengths <= 32
+        if short.any():
+            begin[short], size[short] = self._known(data, words_le(raw), starts[short], lengths[short])
+        if not short.all():
+            ids, own = self._ids([data[s : s + n] for s, n in zip(starts[~short].tolist(), lengths[~short].tolist(), strict=True)])
+            begin[~short], size[~short] = self._keep(ids) + np.cumsum(own) - own, own
         of = np.searchsorted(at, starts, "right") - 1
-        return flat[ranges(begin, size)], np.bincount(of, size, len(at) - 1).astype(np.int64)
+        return self.flat[ranges(begin, size)], np.bincount(of, size, len(at) - 1).astype(np.int64)
+
+    def _known(self, data: bytes, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in flat, number of ids) of pieces of up to 32 bytes, looked up or learned."""
+        mask = np.append((np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1), np.uint64(2**64 - 1))
+        held = np.stack([words[np.minimum(starts + 8 * k, len(words) - 1)] & mask[np.clip(lengths - 8 * k, 0, 8)] for k in range(4)], axis=1)
+        with np.errstate(over="ignore"):
+            code = lengths.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+            for k in range(4):
+                code = (code ^ held[:, k]) * np.uint64(0x9E3779B185EBCA87)
+                code ^= code >> np.uint64(32)
+        codes, first, back = np.unique(code, return_index=True, return_inverse=True)
+        if (held[first][back] != held).any() or (lengths[first][back] != lengths).any():
+            # Two pieces of one code: each goes by itself this once.
+            ids, own = self._ids([data[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
+            return self._keep(ids) + np.cumsum(own) - own, own
+        place = np.searchsorted(self.codes, codes)
+        there = np.minimum(place, max(0, len(self.codes) - 1))
+        taken = self.codes[there] == codes if len(self.codes) else np.zeros(len(codes), bool)
+        hit = taken.copy()
+        hit[taken] = (self.words[there[taken]] == held[first[taken]]).all(axis=1)
+        begin, size = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        begin[hit], size[hit] = self.begin[there[hit]], self.size[there[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            at = first[new]
+            ids, own = self._ids([data[s : s + n] for s, n in zip(starts[at].tolist(), lengths[at].tolist(), strict=True)])
+            begin[new], size[new] = self._keep(ids) + np.cumsum(own) - own, own
+            learn = new[~taken[new]]
+            self.codes = np.insert(self.codes, place[learn], codes[learn])
+            self.words = np.insert(self.words, place[learn], held[first[learn]], axis=0)
+            self.begin, self.size = np.insert(self.begin, place[learn], begin[learn]), np.insert(self.size, place[learn], size[learn])
+        return begin[back], size[back]
 
 
 @lru_cache(maxsize=1)
