@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+DATA_DIR = "/root/testdata"
+
 
 def local_session(cores: int | str = 8, name: str = "foliant") -> SparkSession:
     """A local session with the settings the engine assumes (UTC, AQE on)."""
