@@ -25,8 +25,8 @@ BLOCK_ROWS = 20_000
 #: Queries whose exact answer says how many leaves a search must open, and the share of their
 #: neighbours that must be found.
 CALIBRATION_QUERIES, CALIBRATION_RECALL = 64, 0.96
-#: Leaves that are dealt to one task.
-LEAVES_TOGETHER = 16
+#: Groups that leaves are dealt to: so many at least, and more where a group would hold more rows.
+GROUPS, GROUP_ROWS = 32, 200_000
 
 
 @dataclass
@@ -209,13 +209,16 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, trees: int = TR
 
     indexed = materialize(rows.mapInArrow(place, "tree int, leaf int, vec_id long, v binary"), "leaves")
     most = _calibrate(rows.where(F.col("vec_id") % every == 0), rows, planted, k, recall)
-    sizes = indexed.groupBy("tree", "leaf").count()
+    indexed = indexed.select((F.col("leaf") * trees + F.col("tree")).alias("leaf"), "vec_id", "v")
+    groups = max(GROUPS, math.ceil(count * trees / GROUP_ROWS))
     # The number of leaves is bounded by the sample; only large ones are dealt out.
-    big = {(r["tree"], r["leaf"]): math.ceil(r["count"] / BLOCK_ROWS) for r in sizes.where(F.col("count") > BLOCK_ROWS).collect()}
-    blocks = F.create_map(*[F.lit(z) for (t, leaf), n in big.items() for z in (f"{t}/{leaf}", n)]) if big else None
-    together = F.floor(F.col("leaf") / LEAVES_TOGETHER).cast("int")
-    salt = F.lit(0) if blocks is None else F.pmod(F.xxhash64("vec_id", F.lit(5)), F.coalesce(F.try_element_at(blocks, F.concat_ws("/", "tree", "leaf")), F.lit(1))).cast("int")
-    held = indexed.select("tree", together.alias("grove"), salt.alias("block"), "leaf", "vec_id", "v")
+    sizes = indexed.groupBy("leaf").count().where(F.col("count") > BLOCK_ROWS)
+    big = {r["leaf"]: math.ceil(r["count"] / BLOCK_ROWS) for r in sizes.collect()}
+    salt = F.lit(0)
+    if big:
+        blocks = F.create_map(*[F.lit(z) for pair in big.items() for z in pair])
+        salt = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.coalesce(F.try_element_at(blocks, F.col("leaf")), F.lit(1))).cast("int")
+    held = indexed.select(F.pmod("leaf", F.lit(groups)).cast("int").alias("grove"), salt.alias("block"), "leaf", "vec_id", "v")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = planted.value
@@ -224,17 +227,18 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, trees: int = TR
             out = []
             for row, lifted, query_id in zip(x, f.lift(x) if len(x) else x, batch.column(0).to_pylist(), strict=True):
                 lifted[-1] = 0  # a query is not lifted: only its product with the vector counts
-                groves: dict[tuple[int, int, int], list[int]] = {}
+                groves: dict[tuple[int, int], list[int]] = {}
                 for t, leaf in f.search(lifted, most):
-                    for b in range(big.get((t, leaf), 1)):
-                        groves.setdefault((t, leaf // LEAVES_TOGETHER, b), []).append(leaf)
+                    leaf = leaf * trees + t
+                    for b in range(big.get(leaf, 1)):
+                        groves.setdefault((leaf % groups, b), []).append(leaf)
                 data = row.tobytes()
-                out += [(t, g, b, np.array(sorted(leaves), np.int32).tobytes(), query_id, data) for (t, g, b), leaves in groves.items()]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["tree", "grove", "block", "leaves", "query_id", "v"])
+                out += [(g, b, np.array(sorted(leaves), np.int32).tobytes(), query_id, data) for (g, b), leaves in groves.items()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["grove", "block", "leaves", "query_id", "v"])
 
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, "tree int, grove int, block int, leaves binary, query_id long, v binary")
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, "grove int, block int, leaves binary, query_id long, v binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -260,7 +264,7 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, trees: int = TR
         keep = np.arange(len(a)) - np.searchsorted(a, a) < k
         return pa.table({"query_id": a[keep], "vec_id": b[keep], "score": s[keep]})
 
-    keys = ["tree", "grove", "block"]
+    keys = ["grove", "block"]
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 19
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -35,9 +38,15 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, executors may go."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    # The shuffle files of this write are of no use after it.
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clean_up(spark: SparkSession) -> None:

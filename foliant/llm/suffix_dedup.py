@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ WIDTH = 50
 GRAM = 24
 #: Bytes of text of one part of the corpus, and of one numpy step.
 PART_BYTES = 8 << 20
-_STEP = 1 << 20
+_STEP = 1 << 19
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _NONE = np.int64(np.iinfo(np.int64).max)
 
@@ -95,8 +96,35 @@ def _long_slices(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
             yield lo, raw, at, 0
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.decompress(data)
+
+
+def small(values: np.ndarray) -> bytes:
+    """Integers as differences of the least width that holds them: a digit for the width, the first, the rest."""
+    step = np.diff(values)
+    kind = next((k for k in ("i1", "<i2", "<i4") if not len(step) or np.abs(step).max() <= np.iinfo(k).max), "<i8")
+    return kind[-1].encode() + values[:1].astype("<i8").tobytes() + step.astype(kind).tobytes()
+
+
+def unsmall(data: bytes) -> np.ndarray:
+    """What small() has made."""
+    size = int(data[:1])
+    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], "<i8"), np.frombuffer(data[9:], f"<i{size}").astype(np.int64)])) if len(data) > 1 else np.zeros(0, np.int64)
+
+
+def anchor_codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 further bits of anchors' hashes. Two hashes of one code only cost work, never a result."""
+    n = np.uint64(buckets)
+    return (hashes % n) << np.uint64(32) | (hashes // n) & np.uint64(0xFFFFFFFF)
+
+
 def _anchor_rows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(bucket, hashes, docs): for each slice and bucket the anchors' hashes, once for each document."""
+    """(bucket, hashes, docs): for each slice and bucket the anchors' codes, once for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,19 +132,18 @@ def _anchor_rows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             got_h, got_d, size = [], [], 0
 
             def out() -> pa.RecordBatch:
-                h, d = np.concatenate(got_h), np.concatenate(got_d)
-                order = np.lexsort((d, h))
+                h, d = anchor_codes(np.concatenate(got_h), buckets), np.concatenate(got_d)
+                order = np.lexsort((h, d, h >> np.uint64(32)))
                 h, d = h[order], d[order]
                 keep = np.ones(len(h), bool)
                 keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 h, d = h[keep], d[keep]
-                b = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(b, kind="stable")
-                h, d, b = h[order], d[order], b[order]
+                b = (h >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(b)) + 1
                 edges = [0, *cuts.tolist(), len(h)]
+                pieces = list(zip(edges[:-1], edges[1:], strict=True))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([int(b[i]) for i in edges[:-1]], pa.int32()), pa.array([h[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]), pa.array([d[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)])],
+                    [pa.array([int(b[i]) for i, _ in pieces], pa.int32()), pa.array([h[i:j].astype("<u4").tobytes() for i, j in pieces]), pa.array([small(d[i:j]) for i, j in pieces])],
                     ["bucket", "hashes", "docs"],
                 )
 
@@ -138,9 +165,10 @@ def _anchor_rows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 def _shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
     """(part, hashes, docs): for each part of the corpus the shared anchors of its documents."""
 
-    def run(table: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-        d = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), "<u4").astype(np.uint64)
+        h |= np.uint64(key[0].as_py()) << np.uint64(32)
+        d = np.concatenate([unsmall(x) for x in table.column("docs").to_pylist()])
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         # A document's hash may come twice if a long text came in pieces.
@@ -294,8 +322,8 @@ def _part_runs(width: int, buckets: int):
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        names = ["bucket", "part", "prefix", "length", "rest", "before", "before_length", "n_windows", "first", "of", "places", "ids"]
-        types = [pa.int32(), pa.int32()] + [pa.binary()] * 10
+        names = ["bucket", "part", "prefix", "length", "rest", "before", "before_length", "first", "of", "places", "ids"]
+        types = [pa.int32(), pa.int32()] + [pa.binary()] * 9
         empty = pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
         if not right.num_rows or not left.num_rows:
             return empty
@@ -308,8 +336,9 @@ def _part_runs(width: int, buckets: int):
                 begins, counts, anchors, hashes = spans(raw, at, width)
                 if not len(begins):
                     continue
-                at_known = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                keep = np.flatnonzero(known[at_known] == hashes)
+                codes = anchor_codes(hashes, buckets)
+                at_known = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                keep = np.flatnonzero(known[at_known] == codes)
                 row = np.searchsorted(at, begins, "right") - 1
                 data = raw.tobytes()
                 base = at[row] - start
@@ -320,7 +349,7 @@ def _part_runs(width: int, buckets: int):
                     n = found.get(content)
                     if n is None:
                         n = found[content] = len(found)
-                        bucket_of.append(int(hashes[i] % np.uint64(buckets)))
+                        bucket_of.append(int(codes[i] >> np.uint64(32)))
                         firsts.append(int(doc[i]))
                     elif doc[i] < firsts[n]:
                         firsts[n] = int(doc[i])
@@ -347,9 +376,9 @@ def _part_runs(width: int, buckets: int):
             occ = order[edges[bucket] : edges[bucket + 1]]
             lengths, b_lengths = np.array([len(s) for s in suffixes], np.uint8), np.array([len(s) for s in before], np.uint8)
             for name, value in (
-                ("bucket", bucket), ("part", part), ("prefix", prefix.tobytes()), ("length", lengths.tobytes()), ("rest", rest), ("before", b"".join(before)),
-                ("before_length", b_lengths.tobytes()), ("n_windows", (lengths.astype(int) + b_lengths - width + 1).astype(np.uint8).tobytes()), ("first", firsts[own].tobytes()),
-                ("of", rank[of[occ]].astype(np.uint32).tobytes()), ("places", places[occ].astype(np.int64).tobytes()), ("ids", ids[occ].astype(np.int64).tobytes()),
+                ("bucket", bucket), ("part", part), ("prefix", squeeze(prefix.tobytes())), ("length", squeeze(lengths.tobytes())), ("rest", squeeze(rest)), ("before", squeeze(b"".join(before))),
+                ("before_length", squeeze(b_lengths.tobytes())), ("first", squeeze(firsts[own].tobytes())),
+                ("of", squeeze(rank[of[occ]].astype(np.uint32).tobytes())), ("places", squeeze(small(places[occ]))), ("ids", squeeze(small(ids[occ]))),
             ):
                 rows[name].append(value)
         return pa.table({n: pa.array(rows[n], t) for n, t in zip(names, types, strict=True)})
@@ -403,7 +432,7 @@ def _bucket_verdicts(width: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         rows = sorted(table.to_pylist(), key=lambda r: r["part"])
-        runs = [Run(r["prefix"], r["length"], r["rest"], r["before"], r["before_length"], np.frombuffer(r["first"], np.int64)) for r in rows]
+        runs = [Run(*(unsqueeze(r[c]) for c in ("prefix", "length", "rest", "before", "before_length")), np.frombuffer(unsqueeze(r["first"]), np.int64)) for r in rows]
         verdicts: list[list] = [[] for _ in runs]
         group: list[tuple[int, int, bytes, bytes, int]] = []
         for r, shared in merge(runs):
@@ -436,8 +465,8 @@ def _removals(width: int):
                 counts = np.frombuffer(row["counts"], np.uint8).astype(np.int64)
                 lengths = np.frombuffer(row["lengths"], np.uint8).astype(np.int64)
                 owners = np.frombuffer(row["owners"], np.int64)
-                of = np.frombuffer(row["of"], np.uint32).astype(np.int64)
-                places, ids = np.frombuffer(row["places"], np.int64), np.frombuffer(row["ids"], np.int64)
+                of = np.frombuffer(unsqueeze(row["of"]), np.uint32).astype(np.int64)
+                places, ids = unsmall(unsqueeze(row["places"])), unsmall(unsqueeze(row["ids"]))
                 first = np.cumsum(counts) - counts
                 # Where each stretch starts among the windows of its suffix.
                 before = np.cumsum(lengths) - lengths
@@ -515,7 +544,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, part_bytes: int = PAR
     anchors = _shared_anchors(_anchor_rows(known, width, buckets), parts)
     anchors = materialize(anchors, "anchors")
     placed = _with_part(known, parts)
-    runs = placed.groupBy("part").cogroup(anchors.groupBy("part")).applyInArrow(_part_runs(width, buckets), "bucket int, part int, prefix binary, length binary, rest binary, before binary, before_length binary, n_windows binary, first binary, of binary, places binary, ids binary")
+    runs = placed.groupBy("part").cogroup(anchors.groupBy("part")).applyInArrow(_part_runs(width, buckets), "bucket int, part int, prefix binary, length binary, rest binary, before binary, before_length binary, first binary, of binary, places binary, ids binary")
     runs = materialize(runs, "runs")
     sent = runs.select("bucket", "part", "prefix", "length", "rest", "before", "before_length", "first")
     verdicts = materialize(sent.groupBy("bucket").applyInArrow(_bucket_verdicts(width), "bucket int, part int, counts binary, lengths binary, owners binary"), "verdicts")
