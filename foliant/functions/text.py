@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # What counts as a token, as a CJK character and as an icon marker.
 CJK = r"\x{3400}-\x{9fff}"
-TOKEN_PATTERN = rf"[{CJK}]|[A-Za-z0-9_]+|[^\sA-Za-z0-9_{CJK}]"
+TOKEN_PATTERN = rf"[{CJK}]|[A-Za-z0-9_]+|[^\s\p{{Z}}\x1c-\x1f\x{{85}}A-Za-z0-9_{CJK}]"
 PYTHON_TOKEN = re.compile(r"[㐀-鿿]|[A-Za-z0-9_]+|[^\sA-Za-z0-9_㐀-鿿]")
 ICON_PATTERN = r"\[Icon:[^\]]*\]"
 TRUNCATION_MARKER = "\n[...truncated...]\n"

@@ -329,7 +329,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def route_ablation(spark: SparkSession, sf: str) -> DataFrame:
     routes = {"dense": _dense(spark, sf).withColumnRenamed("vec_id", "id"), "sparse": _sparse(spark, sf).withColumnRenamed("doc_id", "id")}
-    parts = [R.top(R.fuse({r: routes[r] for r in R.ROUTE_MODES[m]}).select("query_id", "id", F.round("score", 8).alias("score")), 3, tie="id").withColumn("mode", F.lit(m)) for m in ("text", "dense", "sparse")]
+    parts = [R.top(R.fuse({r: routes[r] for r in R.ROUTE_MODES[m]}).select("query_id", "id", F.round("score", 8).alias("score")), 3, tie="id").withColumn("mode", F.lit(m)) for m in ("text", "text-dense-only", "text-sparse-only")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -1,6 +1,6 @@
 """DuckDB SQL of the registered queries, formulated on its own where another form exists."""
 
-_TOKEN = r"[\x{3400}-\x{9fff}]|[A-Za-z0-9_]+|[^\sA-Za-z0-9_\x{3400}-\x{9fff}]"
+_TOKEN = r"[\x{3400}-\x{9fff}]|[A-Za-z0-9_]+|[^\s\p{Z}\x1c-\x1f\x{85}A-Za-z0-9_\x{3400}-\x{9fff}]"
 _COST = rf"greatest(1, len(regexp_extract_all(text, '{_TOKEN}')))"
 _APPROX = r"(len(regexp_extract_all(text, '[\x{3400}-\x{9fff}]')) + ceil((length(text) - len(regexp_extract_all(text, '[\x{3400}-\x{9fff}]'))) / 4.0))::BIGINT"
 _LINES = """lines AS (
@@ -231,7 +231,7 @@ ORACLE_SQL = {
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, id, round(dense, 8) AS dense, round(sparse, 8) AS sparse, visual, round(score, 8) AS score FROM fused",
     "route_ablation": f"""WITH {_FUSED}, m AS (
           SELECT query_id, id, round(dense + sparse, 8) AS score, 'text' AS mode FROM fused
-          UNION ALL SELECT query_id, id, round(dense, 8), 'dense' FROM fused WHERE dense > 0 UNION ALL SELECT query_id, id, round(sparse, 8), 'sparse' FROM fused WHERE sparse > 0
+          UNION ALL SELECT query_id, id, round(dense, 8), 'text-dense-only' FROM fused WHERE dense > 0 UNION ALL SELECT query_id, id, round(sparse, 8), 'text-sparse-only' FROM fused WHERE sparse > 0
         ) SELECT query_id, id, score, (row_number() OVER (PARTITION BY mode, query_id ORDER BY score DESC, id) - 1)::INT AS rank, mode FROM m QUALIFY rank < 3""",
     "score_prune": f"WITH {_RANKED} SELECT query_id, id, score FROM ranked QUALIFY score >= max(score) OVER (PARTITION BY query_id) * 0.8",
     "soft_budget": f"WITH {_RANKED}, {_budget(10, 2000)} SELECT query_id, id, position::INT AS position, used_before FROM chosen",
