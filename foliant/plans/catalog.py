@@ -178,7 +178,7 @@ def cross_page_tables(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def outline_path(spark: SparkSession, sf: str) -> DataFrame:
     lines = B.blocks_from_text(table(spark, sf, "documents"))
-    outline = lines.select(F.col("doc_id").alias("source"), F.col("block_idx").cast("bigint").alias("outline_index"), (1 + F.char_length("text") % 3).alias("level"), F.left("text", F.lit(8)).alias("title"))
+    outline = lines.select(F.col("doc_id").alias("source"), F.col("block_idx").cast("bigint").alias("outline_index"), (1 + F.char_length("text") % 3).alias("level"), F.col("text").alias("title"))
     return B.outline_paths(outline).select("source", "outline_index", "section_path")
 
 
@@ -213,26 +213,27 @@ def nearest_target(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def context_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     lines = B.blocks_from_text(table(spark, sf, "documents")).withColumn("tokens", X.approx_tokens("text"))
-    return B.context_neighbours(lines, lines.where("block_idx % 7 = 3"), key="doc_id", budget=160)
+    return B.context_neighbours(lines, lines.where("char_length(text) < 60"), key="doc_id", budget=160)
 
 
 @query
 def truncated_contexts(spark: SparkSession, sf: str) -> DataFrame:
     lines = B.blocks_from_text(table(spark, sf, "documents"))
-    return B.truncated_contexts(lines, lines.where("block_idx = 2"), key="doc_id", budget=160)
+    return B.truncated_contexts(lines, lines.where("char_length(text) < 25"), key="doc_id", budget=160)
 
 
 @query
 def region_explode(spark: SparkSession, sf: str) -> DataFrame:
-    c = C.roll_up(_chunked(spark, sf), key="doc_id", order="block_idx").where("chunk_idx < 3")
+    c = C.roll_up(_chunked(spark, sf), key="doc_id", order="block_idx")
     return c.select("chunk_id", F.posexplode(F.split("block_indices", r"\|")).alias("pos", "b"), "token_count").select("chunk_id", "pos", F.col("b").cast("long").alias("block_idx"), F.when(F.col("pos") == 0, F.col("token_count")).alias("label_tokens"))
 
 
 @query
 def subset_closure(spark: SparkSession, sf: str) -> DataFrame:
     t = _tables(spark, sf)
-    icons = t.where("block_idx % 11 = 0").select("source", F.col("block_idx").alias("icon_idx"), (F.col("block_idx") + 1).alias("target_idx"))
-    pages = t.where("page_idx % 4 = 1").select("source", "page_idx").distinct()
+    kinds = table(spark, sf, "events").select(F.col("event_id").alias("block_idx"), "event_type")
+    icons = t.join(kinds.where("event_type = 'click'"), "block_idx").select("source", F.col("block_idx").alias("icon_idx"), (F.col("block_idx") + 1).alias("target_idx"))
+    pages = t.join(kinds.where("event_type = 'error'"), "block_idx").select("source", "page_idx").distinct()
     return B.subset_closure(t, pages, B.continuation_map(t), icons)
 
 
@@ -252,19 +253,20 @@ def tag_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def replace_by_source(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return P.replace_by_source(d.where("doc_id % 3 <> 0"), d.where("source IN ('src1', 'src2') AND doc_id % 2 = 0").withColumn("n_chars", F.col("n_chars") + 1), source="source")
+    return P.replace_by_source(d, d.where("source IN ('src1', 'src2') AND n_chars > 1000").withColumn("n_chars", F.col("n_chars") + 1), source="source")
 
 
 @query
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
-    return P.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), key="o_custkey", order="o_orderkey")
+    o = table(spark, sf, "orders")
+    pick = lambda c: o.where(c).select("o_custkey", "o_orderkey")
+    return P.upsert(pick("o_orderstatus = 'F'"), pick("o_orderstatus <> 'F'"), key="o_custkey", order="o_orderkey")
 
 
 @query
 def page_rollup(spark: SparkSession, sf: str) -> DataFrame:
     c = C.roll_up(_chunked(spark, sf), key="doc_id", order="block_idx")
-    return P.page_payloads(c.select("doc_id", "chunk_idx", "chunk_id", F.left("content", F.lit(10)).alias("section"), F.sequence("page_start", "page_end").alias("pages")), source="doc_id")
+    return P.page_payloads(c.select("doc_id", "chunk_idx", "chunk_id", F.col("token_count").cast("string").alias("section"), F.sequence("page_start", "page_end").alias("pages")), source="doc_id")
 
 
 @query
@@ -285,13 +287,18 @@ def pending_sources(spark: SparkSession, sf: str) -> DataFrame:
 # --- retrieval -----------------------------------------------------------------------------------------------
 
 
+def _vector_queries(e: DataFrame) -> DataFrame:
+    """Every fiftieth vector asks; all vectors answer."""
+    return e.where("vec_id % 50 = 0").select(F.floor(F.col("vec_id") / 50).alias("query_id"), "embedding")
+
+
 def _dense(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return R.dense_topk(e, e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), k)
+    return R.dense_topk(e, _vector_queries(e), k)
 
 
 def _sparse(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    return R.bm25_topk(table(spark, sf, "documents"), table(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k)
+    return R.bm25_topk(table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k)
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,7 +324,7 @@ def sparse_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def maxsim_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    tokens = e.where("vec_id < 4").select((F.col("vec_id") % 2).alias("query_id"), F.col("vec_id").alias("token_idx"), "embedding")
+    tokens = _vector_queries(e).select((F.col("query_id") % 2).alias("query_id"), F.col("query_id").alias("token_idx"), "embedding")
     return R.maxsim_topk(e.select(F.floor(F.col("vec_id") / 10).alias("page_id"), "embedding"), tokens, 10)
 
 
@@ -346,8 +353,8 @@ def soft_budget(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def context_text(spark: SparkSession, sf: str) -> DataFrame:
     chosen = R.soft_budget(_ranked(spark, sf), top_k=3, budget=1000, order=[F.desc("score"), "id"])
-    queries = table(spark, sf, "benchmark").where("item_id < 7").select(F.col("item_id").alias("query_id"))
-    block = R.context_block(F.col("source"), F.col("id"), F.col("source"), F.left("text", F.lit(50)), F.lit(0.0))
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    block = R.context_block(F.col("source"), F.col("id"), F.col("source"), F.col("text"), F.lit(0.0))
     return R.context_text(chosen, queries, block=block)
 
 
@@ -355,8 +362,9 @@ def context_text(spark: SparkSession, sf: str) -> DataFrame:
 def visual_bonus(spark: SparkSession, sf: str) -> DataFrame:
     direct = _fused(spark, sf).select("query_id", F.lit("s").alias("source"), F.col("id").cast("string").alias("chunk_id"), "dense", "sparse", (F.col("dense") + F.col("sparse")).alias("direct"))
     e = table(spark, sf, "embeddings")
-    hits = e.where("vec_id < 25").select((F.col("vec_id") % 5).alias("query_id"), F.lit("s").alias("source"), F.col("label").alias("page_idx"), (2.5 / (61 + F.floor(F.col("vec_id") / 5))).alias("visual"))
-    pages = e.where("vec_id < 200").select(F.lit("s").alias("source"), F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").alias("page_idx"), (F.col("vec_id") % 3 == 0).alias("listed"), (F.col("vec_id") % 4).alias("here"))
+    page = F.floor(F.col("vec_id") / 10).alias("page_idx")
+    hits = e.select((F.col("vec_id") % 10).alias("query_id"), F.lit("s").alias("source"), page, (2.5 / (61 + F.floor(F.col("vec_id") / 10))).alias("visual"))
+    pages = e.select(F.lit("s").alias("source"), F.col("vec_id").cast("string").alias("chunk_id"), page, (F.col("vec_id") % 3 == 0).alias("listed"), (F.col("vec_id") % 4).alias("here"))
     fit = G.box_alignment(F.lit(True), F.col("listed"), F.col("here"), F.lit(4))
     out = R.with_visual_bonus(direct, hits, pages, alignment=fit)
     return out.select("query_id", "chunk_id", *[F.round(c, 8).alias(c) for c in ("direct", "visual", "score")])
@@ -377,9 +385,8 @@ def image_refs_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 def _similarity(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    tokens = e.where("vec_id < 4").select(F.col("vec_id").alias("query_id"), "embedding")
-    patches = e.where("vec_id < 160")
-    s = R.dense_topk(patches, tokens, 160)
+    # A rank beyond all rows keeps the whole matrix.
+    s = R.dense_topk(e, _vector_queries(e), 1 << 30)
     return s.select(F.floor(F.col("vec_id") / 16).alias("page_id"), F.col("query_id").alias("token_idx"), (F.col("vec_id") % 16).alias("patch_idx"), "score")
 
 
@@ -390,11 +397,12 @@ def patch_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def patch_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
     evidence = R.token_patches(_similarity(spark, sf), 3).withColumn("patch", G.patch_box(F.col("patch_idx"), 4, 4))
-    boxes = spark.range(10).select(F.col("id").alias("page_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk_idx"))
+    boxes = e.select(F.floor(F.col("vec_id") / 16).alias("page_id")).distinct().select("page_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk_idx"))
     x = F.col("chunk_idx") * 300.0
     boxes = boxes.withColumn("box", F.struct(x.alias("x0"), F.lit(0.0).alias("y0"), (x + 350.0).alias("x1"), F.lit(700.0).alias("y1")))
-    return R.align_chunks(evidence, boxes, n_tokens=4, overlap=G.overlap_ratio(F.col("patch"), F.col("box")))
+    return R.align_chunks(evidence, boxes, n_tokens=_vector_queries(e).count(), overlap=G.overlap_ratio(F.col("patch"), F.col("box")))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------
@@ -439,8 +447,9 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), "label")
-    gold = q.where("query_id <> 3").join(e.where("vec_id < 60").withColumnRenamed("vec_id", "id"), "label").select("query_id", "id")
+    q = e.where("vec_id % 50 = 0").select(F.floor(F.col("vec_id") / 50).alias("query_id"), "label")
+    # One query has no gold.
+    gold = q.where("query_id <> 3").join(e.withColumnRenamed("vec_id", "id"), "label").select("query_id", "id")
     return E.ranking_metrics(_hits(spark, sf), gold, q)
 
 
@@ -482,7 +491,7 @@ def answer_summary(spark: SparkSession, sf: str) -> DataFrame:
 def archived_contexts(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     old = o.select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 7).cast("double").alias("retrieval"))
-    return E.rescore_archived(old, o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 11).cast("double").alias("latency")))
+    return E.rescore_archived(old, o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 11).cast("double").alias("latency")))
 
 
 # --- runs -----------------------------------------------------------------------------------------------------
@@ -551,7 +560,7 @@ def run_grid(spark: SparkSession, sf: str) -> DataFrame:
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     k = F.col("doc_id")
-    text = F.concat(F.when(k % 5 == 0, "[Table: a] ").when(k % 5 == 1, "[Image caption: b] Step 1 ").when(k % 5 == 2, "[Image description: c] ").when(k % 5 == 3, "Step 2 ").otherwise(""), F.left("text", F.lit(40)))
+    text = F.concat(F.when(k % 5 == 0, "[Table: a] ").when(k % 5 == 1, "[Image caption: b] Step 1 ").when(k % 5 == 2, "[Image description: c] ").when(k % 5 == 3, "Step 2 ").otherwise(""), "text")
     return d.select(k.alias("chunk_no"), F.concat(F.col("source"), F.lit("/"), (k % 37).cast("string")).alias("section"), S.query_type(text).alias("query_type"))
 
 
@@ -630,7 +639,7 @@ def anomalies(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def decision_overlay(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    by_hand = d.where("doc_id % 10 = 0").select("doc_id", F.lit("xx").alias("lang"))
+    by_hand = table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit("xx").alias("lang"))
     return U.overlay(d, by_hand, on="doc_id", columns=["lang"])
 
 

@@ -45,15 +45,15 @@ pairs AS (
 _DENSE = """dense AS (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank
   FROM (
-    SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings q, embeddings v WHERE q.vec_id < 5
+    SELECT q.vec_id // 50 AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0
   ) QUALIFY rank < 10
 )"""
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')"
 _SPARSE = f"""words AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
-terms AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark WHERE item_id < 5),
+terms AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark),
 tf AS MATERIALIZED (
   SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM words)
   WHERE term IN (SELECT term FROM terms) GROUP BY doc_id, dl, term
@@ -92,9 +92,9 @@ def _budget(k: int, budget: int) -> str:
 
 _SIMILARITY = """top AS (
   SELECT page_id, token_idx, patch_idx, score FROM (
-    SELECT v.vec_id // 16 AS page_id, q.vec_id AS token_idx, v.vec_id % 16 AS patch_idx,
+    SELECT v.vec_id // 16 AS page_id, q.vec_id // 50 AS token_idx, v.vec_id % 16 AS patch_idx,
       round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings q, embeddings v WHERE q.vec_id < 4 AND v.vec_id < 160
+    FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0
   ) QUALIFY row_number() OVER (PARTITION BY page_id, token_idx ORDER BY score DESC, patch_idx) <= 3
 )"""
 
@@ -173,7 +173,7 @@ ORACLE_SQL = {
     "continuation_groups": f"WITH {_TABLES} SELECT source, block_idx, master_idx FROM pairs",
     "continuation_members": f"WITH {_TABLES} SELECT source, master_idx, string_agg(block_idx::VARCHAR, '|' ORDER BY block_idx) AS members FROM pairs GROUP BY source, master_idx",
     "cross_page_tables": f"WITH {_TABLES} SELECT source, master_idx, count(DISTINCT page_idx) + 1 AS span_pages FROM pairs GROUP BY source, master_idx",
-    "outline_path": f"""WITH RECURSIVE {_LINES}, o AS (SELECT doc_id AS source, block_idx, 1 + length(text) % 3 AS level, left(text, 8) AS title FROM lines),
+    "outline_path": f"""WITH RECURSIVE {_LINES}, o AS (SELECT doc_id AS source, block_idx, 1 + length(text) % 3 AS level, text AS title FROM lines),
         f AS (
           SELECT source, block_idx, [title] AS path FROM o WHERE block_idx = 0
           UNION ALL SELECT o.source, o.block_idx, list_append(f.path[1 : o.level - 1], o.title) FROM f JOIN o ON o.source = f.source AND o.block_idx = f.block_idx + 1
@@ -201,22 +201,22 @@ ORACLE_SQL = {
         r AS (SELECT *, round(CASE WHEN in_table THEN -1000 + away ELSE away + 0.1 * dy - CASE WHEN inside THEN 220 ELSE 0 END - CASE WHEN up > 0 THEN 70 ELSE 0 END - CASE WHEN up > 0 AND gx <= 80 THEN 90 ELSE 0 END - CASE WHEN verb THEN 140 ELSE 0 END END, 6) AS score FROM q),
         b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY page_idx, icon_idx ORDER BY in_table DESC, CASE WHEN in_table THEN target_idx ELSE score END, target_idx) = 1)
         SELECT page_idx, icon_idx, target_idx, kind AS target_kind, score FROM b WHERE in_table OR inside OR CASE WHEN verb THEN away <= 260 ELSE (up > 0 AND gx <= 90) OR score <= 130 END""",
-    "context_neighbours": f"""WITH {_LINES}, b AS (SELECT doc_id, block_idx, {_APPROX} AS tokens FROM lines),
-        t AS (SELECT doc_id, block_idx AS target_idx, 160 - least(tokens, 32) AS rest FROM b WHERE block_idx % 7 = 3),
+    "context_neighbours": f"""WITH {_LINES}, b AS (SELECT doc_id, block_idx, text, {_APPROX} AS tokens FROM lines),
+        t AS (SELECT doc_id, block_idx AS target_idx, 160 - least(tokens, 32) AS rest FROM b WHERE length(text) < 60),
         n AS (SELECT doc_id, target_idx, block_idx, tokens, rest, CASE WHEN block_idx < target_idx THEN 'before' WHEN block_idx > target_idx THEN 'after' ELSE 'current' END AS side FROM t JOIN b USING (doc_id)),
         u AS (SELECT *, sum(tokens) OVER (PARTITION BY doc_id, target_idx, side ORDER BY abs(block_idx - target_idx)) AS used FROM n)
         SELECT doc_id, target_idx::INT AS target_idx, block_idx::INT AS block_idx, side, tokens FROM u WHERE side = 'current' OR used <= CASE WHEN side = 'before' THEN rest // 2 ELSE rest - rest // 2 END""",
     "region_explode": _CHUNKS + """SELECT chunk_id, p::INT AS pos, string_split(block_indices, '|')[p + 1]::BIGINT AS block_idx, CASE WHEN p = 0 THEN token_count END AS label_tokens
-        FROM (SELECT *, unnest(range(len(string_split(block_indices, '|')))) AS p FROM c WHERE chunk_idx < 3)""",
-    "subset_closure": f"""WITH {_TABLES}, chosen AS (SELECT source, block_idx FROM tables WHERE page_idx % 4 = 1)
+        FROM (SELECT *, unnest(range(len(string_split(block_indices, '|')))) AS p FROM c)""",
+    "subset_closure": f"""WITH {_TABLES}, chosen AS (SELECT source, block_idx FROM tables WHERE (source, page_idx) IN (SELECT (user_id, event_id // 500) FROM events WHERE event_type = 'error'))
         SELECT source, block_idx FROM chosen UNION SELECT source, master_idx FROM pairs WHERE (source, block_idx) IN (SELECT (source, block_idx) FROM chosen)
-        UNION SELECT source, block_idx + 1 FROM chosen WHERE block_idx % 11 = 0""",
+        UNION SELECT source, block_idx + 1 FROM chosen WHERE block_idx IN (SELECT event_id FROM events WHERE event_type = 'click')""",
     "tag_join": "SELECT d.doc_id, d.source, l.quality, l.toxic, l.doc_id IS NOT NULL AS tagged FROM documents d LEFT JOIN labels l USING (doc_id)",
     "tag_stats": "SELECT count(*) AS n_chunks, count(l.doc_id) AS n_tagged FROM documents d LEFT JOIN labels l USING (doc_id)",
-    "replace_by_source": """SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0 AND source NOT IN (SELECT DISTINCT source FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0)
-        UNION ALL SELECT doc_id, source, n_chars + 1 FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0""",
-    "upsert_latest": "SELECT o_custkey, coalesce(max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 1), max(o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey",
-    "page_rollup": _CHUNKS + """SELECT doc_id, page_idx::INT AS page_idx, arg_min(left(content, 10), chunk_idx) AS section, string_agg(chunk_id, '|' ORDER BY chunk_idx) AS chunk_ids_on_page, count(*) AS n_chunks
+    "replace_by_source": """SELECT doc_id, source, n_chars FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE source IN ('src1', 'src2') AND n_chars > 1000)
+        UNION ALL SELECT doc_id, source, n_chars + 1 FROM documents WHERE source IN ('src1', 'src2') AND n_chars > 1000""",
+    "upsert_latest": "SELECT o_custkey, coalesce(max(o_orderkey) FILTER (WHERE o_orderstatus <> 'F'), max(o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey",
+    "page_rollup": _CHUNKS + """SELECT doc_id, page_idx::INT AS page_idx, arg_min(token_count::VARCHAR, chunk_idx) AS section, string_agg(chunk_id, '|' ORDER BY chunk_idx) AS chunk_ids_on_page, count(*) AS n_chunks
         FROM (SELECT *, unnest(range(page_start, page_end + 1)) AS page_idx FROM c) GROUP BY doc_id, page_idx""",
     "page_batches": "SELECT p_partkey, k::INT AS batch, (k * 8 + 1)::INT AS first, least(k * 8 + 8, p_size)::INT AS last FROM (SELECT p_partkey, p_size, unnest(range((p_size + 7) // 8)) AS k FROM part WHERE p_size > 0)",
     "collection_inspect": "SELECT count(*) AS n_points, min(len(embedding))::INT AS min_size, max(len(embedding))::INT AS max_size FROM embeddings",
@@ -224,8 +224,8 @@ ORACLE_SQL = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
     "sparse_bm25_topk": f"WITH {_SPARSE} SELECT query_id, doc_id, score, rank::INT AS rank FROM sparse",
     "maxsim_topk": """WITH b AS (
-          SELECT q.vec_id % 2 AS query_id, q.vec_id AS token_idx, v.vec_id // 10 AS page_id, max(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS best
-          FROM embeddings q, embeddings v WHERE q.vec_id < 4 GROUP BY ALL
+          SELECT q.vec_id // 50 % 2 AS query_id, q.vec_id // 50 AS token_idx, v.vec_id // 10 AS page_id, max(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS best
+          FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 GROUP BY ALL
         ), s AS (SELECT query_id, page_id, round(sum(best), 6) AS score FROM b GROUP BY query_id, page_id)
         SELECT query_id, page_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) - 1)::INT AS rank FROM s QUALIFY rank < 10""",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, id, round(dense, 8) AS dense, round(sparse, 8) AS sparse, visual, round(score, 8) AS score FROM fused",
@@ -236,12 +236,12 @@ ORACLE_SQL = {
     "score_prune": f"WITH {_RANKED} SELECT query_id, id, score FROM ranked QUALIFY score >= max(score) OVER (PARTITION BY query_id) * 0.8",
     "soft_budget": f"WITH {_RANKED}, {_budget(10, 2000)} SELECT query_id, id, position::INT AS position, used_before FROM chosen",
     "context_text": f"""WITH {_RANKED}, {_budget(3, 1000)},
-        b AS (SELECT query_id, position, '[Source: ' || source || ' | Page: ' || (id + 1) || ']' || chr(10) || CASE WHEN contains(left(text, 50), source) THEN '' ELSE source || chr(10) END || left(text, 50) AS block FROM chosen),
+        b AS (SELECT query_id, position, '[Source: ' || source || ' | Page: ' || (id + 1) || ']' || chr(10) || CASE WHEN contains(text, source) THEN '' ELSE source || chr(10) END || text AS block FROM chosen),
         g AS (SELECT query_id, count(*) AS n, string_agg(block, chr(10) || chr(10) ORDER BY position) AS c FROM b GROUP BY query_id)
-        SELECT item_id AS query_id, coalesce(n, 0) AS n_hits, coalesce(c, 'No relevant content was found.') AS context FROM benchmark LEFT JOIN g ON query_id = item_id WHERE item_id < 7""",
-    "visual_bonus": f"""WITH {_FUSED}, h AS (SELECT vec_id % 5 AS query_id, label AS page_idx, 2.5::DOUBLE / (61 + vec_id // 5) AS v FROM embeddings WHERE vec_id < 25),
-        p AS (SELECT vec_id, label AS page_idx, CASE WHEN vec_id % 3 <> 0 AND vec_id % 4 = 0 THEN 0 WHEN vec_id % 4 = 0 THEN 0.65::DOUBLE
-          ELSE CASE WHEN vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END * (0.5::DOUBLE + 0.5::DOUBLE * (vec_id % 4) / 4) END AS fit FROM embeddings WHERE vec_id < 200),
+        SELECT item_id AS query_id, coalesce(n, 0) AS n_hits, coalesce(c, 'No relevant content was found.') AS context FROM benchmark LEFT JOIN g ON query_id = item_id""",
+    "visual_bonus": f"""WITH {_FUSED}, h AS (SELECT vec_id % 10 AS query_id, vec_id // 10 AS page_idx, 2.5::DOUBLE / (61 + vec_id // 10) AS v FROM embeddings),
+        p AS (SELECT vec_id, vec_id // 10 AS page_idx, CASE WHEN vec_id % 3 <> 0 AND vec_id % 4 = 0 THEN 0 WHEN vec_id % 4 = 0 THEN 0.65::DOUBLE
+          ELSE CASE WHEN vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END * (0.5::DOUBLE + 0.5::DOUBLE * (vec_id % 4) / 4) END AS fit FROM embeddings),
         l AS (SELECT query_id, vec_id AS id, max(v * fit) AS visual FROM h JOIN p USING (page_idx) WHERE fit > 0 GROUP BY query_id, vec_id)
         SELECT query_id, id::VARCHAR AS chunk_id, round(coalesce(f.score, 0), 8) AS direct, round(coalesce(l.visual, 0), 8) AS visual, round(coalesce(f.score, 0) + coalesce(l.visual, 0), 8) AS score
         FROM fused f FULL JOIN l USING (query_id, id)""",
@@ -253,12 +253,12 @@ ORACLE_SQL = {
         o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY rank, pos) = 1)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos)::INT AS image_no, rank, path FROM o""",
     "patch_topk": f"WITH {_SIMILARITY} SELECT * FROM top",
-    "patch_alignment": f"""WITH {_SIMILARITY}, b AS (SELECT p AS page_id, c AS chunk_idx, c * 300.0::DOUBLE AS x0 FROM range(10) a(p), range(3) z(c)),
+    "patch_alignment": f"""WITH {_SIMILARITY}, b AS (SELECT p AS page_id, c AS chunk_idx, c * 300.0::DOUBLE AS x0 FROM (SELECT DISTINCT vec_id // 16 AS p FROM embeddings), range(3) z(c)),
         e AS (SELECT *, (patch_idx % 4) * 250.0::DOUBLE AS px, (patch_idx // 4) * 250.0::DOUBLE AS py FROM top),
         t AS (SELECT page_id, sum(greatest(0, score)) AS total FROM top GROUP BY page_id),
         o AS (SELECT e.page_id, chunk_idx, token_idx, score, greatest(0, least(px + 250, x0 + 350) - greatest(px, x0)) * greatest(0, least(py + 250, 700) - py) / 62500 AS o FROM e JOIN b USING (page_id)),
         r AS (SELECT page_id, chunk_idx, sum(greatest(0, score) * o) AS raw, count(DISTINCT token_idx) AS m, count(*) AS n FROM o WHERE o > 0 GROUP BY page_id, chunk_idx),
-        s AS (SELECT page_id, chunk_idx, round(raw / total, 6) AS score, round(m / 4, 6) AS coverage, round(raw / total / 0.245::DOUBLE, 6) AS density, n AS n_evidence FROM r JOIN t USING (page_id) WHERE raw > 0)
+        s AS (SELECT page_id, chunk_idx, round(raw / total, 6) AS score, round(m / (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0), 6) AS coverage, round(raw / total / 0.245::DOUBLE, 6) AS density, n AS n_evidence FROM r JOIN t USING (page_id) WHERE raw > 0)
         SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, coverage DESC, density DESC, chunk_idx)::INT AS rank FROM s""",
     "evidence_anchor": _GOLD_CHUNKS + " SELECT query_id, coalesce(array_to_string(blocks, '|'), '') AS blocks, coalesce(array_to_string(pages, '|'), '') AS pages, coalesce(array_to_string(missing, '|'), '') AS missing FROM anchors",
     "evidence_remap": _GOLD_CHUNKS + """, f AS (SELECT a.query_id, n.chunk_idx, count(*) AS overlap, any_value(r.token_count) AS tokens
@@ -269,14 +269,14 @@ ORACLE_SQL = {
         SELECT doc_id AS query_id, coalesce(k, 0) AS n_chunks, '60-' || doc_id || '-' || p.chunk_idx AS primary_chunk_id, CASE WHEN k > 0 THEN 'block_overlap' ELSE 'none' END AS source
         FROM documents d LEFT JOIN p ON p.query_id = d.doc_id LEFT JOIN c2 ON c2.query_id = d.doc_id""",
     "snippet_match": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 40",
-    "retrieval_metrics": f"""WITH {_HITS}, gold AS (SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id < 6 AND q.vec_id <> 3 AND e.vec_id < 60),
+    "retrieval_metrics": f"""WITH {_HITS}, gold AS (SELECT q.vec_id // 50 AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0 AND q.vec_id <> 150),
         n AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY query_id),
         g AS (SELECT query_id, min(rank) AS first_rank, """
     + ", ".join(f"count(*) FILTER (WHERE rank <= {k}) AS h_{k}, sum(ln(2) / ln(rank + 1.0)) FILTER (WHERE rank <= {k}) AS dcg_{k}" for k in (1, 3, 5, 10))
     + """ FROM hits JOIN gold USING (query_id, id) GROUP BY query_id)
-        SELECT vec_id AS query_id, coalesce(n_gold, 0) AS n_gold, first_rank, round(coalesce(1.0::DOUBLE / first_rank, 0), 6) AS reciprocal_rank, """
+        SELECT vec_id // 50 AS query_id, coalesce(n_gold, 0) AS n_gold, first_rank, round(coalesce(1.0::DOUBLE / first_rank, 0), 6) AS reciprocal_rank, """
     + ", ".join(f"(coalesce(h_{k}, 0) > 0)::INT AS recall_{k}, round(coalesce(coalesce(h_{k}, 0) / n_gold, 0), 6) AS coverage_{k}, round({_ndcg(k)}, 6) AS ndcg_{k}" for k in (1, 3, 5, 10))
-    + " FROM embeddings e LEFT JOIN n ON n.query_id = e.vec_id LEFT JOIN g ON g.query_id = e.vec_id WHERE vec_id < 6",
+    + " FROM embeddings e LEFT JOIN n ON n.query_id = e.vec_id // 50 LEFT JOIN g ON g.query_id = e.vec_id // 50 WHERE vec_id % 50 = 0",
     "retrieval_features": f"""WITH {_HITS}, h AS (SELECT query_id, rank, score, CASE WHEN id % 3 = 0 THEN score * 0.7 ELSE 0 END AS v, id % 13 = 0 AS p, id % 2 = 0 AS g FROM hits)
         SELECT query_id, round(max(score) FILTER (WHERE rank = 1), 8) AS top_dense, 0.0::DOUBLE AS top_sparse, round(max(v) FILTER (WHERE rank = 1), 8) AS top_visual, round(max(score * 0.5) FILTER (WHERE rank = 1), 8) AS top_direct,
           count(*) FILTER (WHERE v > 0) AS n_visual, bool_or(g AND v > 0)::INT AS visual_gold_page, (bool_or(g) AND NOT bool_or(p))::INT AS misallocated,
@@ -290,8 +290,8 @@ ORACLE_SQL = {
           round(avg(t), 2) AS mean_total_tokens, round(avg(c), 2) AS mean_context_tokens, round(avg(answer_score) / (avg(c) / 1000), 4) AS retrieval_efficiency, round(avg(answer_score) / (avg(t) / 1000), 4) AS answering_efficiency FROM x GROUP BY run_id""",
     "answer_summary": """SELECT count(*) AS n, sum((o_orderstatus = 'F')::BIGINT)::BIGINT AS n_leaked, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n_missing_usage, round(avg(o_orderkey % 17), 6) AS mean_latency,
         round(avg(o_orderkey % 50) FILTER (WHERE o_orderkey % 3 > 0 AND o_orderkey % 50 > 0), 6) AS mean_tokens FROM orders""",
-    "archived_contexts": """SELECT o_orderkey AS query_id, (o_orderkey % 7)::DOUBLE AS retrieval, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 11 ELSE 0 END::DOUBLE AS answering,
-        (o_orderkey % 7 + CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 11 ELSE 0 END)::DOUBLE AS latency, o_orderkey % 3 <> 0 AS pending FROM orders""",
+    "archived_contexts": """SELECT o_orderkey AS query_id, (o_orderkey % 7)::DOUBLE AS retrieval, CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 11 ELSE 0 END::DOUBLE AS answering,
+        (o_orderkey % 7 + CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 11 ELSE 0 END)::DOUBLE AS latency, o_orderstatus <> 'F' AS pending FROM orders""",
     "request_log_summary": """WITH l AS (SELECT user_id % 10 AS run_id, event_type AS e, round(value, 4) AS d FROM events),
         p AS (SELECT run_id, list_sort(list(d) FILTER (WHERE d IS NOT NULL)) AS v FROM l GROUP BY run_id)
         SELECT run_id, count(*) AS n_requests, count(*) FILTER (WHERE e = 'view') AS n_ok, count(*) FILTER (WHERE e <> 'view') AS n_errors, count(*) FILTER (WHERE e = 'click') AS n_timeouts,
@@ -342,7 +342,7 @@ ORACLE_SQL = {
         coalesce(lang, 'unsorted') || '/' || kind || '/' || source AS target FROM y""",
     "anomalies": """SELECT 'collision' AS kind, p_name AS key, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1
         UNION ALL SELECT 'orphan', p_partkey::VARCHAR, 1 FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)""",
-    "decision_overlay": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS lang, source FROM documents",
+    "decision_overlay": "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'xx' ELSE lang END AS lang, source FROM documents",
     "layout_summary": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL",
     "content_digest": f"""WITH {_LINES}, k AS (SELECT *, CASE WHEN block_idx = 0 THEN 'title' WHEN length(text) < 60 THEN 'short' ELSE 'body' END AS kind FROM lines),
         r AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY block_idx) <= 2)
