@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 CJK = r"\x{3400}-\x{9fff}"
 TOKEN_PATTERN = rf"[{CJK}]|[A-Za-z0-9_]+|[^\s\p{{Z}}\x1c-\x1f\x{{85}}A-Za-z0-9_{CJK}]"
 PYTHON_TOKEN = re.compile(r"[㐀-鿿]|[A-Za-z0-9_]+|[^\sA-Za-z0-9_㐀-鿿]")
-ICON_PATTERN = r"\[Icon:[^\]]*\]"
+ICON_PATTERN = r"(?i)\[icon\s*:[^\]]+\]"
+NO_MISSING = "NO_MISSING_SAFE"
+NOTE_LABELS = "Breadcrumb|Section|Table|Table caption|Table footnote|Image with illustration|Image caption|Image description|Image VLM description|Image footnote|Image answering policy|Footnote"
 TRUNCATION_MARKER = "\n[...truncated...]\n"
 
 
@@ -123,7 +125,7 @@ def normalized_title(text: Column | str) -> Column:
 
 def heading_number(text: Column | str) -> Column:
     """The dotted number that a heading starts with, null without one."""
-    return F.nullif(F.regexp_extract(display_title(text), r"^(\d+(?:\.\d+)*)(?:[.)\s]|$)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(col(text), r"^\s*(\d+(?:\.\d+)*)\b", 1), F.lit(""))
 
 
 def similarity(a: str, b: str, most_chars: int = 260) -> float:
@@ -168,15 +170,14 @@ def list_of_ints(text: Column | str) -> Column:
 
 def clip_words(text: Column, limit: int) -> Column:
     """Cut at the last blank within the limit and end with a point."""
-    head = F.left(text, F.lit(limit))
-    cut = F.regexp_replace(head, r"\s+\S*$", "")
-    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, r"[\s.,;:]+$", ""), F.lit(".")))
+    cut = F.btrim(F.regexp_replace(F.left(text, F.lit(limit)), " [^ ]*$", ""))
+    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(cut, F.lit(".")))
 
 
-def clean_note(text: Column | str, limit: int = 160) -> Column:
-    """Without tags, icon markers and bracket labels, blanks collapsed, clipped at a word."""
+def clean_note(text: Column | str, limit: int = 220) -> Column:
+    """Without tags, icon markers and labelled brackets, blanks collapsed, clipped at a word."""
     t = F.coalesce(col(text), F.lit(""))
-    for pattern in ("<[^>]*>", ICON_PATTERN, r"\[[A-Za-z ]+:?\]", r"\s+"):
+    for pattern in ("<[^>]+>", r"\[Icon:[^\]]+\]", rf"\[(?:{NOTE_LABELS}):[^\]]*\]", r"\s+"):
         t = F.regexp_replace(t, pattern, " ")
     return clip_words(F.btrim(t), limit)
 
@@ -192,22 +193,27 @@ def label(text: Column | str, pattern: str) -> Column:
 
 
 def icon_markers(text: Column | str) -> Column:
-    """All icon markers, in order."""
-    return F.regexp_extract_all(col(text), F.lit(ICON_PATTERN), F.lit(0))
+    """The named icon markers of a text, in order and in one spelling."""
+    names = F.transform(F.regexp_extract_all(col(text), F.lit(r"(?i)\[icon\s*:([^\]]+)\]"), F.lit(1)), lambda n: F.btrim(n))
+    return F.transform(F.filter(names, lambda n: n != ""), lambda n: F.concat(F.lit("[Icon: "), n, F.lit("]")))
 
 
-def strip_icons(text: Column | str) -> Column:
-    return F.btrim(F.regexp_replace(F.regexp_replace(col(text), ICON_PATTERN, " "), r"\s+", " "))
+def is_no_missing(text: Column) -> Column:
+    """Whether an answer says that no icon is missing."""
+    low = F.lower(F.btrim(text))
+    plain = F.btrim(F.regexp_replace(low, r"[\s`\"'.:;!,，。；：！]+", " "))
+    return F.contains(low, F.lit(NO_MISSING.lower())) | plain.isin("no missing", "no missing icon", "no missing icons") | F.startswith(plain, F.lit("no missing "))
 
 
-def patch_reason(original: Column, patched: Column) -> Column:
-    """Why a patched text will not do: empty, no marker, a lost or a changed text; null if it will."""
-    return (
-        F.when(F.btrim(F.coalesce(patched, F.lit(""))) == "", "empty")
-        .when(F.size(icon_markers(patched)) == 0, "no_icon")
-        .when(F.size(icon_markers(patched)) < F.size(icon_markers(original)), "lost_icon")
-        .when(strip_icons(patched) != strip_icons(original), "changed_text")
-    )
+def is_only_icon(original: Column, patched: Column) -> Column:
+    """Whether nothing but icon markers and marks is left of a text that had more."""
+    rest = F.regexp_replace(F.regexp_replace(patched, ICON_PATTERN, " "), r"[\s`\"'.:;!,，。；：！/\\|()\[\]{}<>_-]+", "")
+    return (F.btrim(original) != "") & patched.rlike(r"(?i)\[icon\s*:") & (rest == "")
+
+
+def patch_decision(original: Column, patched: Column) -> Column:
+    """no_missing, only_icon, empty or apply."""
+    return F.when(is_no_missing(patched), "no_missing").when(is_only_icon(original, patched), "only_icon").when(F.btrim(patched) == "", "empty").otherwise("apply")
 
 
 def strip_reasoning(text: Column | str) -> Column:

@@ -14,10 +14,20 @@ def cascade(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
     return out
 
 
-def version(*texts: Column) -> Column:
-    """The first version number of the texts, in order (O3)."""
-    found = [F.nullif(F.lower(F.regexp_extract(t, p, 1)), F.lit("")) for t in texts for p in (r"(?i)\bversion\s+(\d+(?:\.\d+){0,3})", r"(?i)\bv(\d+(?:\.\d+){1,3})\b")]
-    return F.coalesce(*found)
+# How versions are written, the surest way first.
+VERSION_PATTERNS = (
+    r"(?i)(?:datasheet|data[_ -]?sheet)[_-]?(\d{8})",
+    r"(?i)[_ -](\d{8})(?:\.pdf)?$",
+    r"(?i)(?:^|[_ -])V(\d+(?:\.\d+){1,4})(?:[_ )\-.]|$)",
+    r"(?i)version\s+(\d+(?:\.\d+){1,4})",
+    r"(?i)\bV(\d+(?:\.\d+){1,4})\b",
+)
+
+
+def version(name: Column, content: Column, current: Column | None = None) -> Column:
+    """By each pattern in turn the name's version, else the content's; else what is known, without a V (O3)."""
+    found = [F.nullif(F.regexp_extract(F.coalesce(t, F.lit("")), p, 1), F.lit("")) for p in VERSION_PATTERNS for t in (name, content)]
+    return F.coalesce(*found, *([F.nullif(F.regexp_replace(current, "^[Vv]", ""), F.lit(""))] if current is not None else []))
 
 
 def models(text: Column, pattern: str, most: int = 12) -> Column:

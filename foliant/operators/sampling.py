@@ -85,7 +85,7 @@ def integrity(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def token_set(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9][a-z0-9.+/@_-]+"), F.lit(0)))
 
 
 def support_coverage(claims: DataFrame, pages: DataFrame, *, on: list[str], floor: float = 0.88) -> DataFrame:

@@ -77,9 +77,9 @@ def icon_patches(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     original = F.concat(F.lit("Click "), F.col("o_orderpriority"))
-    patched = F.when(k % 4 == 0, "").when(k % 4 == 1, original).when(k % 4 == 2, F.concat(F.lit("Click [Icon: gear] "), F.col("o_orderpriority"))).otherwise(F.concat(F.lit("<think>a</think> Tap [Icon: x]"), F.col("o_orderpriority")))
+    patched = F.when(k % 4 == 0, "No missing icons.").when(k % 4 == 1, "[Icon: gear] !").when(k % 4 == 2, F.concat(F.lit("Click [Icon: gear] "), F.col("o_orderpriority"))).otherwise(F.concat(F.lit("<think>a</think> Tap [icon : x][Icon:]"), F.col("o_orderpriority")))
     patched = X.strip_reasoning(patched)
-    return o.select("o_orderkey", X.patch_reason(original, patched).alias("reason"), F.array_join(X.icon_markers(patched), "|").alias("markers"), X.preservation_key(patched).alias("preserved"))
+    return o.select("o_orderkey", X.patch_decision(original, patched).alias("decision"), F.array_join(X.icon_markers(patched), "|").alias("markers"), X.preservation_key(patched).alias("preserved"))
 
 
 @query
@@ -354,7 +354,7 @@ def soft_budget(spark: SparkSession, sf: str) -> DataFrame:
 def context_text(spark: SparkSession, sf: str) -> DataFrame:
     chosen = R.soft_budget(_ranked(spark, sf), top_k=3, budget=1000, order=[F.desc("score"), "id"])
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    block = R.context_block(F.col("source"), F.col("id"), F.col("source"), F.col("text"), F.lit(0.0))
+    block = R.context_block(F.col("source"), F.col("id"), F.col("id"), F.col("source"), F.col("text"), F.lit(0.0))
     return R.context_text(chosen, queries, block=block)
 
 
@@ -612,7 +612,7 @@ def support_coverage(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def version_model_extract(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select("doc_id", U.version(F.col("text")).alias("version"), F.array_join(U.models(F.col("text"), r"\b([A-Za-z]{2,6}\.[0-9]{2})@"), "|").alias("models"))
+    return d.select("doc_id", U.version(F.col("source"), F.col("text")).alias("version"), F.array_join(U.models(F.col("text"), r"\b([A-Za-z]{2,6}\.[0-9]{2})@"), "|").alias("models"))
 
 
 @query

@@ -127,7 +127,8 @@ _TYPED = """typed AS (
   FROM documents
 )"""
 
-_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '\[Icon:[^\]]*\]', ' ', 'g'), '\[[A-Za-z ]+:?\]', ' ', 'g'), '\s+', ' ', 'g'))"""
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '\[Icon:[^\]]+\]', ' ', 'g'),
+  '\[(?:Breadcrumb|Section|Table|Table caption|Table footnote|Image with illustration|Image caption|Image description|Image VLM description|Image footnote|Image answering policy|Footnote):[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g'))"""
 
 
 def _ndcg(k: int) -> str:
@@ -140,7 +141,7 @@ ORACLE_SQL = {
     "breadcrumbs": r"""SELECT page_id, array_to_string(list_filter(string_split(p, '/'), lambda x: x <> ''), ' > ') AS breadcrumb,
         trim(regexp_replace(lower(p), '[^a-z0-9]+', '-', 'g'), '-') AS slug
         FROM (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS p FROM pages)""",
-    "clean_notes": rf"""SELECT page_id, CASE WHEN length(t) <= 160 THEN t ELSE regexp_replace(regexp_replace(left(t, 160), '\s+\S*$', ''), '[\s.,;:]+$', '') || '.' END AS note,
+    "clean_notes": rf"""SELECT page_id, CASE WHEN length(t) <= 220 THEN t ELSE trim(regexp_replace(left(t, 220), ' [^ ]*$', '')) || '.' END AS note,
         left(trim(regexp_replace(html, '\s+', ' ', 'g')), 320) AS snippet FROM (SELECT page_id, html, {_CLEAN} AS t FROM pages)""",
     "point_ids": """WITH k AS (
           SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(source || '::0::' || doc_id)) AS a,
@@ -149,13 +150,13 @@ ORACLE_SQL = {
         u AS (SELECT doc_id, i, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || printf('%02x', (('0x' || h[17:18])::INT & 63) | 128) || h[19:20] || '-' || h[21:32] AS id FROM v)
         SELECT doc_id, max(id) FILTER (WHERE i = 1) AS point_id, max(id) FILTER (WHERE i = 2) AS visual_id FROM u GROUP BY doc_id""",
     "titles_and_numbers": r"""WITH t AS (SELECT page_id, trim(regexp_replace('  ' || (page_id % 7) || '.' || (page_id % 3) || '   ' || regexp_extract(html, '<title>([^<]*)</title>', 1), '[\s\x{a0}]+', ' ', 'g')) AS title FROM pages)
-        SELECT page_id, title, nullif(regexp_extract(title, '^(\d+(?:\.\d+)*)(?:[.)\s]|$)', 1), '') AS number FROM t""",
+        SELECT page_id, title, nullif(regexp_extract(title, '^\s*(\d+(?:\.\d+)*)\b', 1), '') AS number FROM t""",
     "lists_and_ranges": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = o_orderkey % 5 THEN (o_orderkey % 7)::VARCHAR ELSE (o_orderkey % 7) || '|' || (o_orderkey % 5) END AS ints,
         array_to_string(list_sort(list_distinct([0, o_orderkey % 4 + 1, o_orderkey % 4 + 2, o_orderkey % 4 + 3])), '|') AS pages,
         array_to_string(range(least(o_orderkey % 9, o_orderkey % 4), greatest(o_orderkey % 9, o_orderkey % 4) + 1), '|') AS span FROM orders""",
-    "icon_patches": r"""SELECT o_orderkey, [ 'empty', 'no_icon', NULL, 'changed_text' ][o_orderkey % 4 + 1] AS reason,
-        ['', '', '[Icon: gear]', '[Icon: x]'][o_orderkey % 4 + 1] AS markers,
-        trim(regexp_replace(lower(['', 'click ' || o_orderpriority, 'click ' || o_orderpriority, 'tap ' || o_orderpriority][o_orderkey % 4 + 1]), '[^\p{L}\p{N}]+', ' ', 'g')) AS preserved FROM orders""",
+    "icon_patches": r"""SELECT o_orderkey, ['no_missing', 'only_icon', 'apply', 'apply'][o_orderkey % 4 + 1] AS decision,
+        ['', '[Icon: gear]', '[Icon: gear]', '[Icon: x]'][o_orderkey % 4 + 1] AS markers,
+        trim(regexp_replace(lower(['no missing icons', '', 'click ' || o_orderpriority, 'tap [icon : x] ' || o_orderpriority][o_orderkey % 4 + 1]), '[^\p{L}\p{N}]+', ' ', 'g')) AS preserved FROM orders""",
     "blocks_from_documents": f"WITH {_LINES} SELECT doc_id, block_idx::INT AS block_idx, page_idx::INT AS page_idx, text FROM lines",
     "greedy_chunks": _CHUNKS + "SELECT doc_id, block_idx::INT AS block_idx, chunk_idx FROM c_chunked",
     "section_islands": """WITH e AS (
@@ -236,9 +237,9 @@ ORACLE_SQL = {
     "score_prune": f"WITH {_RANKED} SELECT query_id, id, score FROM ranked QUALIFY score >= max(score) OVER (PARTITION BY query_id) * 0.8",
     "soft_budget": f"WITH {_RANKED}, {_budget(10, 2000)} SELECT query_id, id, position::INT AS position, used_before FROM chosen",
     "context_text": f"""WITH {_RANKED}, {_budget(3, 1000)},
-        b AS (SELECT query_id, position, '[Source: ' || source || ' | Page: ' || (id + 1) || ']' || chr(10) || CASE WHEN contains(text, source) THEN '' ELSE source || chr(10) END || text AS block FROM chosen),
+        b AS (SELECT query_id, position, '[Source: ' || source || ', Page: ' || (id + 1) || ']' || chr(10) || '[Breadcrumb: ' || source || ']' || chr(10) || text AS block FROM chosen),
         g AS (SELECT query_id, count(*) AS n, string_agg(block, chr(10) || chr(10) ORDER BY position) AS c FROM b GROUP BY query_id)
-        SELECT item_id AS query_id, coalesce(n, 0) AS n_hits, coalesce(c, 'No relevant content was found.') AS context FROM benchmark LEFT JOIN g ON query_id = item_id""",
+        SELECT item_id AS query_id, coalesce(n, 0) AS n_hits, coalesce(c, 'No relevant information found in the manual.') AS context FROM benchmark LEFT JOIN g ON query_id = item_id""",
     "visual_bonus": f"""WITH {_FUSED}, h AS (SELECT vec_id % 10 AS query_id, vec_id // 10 AS page_idx, 2.5::DOUBLE / (61 + vec_id // 10) AS v FROM embeddings),
         p AS (SELECT vec_id, vec_id // 10 AS page_idx, CASE WHEN vec_id % 3 <> 0 AND vec_id % 4 = 0 THEN 0 WHEN vec_id % 4 = 0 THEN 0.65::DOUBLE
           ELSE CASE WHEN vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END * (0.5::DOUBLE + 0.5::DOUBLE * (vec_id % 4) / 4) END AS fit FROM embeddings),
@@ -330,9 +331,9 @@ ORACLE_SQL = {
     "question_flags": """SELECT l_orderkey AS qa_id, count(DISTINCT (l_suppkey % 3, l_linenumber)) > 1 AS several_pages, count(DISTINCT l_suppkey % 3) > 1 AS several_files, bool_or(l_returnflag = 'R') AS visual FROM lineitem GROUP BY l_orderkey""",
     "qa_integrity": """WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_custkey IS NULL) AS a, count(*) FILTER (WHERE o_totalprice <= 0) AS b, count(*) FILTER (WHERE NOT regexp_matches(o_orderpriority, '^[1-5]-')) AS d, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS e FROM orders)
         SELECT unnest(['no_customer', 'price', 'priority', 'even']) AS rule, unnest([a, b, d, e]) AS n_broken, n AS n_rows FROM c""",
-    "support_coverage": r"""WITH x AS (SELECT item_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]{2,}')) AS c, list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), '[a-z0-9]{2,}')) AS p FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+    "support_coverage": r"""WITH x AS (SELECT item_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9][a-z0-9.+/@_-]+')) AS c, list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), '[a-z0-9][a-z0-9.+/@_-]+')) AS p FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
         y AS (SELECT item_id, round(CASE WHEN len(c) > 0 THEN len(list_intersect(c, p))::DOUBLE / len(c) ELSE 0 END, 6) AS coverage FROM x) SELECT item_id, coverage, coverage >= 0.88 AS supported FROM y""",
-    "version_model_extract": r"""SELECT doc_id, coalesce(nullif(lower(regexp_extract(text, '(?i)\bversion\s+(\d+(?:\.\d+){0,3})', 1)), ''), nullif(lower(regexp_extract(text, '(?i)\bv(\d+(?:\.\d+){1,3})\b', 1)), '')) AS version,
+    "version_model_extract": r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?i)(?:^|[_ -])V(\d+(?:\.\d+){1,4})(?:[_ )\-.]|$)', 1), ''), nullif(regexp_extract(text, '(?i)version\s+(\d+(?:\.\d+){1,4})', 1), '')) AS version,
         coalesce(array_to_string((SELECT list(m ORDER BY i) FROM (SELECT upper(m) AS m, min(i) AS i FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Za-z]{2,6}\.[0-9]{2})@', 1)) AS m, generate_subscripts(regexp_extract_all(text, '\b([A-Za-z]{2,6}\.[0-9]{2})@', 1), 1) AS i) GROUP BY upper(m)))[1:12], '|'), '') AS models FROM documents""",
     "language_rules": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[\x{0400}-\x{04ff}]') THEN 'ru' WHEN regexp_matches(text, '[ßäöü]') THEN 'de' WHEN regexp_matches(text, '[ñóíá]') THEN 'es'
         WHEN regexp_matches(text, '[èêçàù]') THEN 'fr' ELSE 'en' END AS language FROM documents""",

@@ -21,13 +21,16 @@ def list_documents(spark: SparkSession, root: str, suffix: str = "pdf") -> DataF
 
 
 def choose_artifact(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """For each source the content file with the best name, then the least depth, then the first path (A2).
+    """For each source its content file: named after it, or in a folder of its name; least depth, first path (A2).
 
-    files has path and stem of the source it may belong to; sources have stem.
+    files has path; sources have stem. Files of later steps (captions, small icons) are left out.
     """
     name = F.substring_index("path", "/", -1)
-    score = F.when(name == F.concat("stem", F.lit("_content_list.json")), 0).when(name.endswith("_content_list.json"), 1).otherwise(2)
-    rows = files.join(sources, "stem").withColumn("score", score).withColumn("depth", F.size(F.split("path", "/")))
+    found = files.where(name.endswith("content_list.json") & ~name.contains("small-icon") & ~name.contains("caption"))
+    parts = F.split("path", "/")
+    named = found.where(name.endswith("_content_list.json")).select("path", F.regexp_replace(name, "_content_list.json$", "").alias("stem"), F.lit(0).alias("score"))
+    inside = found.where(name == "content_list.json").select("path", F.explode(F.array_distinct(parts)).alias("stem"), F.lit(1).alias("score"))
+    rows = named.unionByName(inside).join(sources.select("stem"), "stem").withColumn("depth", F.size(F.split("path", "/")))
     w = Window.partitionBy("stem").orderBy("score", "depth", "path")
     return rows.withColumn("k", F.row_number().over(w)).where("k = 1").select("stem", "path")
 

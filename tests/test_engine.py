@@ -54,8 +54,21 @@ def test_names(spark):
 
 
 def test_patches(spark):
-    f = lambda a, b: X.patch_reason(F.lit(a), F.lit(b))
-    assert tuple(one(spark, f("Click", ""), f("Click", "Click"), f("Click", "Click [Icon: x]"), f("Click", "Tap [Icon: x]"))) == ("empty", "no_icon", None, "changed_text")
+    f = lambda a, b: X.patch_decision(F.lit(a), F.lit(b))
+    assert tuple(one(spark, f("Click", " "), f("Click", "[icon: x] !"), f("Click", "No missing icons."), f("Click", "Click [Icon: x]"), f("", "[Icon: x]"))) == ("empty", "only_icon", "no_missing", "apply", "apply")
+    assert one(spark, X.icon_markers(F.lit("a [ICON : b] [Icon:] [Icon: c]")))[0] == ["[Icon: b]", "[Icon: c]"]
+
+
+def test_notes(spark):
+    text = "<b>x</b> [Table caption: no] [Icon: y] " + "word " * 60
+    note = one(spark, X.clean_note(F.lit(text)))[0]
+    assert note.startswith("x word") and note.endswith("word.") and len(note) <= 221
+
+
+def test_artifacts(spark):
+    files_ = spark.createDataFrame([("/o/a/auto/a_content_list.json",), ("/o/a_content_list.json",), ("/o/b/content_list.json",), ("/o/b/caption_content_list.json",), ("/o/c/x.json",)], "path string")
+    got = files.choose_artifact(files_, spark.createDataFrame([("a",), ("b",), ("c",)], "stem string")).collect()
+    assert sorted(map(tuple, got)) == [("a", "/o/a_content_list.json"), ("b", "/o/b/content_list.json")]
 
 
 def test_boxes(spark):
