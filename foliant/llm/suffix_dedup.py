@@ -123,8 +123,19 @@ def anchor_codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes % n) << np.uint64(32) | (hashes // n) & np.uint64(0xFFFFFFFF)
 
 
-def _anchor_rows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(bucket, hashes, docs): for each slice and bucket the anchors' codes, once for each document."""
+def _pieces(keys: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of equal sorted keys."""
+    edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+    return list(zip(edges[:-1], edges[1:], strict=True)) if len(keys) else []
+
+
+def _anchor_rows(docs: DataFrame, width: int, buckets: int, parts: int) -> DataFrame:
+    """(bucket, hashes, docs): for each slice and bucket the anchors' codes, with a document of each.
+
+    An anchor that several documents of a slice have goes to its bucket with two of them only; that it is
+    shared is told to the parts of all of them at once, in rows of bucket `buckets + part`. So what
+    many documents have costs a bucket two entries for each slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,12 +149,23 @@ def _anchor_rows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 keep = np.ones(len(h), bool)
                 keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 h, d = h[keep], d[keep]
+                order = np.lexsort((d, h))
+                new = np.concatenate([[True], np.diff(h[order].view(np.int64)) != 0])
+                ends = np.concatenate([new[1:], [True]])
+                many = np.zeros(len(h), bool)
+                many[order] = ~(new & ends)
+                told = np.unique(np.stack([part_of(d[many], parts).astype(np.uint64), h[many]]), axis=1)
+                two = np.zeros(len(h), bool)
+                two[order] = new | ends
+                h, d = h[two], d[two]
                 b = (h >> np.uint64(32)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(b)) + 1
-                edges = [0, *cuts.tolist(), len(h)]
-                pieces = list(zip(edges[:-1], edges[1:], strict=True))
+                meet, tell = _pieces(b), _pieces(told[0].astype(np.int64))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([int(b[i]) for i, _ in pieces], pa.int32()), pa.array([h[i:j].astype("<u4").tobytes() for i, j in pieces]), pa.array([small(d[i:j]) for i, j in pieces])],
+                    [
+                        pa.array([int(b[i]) for i, _ in meet] + [buckets + int(told[0, i]) for i, _ in tell], pa.int32()),
+                        pa.array([h[i:j].astype("<u4").tobytes() for i, j in meet] + [told[1, i:j].tobytes() for i, j in tell], pa.binary()),
+                        pa.array([small(d[i:j]) for i, j in meet] + [b""] * len(tell), pa.binary()),
+                    ],
                     ["bucket", "hashes", "docs"],
                 )
 
@@ -162,30 +184,28 @@ def _anchor_rows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, hashes binary, docs binary")
 
 
-def _shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
-    """(part, hashes, docs): for each part of the corpus the shared anchors of its documents."""
+def _shared_anchors(rows: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """(part, hashes): for each part of the corpus the codes of the shared anchors of its documents."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), "<u4").astype(np.uint64)
-        h |= np.uint64(key[0].as_py()) << np.uint64(32)
+        bucket, data = key[0].as_py(), b"".join(table.column("hashes").to_pylist())
+        if bucket >= buckets:
+            h = np.unique(np.frombuffer(data, np.uint64))
+            return pa.table({"part": pa.array([bucket - buckets], pa.int32()), "hashes": pa.array([h.tobytes()])})
+        h = np.frombuffer(data, "<u4").astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
         d = np.concatenate([unsmall(x) for x in table.column("docs").to_pylist()])
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
-        # A document's hash may come twice if a long text came in pieces.
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
+        # A document's anchor may come twice if a long text came in slices.
+        new = np.concatenate([[True], h[1:] != h[:-1]])
         edges = np.flatnonzero(new)
-        many = np.maximum.reduceat(d, edges) != np.minimum.reduceat(d, edges) if len(h) else np.zeros(0, bool)
-        keep = many[group] if len(h) else new
-        h, d = h[keep], d[keep]
-        p = part_of(d, parts)
-        order = np.argsort(p, kind="stable")
-        h, d, p = h[order], d[order], p[order]
-        cuts = np.flatnonzero(np.diff(p)) + 1
-        edges = [0, *cuts.tolist(), len(h)] if len(h) else [0]
-        return pa.table({"part": pa.array([int(p[i]) for i in edges[:-1]], pa.int32()), "hashes": pa.array([h[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), "docs": pa.array([d[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
+        many = np.maximum.reduceat(d, edges) != np.minimum.reduceat(d, edges)
+        keep = many[np.cumsum(new) - 1]
+        pairs = np.unique(np.stack([part_of(d[keep], parts).astype(np.uint64), h[keep]]), axis=1)
+        own = _pieces(pairs[0].astype(np.int64))
+        return pa.table({"part": pa.array([int(pairs[0, i]) for i, _ in own], pa.int32()), "hashes": pa.array([pairs[1, i:j].tobytes() for i, j in own], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(run, "part int, hashes binary, docs binary")
+    return rows.groupBy("bucket").applyInArrow(run, "part int, hashes binary")
 
 
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -541,7 +561,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, part_bytes: int = PAR
     total = known.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(1, math.ceil(total / part_bytes))
     buckets = parts
-    anchors = _shared_anchors(_anchor_rows(known, width, buckets), parts)
+    anchors = _shared_anchors(_anchor_rows(known, width, buckets, parts), buckets, parts)
     anchors = materialize(anchors, "anchors")
     placed = _with_part(known, parts)
     runs = placed.groupBy("part").cogroup(anchors.groupBy("part")).applyInArrow(_part_runs(width, buckets), "bucket int, part int, prefix binary, length binary, rest binary, before binary, before_length binary, first binary, of binary, places binary, ids binary")
