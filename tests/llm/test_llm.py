@@ -377,7 +377,7 @@ def luhn(number):
 
 def test_pii(spark):
     texts = [
-        (1, "mail hein.19@mail5.example.com, ip 172.242.194.228!! card 4111 1111 1111 1111, 4381893557741609. phone +1 (743) 555-3824 ssn 123-45-6789 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" Mr. John Smith met Frau Müller and г-жа Иванова"),
+        (1, "mail hein.19@mail5.example.com, ip 172.242.194.228!! card 4111 1111 1111 1111, 4381893557741608. phone +1 (743) 555-3824 ssn 123-45-6789 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" Mr. John Smith met Frau Müller and г-жа Иванова"),
         (2, None), (3, ""), (4, "version 2.0. and 1.2.3 stay"), (5, "hein.19@mail5.example.com"), (5, "hein.19@mail5.example.com"), (6, "+1 (743) 555-3825 172.242.194.229 Mrs. Jane Smith"),
     ]
     df = spark.createDataFrame([(i, t, "clash") for i, t in texts], "doc_id long, text string, kinds string")
