@@ -283,6 +283,8 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, radi
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = linked.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
     whole = classes.join(linked, classes["fp"] == linked["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("component_id", "first_id").alias("component_id"))
+    # A table of its own, so that AQE can split what rows of one fingerprint the other side has.
+    whole = materialize(whole, "classes")
     return fps.join(whole, fps["fp"] == whole["__fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
