@@ -248,3 +248,34 @@ def slug(text: Column | str, joint: str = "-") -> Column:
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+# The headings of the parts of a picture's context.
+CONTEXT_HEADS = {"before": "### Nearby Text Before Image", "current": "### Current Image Caption/Footnote", "after": "### Nearby Text After Image"}
+
+
+def context_parts(context: Column | str) -> Column:
+    """The texts under the three headings of a context, each up to the next heading there is."""
+    t = F.coalesce(col(context), F.lit(""))
+    at = {k: F.instr(t, F.lit(h)) for k, h in CONTEXT_HEADS.items()}
+
+    def part(name: str) -> Column:
+        start = at[name] + len(CONTEXT_HEADS[name])
+        later = [F.when(p > at[name], p) for k, p in at.items() if k != name]
+        end = F.coalesce(F.least(*later), F.char_length(t) + 1)
+        return F.when(at[name] > 0, F.btrim(F.substr(t, start, end - start), F.lit(" \t\r\n"))).otherwise("").alias(name)
+
+    return F.struct(*[part(k) for k in CONTEXT_HEADS])
+
+
+def usage_count(usage: Column | str, key: str) -> Column:
+    """A count of a usage object in JSON; zero where it is missing or no number."""
+    return F.coalesce(F.get_json_object(col(usage), f"$.{key}").try_cast("int"), F.lit(0))
+
+
+def replace_references(json: Column | str, replacements: dict[str, str]) -> Column:
+    """Old names in all strings of nested JSON become new ones (B32); both are written as JSON holds them."""
+    out = col(json)
+    for old, new in replacements.items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out

@@ -112,3 +112,19 @@ def stratified_sample(rows: DataFrame, *, strata: str, key: str, quota: int, see
     """quota rows of each stratum in the order of a seeded hash."""
     w = Window.partitionBy(strata).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
     return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= quota).drop("k")
+
+
+# The order of the stages of a benchmark.
+STAGE_ORDER = ("baseline", "dpi", "quality", "concurrency", "batch-size", "checkpoint", "dpi-confirm", "final")
+
+
+def run_table(params: DataFrame, summaries: DataFrame, samples: DataFrame, *, on: str = "run_id", stage: str = "stage") -> DataFrame:
+    """Parameters, summary and samples of each run, in order of the stages."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STAGE_ORDER)), F.col(stage)), F.lit(0)), F.lit(99))
+    return params.join(summaries, on, "left").join(samples, on, "left").orderBy(place, on)
+
+
+def labelled_runs(rows: DataFrame, labels: dict[str, str], *, on: str = "run_id") -> DataFrame:
+    """Named runs with their labels, in order of the labels given."""
+    names = rows.sparkSession.createDataFrame([(i, k, v) for i, (k, v) in enumerate(labels.items())], f"place int, {on} string, label string")
+    return rows.join(F.broadcast(names), on).orderBy("place").drop("place")

@@ -29,16 +29,17 @@ def quota_sample(chunks: DataFrame, *, target: int, order: str = "chunk_no", sec
     """The first unseen section of each type up to its quota, at least one of each, then backfill by type.
 
     Every row is the first of its section or left out; if sections are too few for the target, the
-    other rows follow in order. One window ranks the pool and one the backfill.
+    other rows follow in order. A window with a limit for each type leaves at most target rows of each.
     """
     first = F.row_number().over(Window.partitionBy(section).orderBy(order)) == 1
     rows = chunks.withColumn("repeat", (~first).cast("int"))
-    pool = rows.withColumn("n_first", F.sum(1 - F.col("repeat")).over(Window.partitionBy()))
-    pool = pool.where((F.col("repeat") == 0) | (F.col("n_first") < target))
+    firsts = rows.agg(F.sum(1 - F.col("repeat")).alias("n_first"))
+    pool = rows.crossJoin(F.broadcast(firsts)).where((F.col("repeat") == 0) | (F.col("n_first") < target))
     sizes = quota_sizes(target)
     quota = F.create_map(*[F.lit(z) for k, v in sizes.items() for z in (k, max(1, v))])
     place = F.row_number().over(Window.partitionBy(kind).orderBy("repeat", order))
-    pool = pool.withColumn("place", place).withColumn("in_quota", F.col("place") <= F.try_element_at(quota, F.col(kind)))
+    # Beyond place target no row of a type is ever taken, so the last ranking is over a few rows.
+    pool = pool.withColumn("place", place).where(F.col("place") <= target).withColumn("in_quota", F.col("place") <= F.try_element_at(quota, F.col(kind)))
     quota_order = F.array_position(F.array(*map(F.lit, sizes)), F.col(kind))
     back_order = F.array_position(F.array(*map(F.lit, BACKFILL)), F.col(kind))
     turn = F.struct((~F.col("in_quota")).cast("int").alias("a"), F.when(F.col("in_quota"), quota_order).otherwise(back_order).alias("b"), "place")
@@ -98,3 +99,35 @@ def support_coverage(claims: DataFrame, pages: DataFrame, *, on: list[str], floo
 def sentences(text: Column) -> Column:
     """Sentences of 45 to 520 characters."""
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.btrim(s)), lambda s: (F.char_length(s) >= 45) & (F.char_length(s) <= 520))
+
+
+# Fixed value: the share of questions on pictured pages.
+VISUAL_SHARE = 0.15
+
+
+def mixed_set(text_queries: DataFrame, visual_queries: DataFrame, *, target: int, order: str = "query_no") -> DataFrame:
+    """Text queries, then visual ones up to their share, numbered anew (M6)."""
+    n_visual = max(0, min(target, round(target * VISUAL_SHARE)))
+    w = Window.orderBy(order)
+    visual = visual_queries.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n_visual)
+    have = visual.agg(F.count("*").alias("n_visual"))
+    text = text_queries.withColumn("k", F.row_number().over(w)).join(F.broadcast(have)).where(F.col("k") <= target - F.col("n_visual")).drop("n_visual")
+    both = text.withColumn("turn", F.lit(0)).unionByName(visual.withColumn("turn", F.lit(1)))
+    return both.withColumn("query_id", F.format_string("full-%03d", F.row_number().over(Window.orderBy("turn", "k")))).drop("turn", "k")
+
+
+def outline_at_page(outline: DataFrame, pages: DataFrame, *, key: str = "source") -> DataFrame:
+    """The path of each page: of each level the latest entry up to it that no higher level has ended since.
+
+    outline has outline_index, level, title and page; pages have page. An entry holds from its page to the
+    next entry of its own or a higher level, so the path is a join of pages with these spans.
+    """
+    rest = Window.partitionBy(key).orderBy("outline_index").rowsBetween(1, Window.unboundedFollowing)
+    later = F.collect_list(F.struct("level", "page")).over(rest)
+    until = F.get(F.filter(later, lambda x: x["level"] <= F.col("level")), F.lit(0))["page"]
+    spans = outline.withColumn("until", until)
+    reach = (F.col("p") >= F.col("page")) & (F.col("until").isNull() | (F.col("p") < F.col("until")))
+    found = pages.select(key, F.col("page").alias("p")).distinct().join(spans, key).where(reach)
+    # Entries of one level on one page end each other; of what is left each level has one.
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "outline_index", "title"))), lambda x: x["title"]), " > ")
+    return found.groupBy(key, F.col("p").alias("page")).agg(path.alias("path"))

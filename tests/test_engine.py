@@ -268,3 +268,34 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and os.path.isdir(SF)
+
+
+def test_small_rewrites(spark):
+    context = "x\n### Nearby Text Before Image\n a \n### Nearby Text After Image\nb"
+    r = one(spark, X.context_parts(F.lit(context)), X.usage_count(F.lit('{"total_tokens": "7"}'), "total_tokens"), X.usage_count(F.lit("{}"), "total_tokens"), X.replace_references(F.lit('{"a": ["old.pdf"]}'), {"old.pdf": "new.pdf"}))
+    assert tuple(r[0]) == ("a", "", "b") and tuple(r)[1:] == (7, 0, '{"a": ["new.pdf"]}')
+
+
+def test_paths_of_pages(spark):
+    toc = [("s", 0, 1, "A", 1), ("s", 1, 2, "B", 2), ("s", 2, 3, "C", 2), ("s", 3, 2, "D", 4), ("s", 4, 1, "E", 6)]
+    outline = spark.createDataFrame(toc, "source string, outline_index int, level int, title string, page int")
+    got = {r.page: r.path for r in S.outline_at_page(outline, spark.createDataFrame([("s", p) for p in range(7)], "source string, page int")).collect()}
+    want = {}
+    for page in range(7):
+        active = {}
+        for _, _, level, title, at in toc:
+            if at <= page:
+                active = {k: v for k, v in active.items() if k < level} | {level: title}
+        if active:
+            want[page] = " > ".join(active[k] for k in sorted(active))
+    assert got == want
+
+
+def test_mixed_and_labelled(spark):
+    rows = lambda n, kind: spark.createDataFrame([(i, kind) for i in range(n)], "query_no int, kind string")
+    got = S.mixed_set(rows(30, "t"), rows(30, "v"), target=20).orderBy("query_id").collect()
+    assert [r.kind for r in got] == ["t"] * 17 + ["v"] * 3 and got[-1].query_id == "full-020"
+    runs = spark.createDataFrame([("a", "final"), ("b", "dpi"), ("c", "odd")], "run_id string, stage string")
+    none = spark.createDataFrame([("a", 1.0)], "run_id string, mean double")
+    assert [r.run_id for r in N.run_table(runs, none, none.withColumnRenamed("mean", "gpu")).collect()] == ["b", "a", "c"]
+    assert [(r.run_id, r.label) for r in N.labelled_runs(runs, {"c": "C", "a": "A"}).collect()] == [("c", "C"), ("a", "A")]
