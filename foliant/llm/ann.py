@@ -241,27 +241,42 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, trees: int = TR
     asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, "grove int, block int, leaves binary, query_id long, v binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            q = np.frombuffer(b"".join(left.column("v").to_pylist())).reshape(-1, d)
-            q_ids = left.column("query_id").to_numpy()
-            opened = [np.frombuffer(z, np.int32) for z in left.column("leaves").to_pylist()]
-            x = np.frombuffer(b"".join(right.column("v").to_pylist())).reshape(-1, d)
-            x_ids, leaf = right.column("vec_id").to_numpy(), right.column("leaf").to_numpy()
-            who, what = np.repeat(np.arange(len(q)), [len(z) for z in opened]), np.concatenate(opened)
-            for one in np.unique(leaf):
-                rows_in, asking = np.flatnonzero(leaf == one), who[what == one]
-                if len(asking):
-                    for o, z in zip(out, best_of(q[asking], q_ids[asking], x[rows_in], x_ids[rows_in], k), strict=True):
-                        o.append(z)
-        a, b, s = (np.concatenate(o) if o else np.zeros(0) for o in out)
-        # The k best of all leaves here, each vector once.
-        order = np.lexsort((b, -s, a))
-        a, b, s = a[order].astype(np.int64), b[order].astype(np.int64), s[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        a, b, s = a[new], b[new], s[new]
-        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        got = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        q = np.frombuffer(b"".join(left.column("v").to_pylist())).reshape(-1, d)
+        q_ids = left.column("query_id").to_numpy()
+        x = np.frombuffer(b"".join(right.column("v").to_pylist())).reshape(-1, d)
+        x_ids, leaf = right.column("vec_id").to_numpy(), right.column("leaf").to_numpy()
+        opened = [np.frombuffer(z, np.int32) for z in left.column("leaves").to_pylist()]
+        who = np.repeat(np.arange(len(q)), [len(z) for z in opened])
+        what = np.concatenate([np.zeros(0, np.int32), *opened])
+        for one in np.unique(leaf):
+            rows_in, asking = np.flatnonzero(leaf == one), who[what == one]
+            if not len(asking):
+                continue
+            near = q[asking] @ x[rows_in].T
+            near[q_ids[asking][:, None] == x_ids[rows_in][None, :]] = -np.inf
+            floor = np.partition(near, -k, axis=1)[:, -k] if len(rows_in) > k else np.full(len(asking), -np.inf)
+            i, j = np.nonzero((near >= (floor - 1e-9 * np.maximum(1, np.abs(floor)))[:, None] if len(rows_in) > k else near > -np.inf) & (near > -np.inf))
+            for o, z in zip(got, (asking[i], rows_in[j], near[i, j]), strict=True):
+                o.append(z)
+        i, j, near = (np.concatenate(o) for o in got)
+        # Each vector once for a query; of those, the k nearest and what could tie with them are reranked exactly.
+        order = np.lexsort((-near, x_ids[j], i))
+        i, j, near = i[order], j[order], near[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (x_ids[j][1:] != x_ids[j][:-1])
+        i, j, near = i[new], j[new], near[new]
+        order = np.lexsort((-near, i))
+        i, j, near = i[order], j[order], near[order]
+        start = np.searchsorted(i, i)
+        last = np.minimum(start + k, np.searchsorted(i, i, "right")) - 1
+        close = near >= near[last] - 1e-9 * np.maximum(1, np.abs(near[last]))
+        i, j = i[close], j[close]
+        s = exact_products(q[i], x[j])
+        order = np.lexsort((x_ids[j], -s, i))
+        i, j, s = i[order], j[order], s[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        a, b = q_ids[i].astype(np.int64), x_ids[j].astype(np.int64)
         return pa.table({"query_id": a[keep], "vec_id": b[keep], "score": s[keep]})
 
     keys = ["grove", "block"]
