@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KS = (1, 3, 5, 10)
 SNIPPET_CHARS = 40
+#: Characters of a text that are hashed at once, and the base of the hash.
+_PIECE, _BASE = 1 << 18, 0x9E3779B97F4A7C15
 
 
 def evidence_anchors(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -29,18 +35,52 @@ def remap_by_blocks(anchors: DataFrame, chunks: DataFrame, *, doc: str = "doc_id
     return a.join(c, [doc, "block"]).groupBy("query_id", doc, "chunk_id").agg(F.count_distinct("block").alias("overlap"))
 
 
+def _window_minima(text: str) -> np.ndarray:
+    """The distinct least gram hashes of all windows of SNIPPET_CHARS characters of text."""
+    out = []
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    for at in range(0, len(points) - SNIPPET_CHARS + 1, _PIECE):
+        with np.errstate(over="ignore"):
+            h, step = {1: points[at : at + _PIECE + SNIPPET_CHARS - 1].astype(np.uint64) + np.uint64(1)}, 1
+            while step < 16:
+                h[2 * step] = h[step][:-step] * np.uint64(pow(_BASE, step, 1 << 64)) + h[step][step:]
+                step *= 2
+            grams = h[16][:-4] * np.uint64(pow(_BASE, 4, 1 << 64)) + h[4][16:]
+            grams = (grams ^ (grams >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            grams ^= grams >> np.uint64(32)
+        for step in (1, 2, 4, 8):
+            grams = np.minimum(grams[:-step], grams[step:])
+        # Minima of 16 grams, and of 21 from two of them.
+        out.append(np.unique(np.minimum(grams[:-5], grams[5:])))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def _anchored(rows: DataFrame) -> DataFrame:
+    """rows without their last column, a text, and a row for each key of it: see snippet_matches()."""
+    names = rows.columns[:-1]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                keys = [_window_minima(t.as_py()) for t in part.column(len(names))]
+                of = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                found = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(i).take(of) for i in range(len(names))] + [pa.array(found.view(np.int64))], [*names, "key"])
+
+    return rows.mapInArrow(run, f"{kinds}, key long")
+
+
 def snippet_matches(snippets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id) where a snippet of some length is contained in a text.
+    """(item_id, doc_id) where a snippet of SNIPPET_CHARS characters or more is contained in a text.
 
-    Candidates meet on the first words of the snippet, so that no pair without them is compared.
+    Candidates meet on the least hash of a 20-character gram in the snippet's first SNIPPET_CHARS characters;
+    a text has the least hash of each window of that length. So each text that holds the snippet meets it,
+    with blanks or without, and only what meets is compared.
     """
-    words = lambda c: F.split(F.btrim(c), " ")
-    key = lambda w, i: F.concat_ws(" ", F.slice(w, i, F.lit(5)))
-    s = snippets.where(F.char_length("text") >= SNIPPET_CHARS).select("item_id", F.col("text").alias("snippet"), words(F.col("text")).alias("w"))
-    # The first word may be the end of a longer one in the text, so the key starts at the second.
-    s = s.where(F.size("w") >= 7).select("item_id", "snippet", key(F.col("w"), F.lit(2)).alias("key"))
-    d = docs.where("text IS NOT NULL").select("doc_id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= 6)
-    keys = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: key(F.col("w"), i)))).alias("key"))
+    s = _anchored(snippets.where(F.char_length("text") >= SNIPPET_CHARS).select("item_id", F.col("text").alias("snippet"), F.substring("text", 1, SNIPPET_CHARS).alias("head")))
+    keys = _anchored(docs.where("text IS NOT NULL").select("doc_id", "text"))
     pairs = s.join(keys, "key").select("item_id", "snippet", "doc_id")
     return pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "snippet")).select("item_id", "doc_id").distinct()
 

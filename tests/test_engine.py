@@ -152,6 +152,17 @@ def test_maxsim(spark):
     assert [(r.page_id, r.score) for r in R.maxsim_topk(p, q, 2).orderBy("rank").collect()] == [(0, 2.0), (1, round(math.sqrt(2), 6))]
 
 
+def test_snippets_of_few_words(spark, monkeypatch):
+    monkeypatch.setattr(E, "_PIECE", 64)  # texts are hashed in several pieces
+    han = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(150))
+    url = "https://example.org/" + "/".join(f"part{i}" for i in range(12))
+    docs = [(1, han), (2, f"see {url}, or not"), (3, "a" * 90), (4, "one two three four five six seven eight nine ten eleven"), (5, None), (6, "short"), (6, url), (7, "x" + han[30:70]), (8, "\U0001f600" * 41)]
+    items = [(10, han[:40]), (11, han[110:]), (12, han[55:99]), (13, han[:39]), (14, url), (15, url[:45]), (16, "a" * 40), (17, "a" * 91), (18, docs[3][1][2:46]), (19, f"see {url}"), (20, None), (21, han[30:70]), (22, han[30:71]), (23, "\U0001f600" * 40)]
+    got = E.snippet_matches(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = {(i, d) for i, t in items if t and len(t) >= 40 for d, text in docs if text and t in text}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([(1, 1, 9), (1, 2, 5), (1, 3, 5)], "query_id int, rank int, id int")
     r = E.ranking_metrics(hits, spark.createDataFrame([(1, 5)], "query_id int, id int"), spark.createDataFrame([(1,), (2,)], "query_id int"), ks=(1, 2, 3)).orderBy("query_id").collect()
