@@ -9,8 +9,17 @@ from .shared import materialize
 
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Mme", "Madame", "г-жа")}
+_TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Mme", "Madame", "г-жа"), "n": ("Dr", "Prof", "Professor", "Mx")}
 _TITLE = "(?:" + "|".join(sorted((t for x in _TITLES.values() for t in x), key=len, reverse=True)) + r")\.?"
+_TITLE_RUN = rf"{_TITLE}(?: {_TITLE}(?= ))*+"
+_FIRST = "".join(sorted({t[0] for x in _TITLES.values() for t in x}))
+
+#: A word of a name: letters of either case, then parts after an apostrophe or hyphen. One letter alone is none.
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}\p{N}]++|(?=['’-]\p{L}))(?:['’-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*+)*+"
+_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
+#: Small words within a name; only before one of its words.
+_SMALL = "von|van|vom|zu|zum|zur|der|den|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|af|av|ter|ten|te|bin|ibn|al|el"
+_NAME_PART = rf"(?!{_TITLE} )(?:(?:{_SMALL}) )*+(?:(?:d|l|al|el|ibn)['’-])?+(?:{_INITIALS}-?(?:{_WORD})?+|{_WORD})"
 
 #: What is detected, in order: where two could start at one place, the first does.
 PATTERNS = {
@@ -20,7 +29,7 @@ PATTERNS = {
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7})(?!\d)",
-    "name": rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+){{0,2}}",
+    "name": rf"(?=[{_FIRST}])(?<!\p{{L}}){_TITLE_RUN} {_NAME_PART}(?: {_NAME_PART})*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _KINDS = {"email": "@", "ip": r"^\d{1,3}(\.\d{1,3}){3}$", "phone": r"^\+", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^\d[\d -]*$", "secret": r"^[0-9A-Fa-f]+$"}
@@ -119,18 +128,26 @@ def _choose(words: list[str], hexed: Column, byte: int) -> Column:
 
 
 def _name(value: Column, hexed: Column) -> Column:
-    """Title and number of words stay; given names follow the title's gender and the script."""
-    title = F.regexp_extract(value, rf"^({_TITLE}) ", 1)
-    female = title.rlike("^(?:" + "|".join(_TITLES["f"]) + r")\.?$")
-    several = F.size(F.split(value, " ")) > 2
+    """Titles and number of words stay; given names follow the titles' gender and the script."""
+    title = F.regexp_extract(value, rf"^({_TITLE_RUN}) ", 1)
+    female, male = (title.rlike(r"(?:^| )(?:" + "|".join(_TITLES[x]) + r")\.?(?: |$)") for x in "fm")
+    name = F.substr(value, F.length(title) + 2, F.length(value))
+    n = F.size(F.split(name, " "))
 
     def of(script: str) -> Column:
-        given = F.when(female, _choose(_GIVEN[script, "f"], hexed, 0)).otherwise(_choose(_GIVEN[script, "m"], hexed, 0))
+        given = F.when(female, _choose(_GIVEN[script, "f"], hexed, 0)).when(male, _choose(_GIVEN[script, "m"], hexed, 0)).otherwise(_choose(_GIVEN[script, "m"] + _GIVEN[script, "f"], hexed, 0))
         family = F.initcap(F.concat(*[_choose(_SYLLABLES[script], hexed, b) for b in (8, 16, 24, 32)]))
-        middle = F.when(F.size(F.split(value, " ")) > 3, F.concat(F.lit(" "), F.initcap(F.concat(*[_choose(_SYLLABLES[script], hexed, b) for b in (40, 48)])))).otherwise("")
-        return F.concat(title, F.lit(" "), F.when(several, F.concat(given, middle, F.lit(" "), family)).otherwise(family))
+        middle = F.initcap(F.concat(*[_choose(_SYLLABLES[script], hexed, b) for b in (40, 48)]))
+
+        def further(i: Column) -> Column:
+            own = F.sha2(F.concat(hexed, i.cast("string")), 512)
+            return F.initcap(F.concat(*[_choose(_SYLLABLES[script], own, b) for b in (0, 8)]))
+
+        rest = F.when(n > 3, F.transform(F.sequence(F.lit(4), F.greatest(n, F.lit(4))), further)).otherwise(F.array().cast("array<string>"))
+        words = F.when(n == 1, F.array(family)).when(n == 2, F.array(given, family)).otherwise(F.concat(F.array(given, middle), rest, F.array(family)))
+        return F.concat(title, F.lit(" "), F.array_join(words, " "))
 
-    return F.when(F.regexp_extract(value, r"^\S+ (.*)$", 1).rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+    return F.when(name.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
 
 def surrogate(value: Column, key: str, attempt: Column | None = None) -> Column:
@@ -198,7 +215,8 @@ def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_
     """docs with the text replaced and n_entities and kinds added (columns of those names are replaced).
 
     Entities are emails, IPv4 addresses, secrets (32 to 64 hexadecimal digits), phones with a country code,
-    social security numbers, card numbers and names after a title. An entity has the same surrogate in all
+    social security numbers, card numbers and names after one of _TITLES: all words up to the first that is
+    not of a name (_NAME_PART). An entity has the same surrogate in all
     documents, distinct entities have distinct ones, and no surrogate is an entity of the corpus. Null
     texts stay null with no entities; repeated rows and null ids are rows like others; an empty table gives
     an empty result. kinds lists the kinds found, sorted, with commas.

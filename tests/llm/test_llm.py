@@ -396,6 +396,25 @@ def test_pii(spark):
     assert pii.replace_entities(df, "other").where("doc_id = 5").first().text != mail
 
 
+def test_pii_whole_names(spark):
+    names = [
+        "Mr. O'Brien", "Mr. O’Neill", "Frau Müller-Schmidt", "Mr McDonald", "Mr. John F. Kennedy", "Mr. Jean-Luc Picard", "Dr. House", "Prof. Dr. Weber", "Herr Dr. K. Meier",
+        "Mr. J. R. R. Tolkien", "Mr. J.R.R. Hobbit", "M. le Mr. Ludwig van Beethoven"[6:], "Mme de la Tour", "Señor Gabriel José García Márquez", "Mr. O'Hara", "Mr. d'Artagnan", "Frau K. Schulz", "г-н Римский-Корсаков", "Mrs. Smith", "Mr. Lee2",
+    ]
+    df = spark.createDataFrame([(i, f"then {n}, and {n} left; I saw it") for i, n in enumerate(names)], "doc_id long, text string")
+    got = [r.text for r in pii.replace_entities(df, "k").orderBy("doc_id").collect()]
+    new = [re.fullmatch(r"then (.+), and (.+) left; I saw it", t) for t in got]
+    assert all(m and m[1] == m[2] for m in new) and len({m[1] for m in new}) == len(names)
+    for name, m in zip(names, new, strict=True):
+        title = re.match(r"(?:(?:Mr|Mrs|Dr|Prof|Herr|Frau|Mme|Señor|г-н)\.? )+", name)[0]
+        assert m[1].startswith(title) and not set(re.findall(r"\w{2,}", name[len(title) :])) & set(re.findall(r"\w{2,}", m[1][len(title) :]))
+        assert re.fullmatch(r"[A-ZА-Я][a-zа-я]+(?: [A-ZА-Я][a-zа-я]+)*", m[1][len(title) :]) and m[1].count(" ") == name.count(" ")
+    other = spark.createDataFrame([(1, "Mr. Smith I think"), (2, "Mr. Smith Mrs. Jones"), (3, "a Dr of it, Drive on, Mr. and Mr. x")], "doc_id long, text string")
+    a, b, c = (r.text for r in pii.replace_entities(other, "k").orderBy("doc_id").collect())
+    assert re.fullmatch(r"Mr\. [A-Z]\w+ I think", a) and re.fullmatch(r"Mr\. [A-Z]\w+ Mrs\. [A-Z]\w+", b) and "Smith" not in a + b and "Jones" not in b
+    assert c == "a Dr of it, Drive on, Mr. and Mr. x"
+
+
 def test_pii_collisions(spark, monkeypatch):
     values = [f"user{i}@mail.example.com" for i in range(30)]
     df = spark.createDataFrame([(i, f"to {v}") for i, v in enumerate(values)], "doc_id long, text string")
