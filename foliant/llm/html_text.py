@@ -27,7 +27,11 @@ _NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hi
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-_HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+_HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist".split())
+#: Within formulas and drawings: what shows no text of its own; elements of a formula whose blanks count.
+_NO_FORMULA = frozenset("annotation annotation-xml mphantom".split())
+_NO_LABEL = frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+_LEAVES = frozenset("mi mn mo ms mtext".split())
 #: Blocks; those of _SPACED stand apart by an empty line.
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul tr td th caption thead tbody tfoot".split())
 _SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir".split())
@@ -116,6 +120,8 @@ def parse(source: str) -> Node:
                 stack.pop()
             if tag in _VOID or m["attrs"].endswith("/") and tag not in _BLOCK and tag not in _RAW:
                 stack[-1].children.append(Node(tag, attrs))
+            elif tag in _RAW and m["attrs"].endswith("/") and any(x.tag in ("svg", "math") for x in stack):
+                stack[-1].children.append(Node(tag, attrs))
             elif tag in _RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
                 node = Node(tag, attrs)
@@ -208,35 +214,115 @@ def width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def lay_out(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Rows of cells (columns spanned, lines) with the cells of a column under each other."""
+def place(rows: list[list[tuple[int, int, list[str]]]], cuts: set[int]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of cells (column, columns spanned, lines) from rows of cells (columns and rows spanned, lines).
+
+    A cell that spans rows keeps its columns in the rows that follow, up to the next of cuts, where a
+    section of the table starts or ends; 0 rows are all up to there.
+    """
+    out, held = [], {}
+    for r, row in enumerate(rows):
+        if r in cuts:
+            held = {}
+        own, new, column = [], {}, 0
+        for span, down, lines in row:
+            while column in held:
+                column += 1
+            own.append((column, span, lines))
+            if down != 1:
+                new |= dict.fromkeys(range(column, column + span), down or len(rows) + 1)
+            column += span
+        held = {c: n - 1 for c, n in (held | new).items() if n > 1}
+        out.append(own)
+    return out
+
+
+def lay_out(rows: list[list[tuple[int, int, list[str]]]], cuts: set[int]) -> list[str]:
+    """Rows of cells with the cells of a column under each other; see place()."""
     widths: dict[int, int] = {}
-    for row in rows:
-        column = 0
-        for span, lines in row:
+    placed = place(rows, cuts)
+    for row in placed:
+        for column, span, lines in row:
             if span == 1:
                 w = max(map(width, lines), default=0)
                 if w <= CELL_WIDTH:
                     widths[column] = max(widths.get(column, 0), w)
-            column += span
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for _, lines in row), default=0)):
-            parts, column = [], 0
-            for span, lines in row:
+    for row in placed:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            parts, at = [], 0
+            for column, span, lines in row:
+                parts += [" " * widths.get(c, 0) for c in range(at, column)]
                 s = lines[k] if k < len(lines) else ""
                 room = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
                 parts.append(s + " " * (room - width(s)))
-                column += span
+                at = column + span
             out.append("  ".join(parts).rstrip())
     return out
 
 
+def span_of(node: Node, name: str, least: int, most: int) -> int:
+    span = node.attrs.get(name, "1").strip()
+    return min(most, max(least, int(span))) if re.fullmatch(r"\d{1,5}", span) else 1
+
+
+def formula(math: Node) -> str:
+    """The text of a formula in order; a fraction has a bar, cells of a matrix a blank between them."""
+    out, todo = [], [math]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        if x.tag in _NO_FORMULA or not visible(x):
+            continue
+        if x.tag in _LEAVES:
+            kids = [_SPACE.sub(" ", c) if isinstance(c, str) else c for c in x.children]
+            if kids and isinstance(kids[0], str):
+                kids[0] = kids[0].lstrip(" ")
+            if kids and isinstance(kids[-1], str):
+                kids[-1] = kids[-1].rstrip(" ")
+        else:
+            kids = [c for c in x.children if isinstance(c, Node) or c.strip()]
+        if x.tag == "mfrac" and len(kids) == 2:
+            kids.insert(1, " / ")
+        elif x.tag in ("mtd", "mtr", "mtable"):
+            kids = [" ", *kids, " "]
+        todo.extend(reversed(kids))
+    return "".join(out)
+
+
+def drawn(node: Node) -> bool:
+    a = node.attrs
+    return node.tag not in _NO_LABEL and a.get("display", "").lower() != "none" and a.get("visibility", "").lower() not in ("hidden", "collapse") and visible(node)
+
+
+def labels(svg: Node) -> list[Node | str]:
+    """The texts of a drawing and the pages within it, blanks between them; lines of a text stand apart as well."""
+    out, todo = [], list(reversed(svg.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or not drawn(x):
+            continue
+        if x.tag not in ("text", "foreignobject"):
+            todo.extend(reversed(x.children))
+            continue
+        out += [" ", x]
+        inner = [x] if x.tag == "text" else []
+        while inner:
+            y = inner.pop()
+            kids = [c for c in y.children if isinstance(c, str) or drawn(c)]
+            y.children = [z for c in kids for z in ((" ", c) if isinstance(c, Node) and c.tag == "tspan" and c.attrs.keys() & {"x", "y", "dy"} else (c,))]
+            inner += [c for c in kids if isinstance(c, Node)]
+    return [*out, " "] if out else []
+
+
 def render(root: Node) -> str:
     """All visible text; a stack of steps instead of recursion, as pages may nest deeply."""
     flows = [Flow()]
     lists: list[list] = []
-    tables: list[list[list[tuple[int, list[str]]]]] = []
+    tables: list[list[list[tuple[int, int, list[str]]]]] = []
+    cuts: list[set[int]] = []
     pre = 0
     steps: list = [(root, True)]
     while steps:
@@ -260,6 +346,18 @@ def render(root: Node) -> str:
                 if node.attrs.get("type", "text").lower() in ("text", "submit", "button", "search") and node.attrs.get("value"):
                     flow.text(node.attrs["value"])
                 continue
+            if tag == "math":
+                shown = formula(node)
+                if node.attrs.get("display", "").lower() == "block":
+                    flow.edge(False)
+                    flow.text(shown)
+                    flow.edge(False)
+                else:
+                    flow.text(shown)
+                continue
+            if tag == "svg":
+                steps.extend((x, True) for x in reversed(labels(node)))
+                continue
             if tag in _BLOCK and tag not in ("td", "th", "tr", *_SECTIONS):
                 flow.edge(tag in _SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists))
             if tag in ("ul", "ol", "menu", "dir"):
@@ -269,6 +367,9 @@ def render(root: Node) -> str:
                 flows.append(Flow())
             elif tag == "table":
                 tables.append([])
+                cuts.append(set())
+            elif tag in _SECTIONS and tables:
+                cuts[-1].add(len(tables[-1]))
             elif tag == "tr" and tables:
                 tables[-1].append([])
             elif tag in ("td", "th"):
@@ -299,12 +400,13 @@ def render(root: Node) -> str:
             flows[-1].edge(tag == "blockquote")
         elif tag in ("td", "th") and tables:
             lines = flows.pop().done()
-            span = node.attrs.get("colspan", "1").strip()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((min(100, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1, lines))
+            tables[-1][-1].append((span_of(node, "colspan", 1, 100), span_of(node, "rowspan", 0, 65534), lines))
+        elif tag in _SECTIONS and tables:
+            cuts[-1].add(len(tables[-1]))
         elif tag == "table":
-            flows[-1].put(lay_out(tables.pop()))
+            flows[-1].put(lay_out(tables.pop(), cuts.pop()))
             flows[-1].edge(True)
         elif tag == "pre":
             pre -= 1
@@ -329,7 +431,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
 
     text is all visible text: blocks on lines of their own, paragraphs, headings, lists and tables apart by
     an empty line, list items with marks and indents, cells of a column under each other, preformatted
-    text as it is. Scripts, styles, heads, templates, hidden elements and those that their style attribute
+    text as it is, formulas in a line, texts of drawings apart by blanks. Scripts, styles, heads, templates, hidden elements and those that their style attribute
     hides are left out. A null page has a null title and text, an empty one an empty text; rows are
     rendered one by one, so repeated rows and null ids are rows like others.
     """

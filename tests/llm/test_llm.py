@@ -460,6 +460,22 @@ def test_html(page, text):
     assert html_text.render(html_text.parse(page)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><semantics><mrow> <mi> x </mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>x=\\frac12</annotation></semantics></math> b", "a x=1 / 2 b"),
+        ("a<math display=block><mtext>if  so</mtext><mphantom><mi>q</mi></mphantom></math>b<math hidden><mi>z</mi></math>", "a\nif so\nb"),
+        ("a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><g><text x=1>Sales <tspan>up</tspan></text><text>2024<tspan dy=1>Q1</tspan></text></g><text display=none>no</text>stray<path d='M0'/></svg>b", "a Sales up 2024 Q1 b"),
+        ("<svg><title/><foreignObject><p>page</foreignObject></svg> end", "page\n\nend"),
+        ("<table><tr><th>A<th>B<th>C<tr><td rowspan=2>1<td>2<td>3<tr><td>4<td>5<tr><td>6<td>7<td>8</table>", "A  B  C\n1  2  3\n   4  5\n6  7  8"),
+        ("<table><tbody><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g<tbody><tr><td>h<td>i<td>j<td>k</table>", "a  b     c\nd        e\nf        g\nh  i  j  k"),
+        ("<table><tr><td rowspan=9>a<table><tr><td>x</td></tr></table></td><td>b</td></tr><tr><td>c</td></tr></table>", "a  b\n\nx\n   c"),
+    ],
+)
+def test_html_formulas_drawings_and_spans(page, text):
+    assert html_text.render(html_text.parse(page)) == text
+
+
 def test_html_rows(spark):
     deep = "<div>" * 20_000 + "x"
     df = spark.createDataFrame([(1, None, 0), (2, deep, 0), (2, deep, 0), (None, "<p>a", 0)], "page_id long, html string, title int")
