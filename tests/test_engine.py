@@ -152,6 +152,21 @@ def test_maxsim(spark):
     assert [(r.page_id, r.score) for r in R.maxsim_topk(p, q, 2).orderBy("rank").collect()] == [(0, 2.0), (1, round(math.sqrt(2), 6))]
 
 
+def test_maxsim_of_many_tokens(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)  # blocks that cut the tokens of a query
+    patches = [(i // 3, [math.cos(i), math.sin(i)]) for i in range(12)]
+    tokens = [(i // 5, i, [math.cos(7 * i), math.sin(7 * i)]) for i in range(13)]
+    want = []
+    for q in range(3):
+        scores = {page: round(sum(max(x * a + y * b for p, (a, b) in patches if p == page) for i, _, (x, y) in tokens if i == q), 6) for page in range(4)}
+        want += [(q, page, s, n) for n, (page, s) in enumerate(sorted(scores.items(), key=lambda z: (-z[1], z[0]))[:3])]
+    p = spark.createDataFrame(patches, "page_id long, embedding array<double>")
+    q = spark.createDataFrame(tokens, "query_id long, token_idx long, embedding array<double>")
+    got = R.maxsim_topk(p, q, 3).select("query_id", "page_id", "score", "rank").collect()
+    assert sorted(map(tuple, got), key=lambda r: (r[0], r[3])) == want
+    assert R.maxsim_topk(p, q.limit(0), 3).count() == 0
+
+
 def test_snippets_of_few_words(spark, monkeypatch):
     monkeypatch.setattr(E, "_PIECE", 64)  # texts are hashed in several pieces
     han = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(150))
