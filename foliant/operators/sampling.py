@@ -1,4 +1,4 @@
-"""Query sets and gold sets: typing, eligibility, quotas, keywords, systematic samples and integrity rules."""
+"""Query sets and gold sets: typing, quotas, keywords, systematic samples and integrity rules."""
 
 from __future__ import annotations
 
