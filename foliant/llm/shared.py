@@ -49,11 +49,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables of this application that nothing will read again."""
+    for df in tables:
+        folders = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+        for folder in folders:
+            if f"/foliant/{df.sparkSession.sparkContext.applicationId}/" in folder:
+                _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete all tables that this application has materialised."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/foliant/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_root(spark)}/foliant/{spark.sparkContext.applicationId}")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -279,20 +279,36 @@ def repeats_by_hand(docs, width=50):
     return out
 
 
-@pytest.mark.parametrize("part_bytes", [20_000, 8 << 20])
-def test_suffix_dedup(spark, part_bytes):
+@pytest.mark.parametrize("options", [{}, {"part_bytes": 20_000}, {"part_bytes": 50_000, "fan": 3}, {"part_bytes": 100_000, "fan": 4, "hot_spans": 2}, {"hot_spans": 0}])
+def test_suffix_dedup(spark, options):
     df, docs = odd_docs(spark, 40)
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert Counter(tuple(r[c] for c in columns) for r in suffix_dedup.remove_repeats(df, part_bytes=part_bytes).collect()) == repeats_by_hand(docs)
+    assert Counter(tuple(r[c] for c in columns) for r in suffix_dedup.remove_repeats(df, **options).collect()) == repeats_by_hand(docs)
     real = docs_of(spark)
     docs = [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]
-    assert Counter(tuple(r[c] for c in columns) for r in suffix_dedup.remove_repeats(real, part_bytes=part_bytes).collect()) == repeats_by_hand(docs)
+    assert Counter(tuple(r[c] for c in columns) for r in suffix_dedup.remove_repeats(real, **options).collect()) == repeats_by_hand(docs)
+
+
+def test_levels():
+    for parts, fan in ((1, 64), (64, 64), (102, 64), (5000, 64), (100, 3)):
+        levels = suffix_dedup.Levels.of(parts, fan)
+        assert levels.fan <= fan and levels.fan**levels.count >= parts
+        codes = np.sort(np.random.default_rng(0).integers(0, suffix_dedup._CODES, 3000).astype(np.uint64))
+        pieces, c = [(0, 0, len(codes))], 0
+        for level in range(levels.count):
+            pieces = [(b, lo + i, lo + j) for c, lo, hi in pieces for b, i, j in levels.cuts(codes[lo:hi], level, c)]
+            assert [x[1] for x in pieces] + [len(codes)] == [0] + [x[2] for x in pieces]
+    assert suffix_dedup.unpack_codes(suffix_dedup.pack_codes(codes)).tolist() == codes.tolist()
 
 
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def lcp(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
 def test_loser_tree():
     rng = np.random.default_rng(3)
     strings = [bytes(rng.integers(97, 99, rng.integers(1, 12), np.uint8)) for _ in range(600)]
@@ -300,15 +316,14 @@ def test_loser_tree():
         parts = [sorted(strings[i::k]) for i in range(k)]
         runs = []
         for own in parts:
-            prefix, rest = suffix_dedup.front_code(own)
-            runs.append(suffix_dedup.Run(prefix.tobytes(), bytes(map(len, own)), rest, b"", bytes(len(own)), np.zeros(len(own), np.int64)))
+            prefix = bytes([0] + [lcp(a, b) for a, b in zip(own, own[1:], strict=False)]) if own else b""
+            rest = b"".join(x[n:] for x, n in zip(own, prefix, strict=True))
+            runs.append(suffix_dedup.Run(prefix, bytes(map(len, own)), rest, b"", bytes(len(own)), [0] * len(own)))
         out, shared = [], []
         for r, n in suffix_dedup.merge(runs):
-            out.append(runs[r].suffix)
+            out.append(runs[r].key)
             shared.append(n)
-        assert out == sorted(strings)
-        for a, b, n in zip(out, out[1:], shared[1:], strict=False):
-            assert n == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert out == sorted(strings) and shared[1:] == [lcp(a, b) for a, b in zip(out, out[1:], strict=False)]
 
 
 # --- archives ------------------------------------------------------------------------------------------------------------
