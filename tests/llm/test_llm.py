@@ -382,6 +382,50 @@ def test_ann_odd_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def neighbours_by_hand(rows, k, every):
+    out = {}
+    for i, v in rows:
+        if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v) and i % every == 0:
+            near = out.setdefault(i, {})
+            for j, w in rows:
+                if j is not None and j != i and w and len(w) == len(v) and all(c is not None and np.isfinite(c) for c in w) and any(w):
+                    score = 0.0
+                    for a, b in zip(v, w, strict=True):
+                        score += a * b
+                    near[j] = max(score, near.get(j, score))
+    return [(i, n, j, -s) for i, own in sorted(out.items()) for n, (s, j) in enumerate(sorted((-s, j) for j, s in own.items())[:k], 1)]
+
+
+def test_ann_lengths_and_copies(spark):
+    """Several lengths, repeated ids and thousands of equal vectors, of which those of the smallest ids come first."""
+    rows = [(i, [1.0, 2.0, -1.0]) for i in range(3000)] + [(i, [float(i % 7), i * i % 101 / 7]) for i in range(5000, 5060)] + [(5020, [9.0, 9.0]), (6000, [1.0]), (6020, [2.0, 2.0, 2.0])]
+    few = [r for r in rows if r[0] >= 2900]
+    for own in (rows, few):
+        got = ann.nearest(spark.createDataFrame(own, "vec_id long, embedding array<double>"), k=5).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == neighbours_by_hand(own, 5, 20)
+
+
+@pytest.mark.parametrize(("n", "d", "share"), [(20_000, 64, 0.7), (20_000, 6, 0.1)])
+def test_ann_recall_and_cost(spark, n, d, share):
+    """Recall on unit vectors without structure, and how many of them a query is compared with."""
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(n)
+    df = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": list(x)}))
+    got = ann.nearest(df, every=100).collect()
+    q = ids % 100 == 0
+    a, b, _ = ann.best_of(x[q], ids[q], x, ids, 20)
+    want = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert len(got) == len(want) and sum((r.query_id, r.vec_id) in want for r in got) / len(want) >= 0.9
+    forest = ann.Forest([ann.grow(ann.Forest([], 1.0).lift(x), ann.LEAF_ROWS, t) for t in range(ann.TREES)], 1.0)
+    rows = ann.valid_vectors(df, "vec_id", "embedding")
+    most = ann._calibrate(rows.where("vec_id % 100 = 0"), rows, spark.sparkContext.broadcast(forest), 20, ann.CALIBRATION_RECALL)
+    leaves = [tree.leaf_of(forest.lift(x)) for tree in forest.trees]
+    seen = [np.isin(leaves[0] * 0 + np.arange(n), np.concatenate([np.flatnonzero(leaves[t] == leaf) for t, leaf in forest.search(np.append(v, 0).astype(np.float32), most)])).sum() for v in x[:20]]
+    assert np.mean(seen) < share * n
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------------
 
 
