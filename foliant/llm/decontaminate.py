@@ -1,24 +1,28 @@
-"""Benchmark decontamination by winnowing: fingerprints of both sides meet, hits are extended."""
+"""Benchmark decontamination by winnowing: fingerprints of both sides are joined, hits are extended.
+
+A window of the benchmark is window consecutive words. On both sides the least hash of each
+window - gram + 1 consecutive grams is kept, so a window that a document and an item share has a kept gram
+in common, at the same place in it. A kept gram goes on with the words around it that such windows can
+reach; where two meet, the words themselves are compared, outwards from the gram.
+"""
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLICE_BYTES, slices
+from .shared import SLICE_BYTES, broadcast_if_few, materialize, slices, text_print
 
 WINDOW_WORDS = 10
 GRAM_WORDS = 5
-#: Bytes of benchmark text that are sent to the executors at once; a larger benchmark goes in several blocks.
-BLOCK_BYTES = 8 << 20
+#: Bits of the filter of the benchmark's fingerprints that goes to the executors: 16 for each, within these bounds.
+#: A larger benchmark only fills it more, so that more of the documents' fingerprints go to the join.
+FILTER_BITS = (1 << 16, 1 << 27)
 
 #: Word bytes, lower-cased A-Z: 0-9, a-z and all bytes of non-ASCII code points.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -94,59 +98,30 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(at)
 
 
+def short_grams(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the items of n words that are too short for a window, apart from that of longer ones' grams."""
+    return _mix(grams(words, n) + np.uint64(n))
+
+
+def filter_places(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each fingerprint in a filter of so many bits, a power of two."""
+    with np.errstate(over="ignore"):
+        return prints & np.uint64(bits - 1), (prints * np.uint64(_B1)) >> np.uint64(64 - (bits - 1).bit_length())
+
+
 @dataclass
-class Block:
-    """A bounded part of a benchmark, ready to look documents up in."""
-
-    window: int
-    gram: int
-    #: Distinct word sequences of the items and the ids that have each.
-    words: list[list[bytes]] = field(default_factory=list)
-    ids: list[list[str]] = field(default_factory=list)
-    hashes: list[np.ndarray] = field(default_factory=list)
-    #: Fingerprints of items of at least window words, sorted, and where they occur: (item, position).
-    prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    places: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    #: For each shorter length the hashes of whole items, sorted, and the items.
-    short: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = field(default_factory=dict)
-
-
-def build_block(items: list[tuple[str, str]], window: int, gram: int) -> Block:
-    block, known = Block(window, gram), {}
-    places, short = defaultdict(list), defaultdict(lambda: defaultdict(list))
-    for item_id, text in items:
-        raw, starts, ends = split_words(np.frombuffer((text or "").encode(), np.uint8))
-        data = raw.tobytes()
-        words = [data[s:e] for s, e in zip(starts, ends, strict=True)]
-        if not words:
-            continue
-        key = b" ".join(words)
-        if key in known:
-            block.ids[known[key]].append(item_id)
-            continue
-        n = known[key] = len(block.words)
-        hashes = word_hashes(raw, starts, ends)
-        block.words.append(words)
-        block.ids.append([item_id])
-        block.hashes.append(hashes)
-        if len(words) < window:
-            short[len(words)][int(grams(hashes, len(words))[0])].append(n)
-        else:
-            g = grams(hashes, gram)
-            for p in winnow(g, window - gram + 1):
-                places[int(g[p])].append((n, int(p)))
-    block.prints = np.array(sorted(places), np.uint64)
-    block.places = dict(places)
-    block.short = {n: (np.array(sorted(x), np.uint64), dict(x)) for n, x in short.items()}
-    return block
-
-
-def _found(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Positions of the hashes that are in the sorted table."""
-    if not len(table) or not len(hashes):
-        return np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-    return np.flatnonzero(table[at] == hashes)
+class Filter:
+    """Which fingerprints may be the benchmark's, and of what lengths its short items are."""
+
+    words: np.ndarray
+    short: list[int]
+
+    def maybe(self, prints: np.ndarray) -> np.ndarray:
+        bits = 64 * len(self.words)
+        out = np.ones(len(prints), bool)
+        for place in filter_places(prints, bits):
+            out &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+        return out
 
 
 class _Words:
@@ -157,74 +132,41 @@ class _Words:
         self.hashes = word_hashes(raw, self.starts, self.ends)
         self.data = raw.tobytes()
 
-    def word(self, i: int) -> bytes:
-        return self.data[self.starts[i] : self.ends[i]]
-
-
-def _hits(block: Block, text: _Words, lo: int, hi: int, at: np.ndarray, g: np.ndarray, short: dict[int, np.ndarray]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Runs of hit words and items of the document of words lo to hi; at: its positions with a known gram."""
-    runs: list[tuple[int, int]] = []
-    items: set[int] = set()
-    done: dict[tuple[int, int], int] = {}
-    for p in at.tolist():
-        for item, q in block.places[int(g[p])]:
-            if done.get((item, p - q), -1) > p:
-                continue
-            words, hashes = block.words[item], block.hashes[item]
-            i, j = p, q
-            while i > lo and j > 0 and text.hashes[i - 1] == hashes[j - 1]:
-                i, j = i - 1, j - 1
-            e, f = p, q
-            while e < hi and f < len(words) and text.hashes[e] == hashes[f]:
-                e, f = e + 1, f + 1
-            done[item, p - q] = e
-            begin = i
-            for k in range(i, e + 1):  # the words themselves, not their hashes, decide
-                if k == e or text.word(k) != words[k - i + j]:
-                    if k - begin >= block.window:
-                        runs.append((begin, k))
-                        items.add(item)
-                    begin = k + 1
-    for n, found in short.items():
-        for p in found.tolist():
-            h = int(grams(text.hashes[p : p + n], n)[0])
-            for item in block.short[n][1][h]:
-                if all(text.word(p + k) == w for k, w in enumerate(block.words[item])):
-                    runs.append((p, p + n))
-                    items.add(item)
-    return runs, items
-
-
-def _scan(block: Block, text: _Words, bounds: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
-    """(document, runs, items) of the documents with hits; bounds: first word of each and the end."""
-    g = grams(text.hashes, block.gram)
-    # Windows over the border of two documents may add positions, never take one: each window within
-    # a document chooses by itself, and an extension never leaves the document.
-    chosen = winnow(g, block.window - block.gram + 1) if len(block.prints) else np.zeros(0, np.int64)
-    at = chosen[_found(g[chosen], block.prints)]
-    near = {n: _found(grams(text.hashes, n), table) for n, (table, _) in block.short.items()}
+    def words(self, lo: int, hi: int) -> list[str]:
+        return [self.data[s:e].decode(errors="replace") for s, e in zip(self.starts[lo:hi].tolist(), self.ends[lo:hi].tolist(), strict=True)]
+
+
+def kept_grams(text: _Words, bounds: np.ndarray, window: int, gram: int, short: list[int], known: Filter | None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, fingerprint, place, words before, words from there on) of the grams that are kept.
+
+    bounds: first word of each document and the end. Of a short length all places are kept.
+    """
     last = bounds[1:]
-    owner = np.searchsorted(last, at, "right")
-    inside = at + block.gram <= last[owner] if len(at) else np.zeros(0, bool)
-    at, owner = at[inside], owner[inside]
-    held = {}
-    for n, p in near.items():
-        of = np.searchsorted(last, p, "right")
-        ok = p + n <= last[of] if len(p) else np.zeros(0, bool)
-        held[n] = (p[ok], of[ok])
-    for d in np.unique(np.concatenate([owner, *[of for _, of in held.values()]])).tolist():
-        own = {n: p[of == d] for n, (p, of) in held.items()}
-        runs, items = _hits(block, text, int(bounds[d]), int(bounds[d + 1]), at[owner == d], g, {n: p for n, p in own.items() if len(p)})
-        if runs:
-            yield d, runs, items
-
-
-def _cuts(raw: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, int]]:
+    if len(last):
+        lengths = [(n, short_grams(text.hashes, n), None) for n in short]
+        g = grams(text.hashes, gram)
+        # Windows over the border of two documents may add places, never take one: each window within
+        # a document chooses by itself.
+        for n, prints, at in [(0, g, winnow(g, window - gram + 1)), *lengths]:
+            at = np.arange(len(prints)) if at is None else at
+            if known is not None:
+                at = at[known.maybe(prints[at])]
+            owner = np.searchsorted(last, at, "right")
+            ok = at + (n or gram) <= last[np.minimum(owner, len(last) - 1)]
+            for p, d in zip(at[ok].tolist(), owner[ok].tolist(), strict=True):
+                if n:
+                    yield d, int(prints[p].view(np.int64)), p, 0, n
+                else:
+                    before = min(window - gram, p - int(bounds[d]))
+                    yield d, int(prints[p].view(np.int64)), p, before, min(window, int(last[d]) - p)
+
+
+def _cuts(raw: np.ndarray, window: int, slice_bytes: int) -> Iterator[tuple[np.ndarray, int]]:
     """A long text in pieces (bytes, words that the piece before had already): window - 1 words overlap."""
     at, again = 0, 0
-    while len(raw) - at > 2 * SLICE_BYTES:
-        cut = at + SLICE_BYTES
-        gap = np.flatnonzero(~_WORD[raw[cut : cut + SLICE_BYTES]])
+    while len(raw) - at > 2 * slice_bytes:
+        cut = at + slice_bytes
+        gap = np.flatnonzero(~_WORD[raw[cut : cut + slice_bytes]])
         if not len(gap):
             break
         cut += int(gap[0])
@@ -235,99 +177,38 @@ def _cuts(raw: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, int]]:
     yield raw[at:], again
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded size, read one partition after the other."""
-    block, size = [], 0
-    for row in benchmark.toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1]) + 64
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+_GRAM = pa.struct([("print", pa.int64()), ("place", pa.int64()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of docs.
-
-    Words are runs of 0-9, a-z and non-ASCII code points after A-Z is lower-cased. A window is window
-    consecutive words of an item; an item of fewer words, but some, is one window. A document word in
-    any occurrence of a window is hit; n_items counts the ids of items with occurring windows and
-    items_sha256 is the SHA-256 of those ids, sorted as strings, joined by commas. Null or empty texts
-    have no words; items without id are left out; repeated items count once, repeated rows of docs are
-    rows like others; an empty benchmark hits nothing.
+def _with_grams(rows: DataFrame, window: int, gram: int, short: list[int] | None, known=None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """rows (id, text, ...) with the text replaced by n_words and grams: an array of kept grams.
 
-    Winnowing keeps the smallest of each window - gram + 1 consecutive gram hashes on both sides, so
-    each shared window has a fingerprint in common; hits are extended word by word. The benchmark
-    goes to the executors in blocks of at most block_bytes and the documents are read once for each
-    block: one pass without a shuffle as long as it fits in one block.
+    before holds the words before the gram, nearest first, after those from its first word on. known is a
+    broadcast filter; without it the rows are an item each, and their own length is the only short one.
     """
-    spark: SparkSession = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).dropna()
-    blocks = _blocks(items, block_bytes)
-    first, second = next(blocks, []), next(blocks, None)
-    alone = second is None
-    parts = []
-    for k, block in enumerate(chain([first], [] if alone else [second], blocks)):
-        sent = spark.sparkContext.broadcast(build_block(block, window, gram))
-        parts.append(_with_block(docs, sent, id_col, text_col, k, alone))
-    if alone:
-        return parts[0].drop("row", "part", "runs", "items")
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    one = F.udf(lambda runs: int(_union(runs)), "long")
-    merged = both.groupBy("doc_id", "row").agg(
-        (F.count_if(F.col("part") == 0)).alias("copies"),
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_set("runs")).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("ids"),
-    )
-    out = merged.select("doc_id", "n_words", one("runs").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), "copies")
-    return out.withColumn("contaminated", F.col("n_hit") > 0).withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("copies")
-
-
-def _union(runs) -> int:
-    """How many words the runs (begin, end) cover."""
-    n, reach = 0, 0
-    for begin, end in sorted((r[0], r[1]) for r in runs):
-        n += max(0, end - max(begin, reach))
-        reach = max(reach, end)
-    return n
-
-
-def _with_block(docs: DataFrame, sent, id_col: str, text_col: str, part: int, alone: bool) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, row string, part int, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, runs array<struct<begin:long,end:long>>, items array<string>"
-    empty = hashlib.sha256(b"").hexdigest()
-    run_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    names = [c for c in rows.columns if c != "text"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    place = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Block = sent.value
+        want = known.value if known is not None else None
         for batch in batches:
-            n = batch.num_rows
-            n_words, n_hit, n_items = (np.zeros(n, np.int64) for _ in range(3))
-            digest, runs_of, items_of = [empty] * n, [[]] * n, [[]] * n
-
-            def put(row: int, runs: list[tuple[int, int]], items: set[int]) -> None:
-                ids = sorted({i for x in items for i in block.ids[x]})
-                n_hit[row], n_items[row] = _union(runs), len(ids)
-                digest[row] = hashlib.sha256(",".join(ids).encode()).hexdigest()
-                runs_of[row], items_of[row] = [{"begin": b, "end": e} for b, e in runs], ids
-
-            for lo, hi, raw, at in slices(batch.column(1)):
-                if hi - lo == 1 and len(raw) > 4 * SLICE_BYTES:
-                    base, all_runs, all_items = 0, [], set()
-                    for piece, again in _cuts(raw, block.window):
+            n_words, found = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+
+            def keep(text: _Words, bounds: np.ndarray, row: int, base: int | None) -> None:
+                lengths = want.short if want is not None else [len(text.hashes)] if 0 < len(text.hashes) < window else []
+                for d, print_, p, before, after in kept_grams(text, bounds, window, gram, lengths, want):
+                    at = p - int(bounds[d]) if base is None else p + base
+                    found[row + d].append({"print": print_, "place": at, "before": text.words(p - before, p)[::-1], "after": text.words(p, p + after)})
+
+            for lo, hi, raw, at in slices(batch.column(place), slice_bytes if want is not None else 1):
+                if hi - lo == 1 and len(raw) > 4 * slice_bytes:
+                    base = 0
+                    for piece, again in _cuts(raw, window, slice_bytes):
                         text = _Words(piece)
-                        for _, runs, items in _scan(block, text, np.array([0, len(text.starts)])):
-                            all_runs += [(b + base - again, e + base - again) for b, e in runs]
-                            all_items |= items
+                        keep(text, np.array([0, len(text.starts)]), lo, base - again)
                         base += len(text.starts) - again
                     n_words[lo] = base
-                    if all_runs:
-                        put(lo, all_runs, all_items)
                     continue
                 # A zero byte after each document keeps its last word apart from the next one's first.
                 spaced = np.zeros(len(raw) + hi - lo, np.uint8)
@@ -335,20 +216,99 @@ def _with_block(docs: DataFrame, sent, id_col: str, text_col: str, part: int, al
                 text = _Words(spaced)
                 bounds = np.searchsorted(text.starts, at + np.arange(hi - lo + 1))
                 n_words[lo:hi] = np.diff(bounds)
-                for d, runs, items in _scan(block, text, bounds):
-                    put(lo + d, [(b - int(bounds[d]), e - int(bounds[d])) for b, e in runs], items)
-            row = batch.column(2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), row, pa.array(np.full(n, part, np.int32)), *map(pa.array, (n_words, n_hit, n_items)), pa.array(digest), pa.array(n_hit > 0), pa.array(runs_of, run_type), pa.array(items_of, pa.list_(pa.string()))],
-                ["doc_id", "row", "part", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "runs", "items"],
-            )
-
-    # Rows of one id are told apart by their text where what several blocks found is merged.
-    row = F.lit("") if alone else F.sha1(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row.alias("row")).mapInArrow(run, schema)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without a hit word, with all their columns."""
-    hit = find_overlap(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+                keep(text, bounds, lo, None)
+            columns = [c for i, c in enumerate(batch.columns) if i != place]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words), pa.array(found, pa.list_(_GRAM))], [*names, "n_words", "grams"])
+
+    return rows.mapInArrow(run, f"{kinds}, n_words long, grams array<struct<print:long,place:long,before:array<string>,after:array<string>>>")
+
+
+def _filter(prints: DataFrame, lengths: list[int]) -> Filter:
+    """The filter of a table of distinct fingerprints, of a size between the bounds of FILTER_BITS."""
+    least, most = FILTER_BITS
+    n = prints.count()
+    bits = min(most, max(least, 1 << (16 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            place = np.unique(np.concatenate(filter_places(own, bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    rows = prints.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = np.zeros(bits // 64, np.uint64)
+    # At most bits / 64 rows.
+    table = rows.toArrow()
+    words[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return Filter(words, lengths)
+
+
+def _alike(a: str, b: str) -> Column:
+    """How many words two arrays have in common from their start on."""
+    differ = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
+    first = F.array_position(differ, F.lit(True))
+    return F.when(first > 0, first - 1).otherwise(F.size(differ)).cast("long")
+
+
+def _covered(runs: Column) -> Column:
+    """How many words sorted runs (begin, end) cover."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
+    step = lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), r["end"] - F.greatest(r["begin"], a["reach"]))).alias("n"), F.greatest(a["reach"], r["end"]).alias("reach"))
+    return F.aggregate(runs, start, step, lambda a: a["n"])
+
+
+def find_overlap(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, slice_bytes: int = SLICE_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of docs.
+
+    Words are runs of 0-9, a-z and non-ASCII code points after A-Z is lower-cased. A window is window
+    consecutive words of an item; an item of fewer words, but some, is one window. A document word in
+    any occurrence of a window is hit; n_items counts the ids of items with occurring windows and
+    items_sha256 is the SHA-256 of those ids, sorted as strings, joined by commas. Null or empty texts
+    have no words; items without id are left out; repeated items count once, repeated rows of docs are
+    rows like others; an empty benchmark hits nothing.
+
+    The documents are read once. A filter of bounded size holds back nearly all fingerprints that the
+    benchmark does not have; the others are joined with its fingerprints by a shuffle, whatever its size.
+    Items of the same words are one class, and a class has each pair of fingerprint and surrounding words
+    once, so repeated words cost no more than others.
+    """
+    return _overlap(docs, benchmark, window, gram, slice_bytes, id_col, text_col, item_col, item_text_col)[0]
+
+
+def _overlap(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, slice_bytes: int, id_col: str, text_col: str, item_col: str, item_text_col: str, keep: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """find_overlap() with the columns keep, and of the rows that are hit those only."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).dropna()
+    items = items.groupBy("text").agg(F.collect_set("item_id").alias("ids")).withColumn("class", F.sha2("text", 256))
+    items = materialize(_with_grams(items.select("class", "ids", "text"), window, gram, None), "items")
+    kept = items.select("class", (F.col("n_words") < window).alias("whole"), F.explode("grams").alias("g")).select("class", "whole", F.col("g.print").alias("print"), F.col("g.before").alias("b"), F.col("g.after").alias("a")).distinct()
+    kept = materialize(kept, "benchmark-prints")
+    lengths = sorted(r[0] for r in items.where(F.col("n_words").between(1, window - 1)).select("n_words").distinct().collect())
+    known = docs.sparkSession.sparkContext.broadcast(_filter(kept.select("print").distinct(), lengths))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), *(keep or []), F.col(text_col).alias("text"))
+    found = materialize(_with_grams(rows, window, gram, None, known, slice_bytes), "document-prints")
+    met = found.select("row", F.explode("grams").alias("g")).select("row", F.col("g.print").alias("print"), F.col("g.place").alias("place"), F.col("g.before").alias("before"), F.col("g.after").alias("after")).join(kept, "print")
+    met = met.withColumns({"left": F.when(F.col("whole"), 0).otherwise(_alike("before", "b")), "right": _alike("after", "a")})
+    runs = met.where(F.when(F.col("whole"), F.col("right") == F.size("a")).otherwise(F.col("left") + F.col("right") >= window))
+    runs = materialize(runs.select("row", "class", (F.col("place") - F.col("left")).alias("begin"), (F.col("place") + F.col("right")).alias("end")).distinct(), "hits")
+    words = runs.groupBy("row").agg(_covered(F.array_sort(F.collect_set(F.struct("begin", "end")))).alias("n_hit"))
+    ids = runs.select("row", "class").distinct().join(items.select("class", "ids"), "class").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    hit = words.join(ids, "row")
+    out = found.drop("grams").join(hit, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.greatest(F.lit(0), F.coalesce(F.size("ids"), F.lit(0))).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+    return out, found.drop("grams", "n_words").join(runs.select("row").distinct(), "row", "left_semi").drop("row")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, slice_bytes: int = SLICE_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs without a hit word, with all their columns; see find_overlap().
+
+    A row goes by its own text: rows with the id of a contaminated one and another text stay, as do
+    null and empty texts. Only ids and hashes of the texts that go are joined, without moving the
+    texts as long as these are few.
+    """
+    marks = text_print(text_col)
+    _, hit = _overlap(docs, benchmark, window, gram, slice_bytes, id_col, text_col, item_col, item_text_col, [m.alias(f"__m{i}") for i, m in enumerate(marks)])
+    hit = broadcast_if_few(materialize(hit.select(F.col("doc_id").alias("__hit"), "__m0", "__m1").distinct(), "contaminated"))
+    match = docs[id_col].eqNullSafe(hit["__hit"]) & (marks[0] == hit["__m0"]) & (marks[1] == hit["__m1"])
+    return docs.join(hit, match, "left_anti")

@@ -166,26 +166,21 @@ def test_decontaminate(spark):
     for df in (odd_docs(spark)[0], real):
         docs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
         assert Counter(map(tuple, decontaminate.find_overlap(df, items).collect())) == overlap_by_hand(docs, bench)
-    several = decontaminate.find_overlap(odd_docs(spark)[0], items, block_bytes=700)
-    assert Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in several.collect()) == overlap_by_hand([(r.doc_id, r.text) for r in odd_docs(spark)[0].collect()], bench)
     assert decontaminate.find_overlap(empty(spark), items).count() == 0
     assert not decontaminate.find_overlap(real, items.limit(0)).where("contaminated").count()
 
 
-def test_long_text_in_pieces(spark, monkeypatch):
-    text = " ".join(f"w{i % 977}" for i in range(40_000))
-    item = " ".join(f"w{i % 977}" for i in range(900, 930))
-    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 5000)
-    raw = np.frombuffer(text.encode(), np.uint8)
-    block = decontaminate.build_block([("a", item)], 10, 5)
-    base, hit = 0, set()
-    for piece, again in decontaminate._cuts(raw, 10):
-        words = decontaminate._Words(piece)
-        for _, runs, _ in decontaminate._scan(block, words, np.array([0, len(words.starts)])):
-            hit.update(i for b, e in runs for i in range(b + base - again, e + base - again))
-        base += len(words.starts) - again
-    assert base == 40_000
-    assert len(hit) == sum(r[2] for r in overlap_by_hand([(1, text)], [("a", item)]))
+def test_decontaminate_long_texts_and_repeated_words(spark):
+    """Texts cut in pieces, many items, and items of one word over and over."""
+    rng = np.random.default_rng(5)
+    docs = [(1, " ".join(f"w{i % 977}" for i in range(40_000))), (2, "same " * 3000), (3, "ab " * 30), (4, "one two " * 20 + "ab " * 9), (4, "clean"), (5, "語" * 400 + " b c d e f g h i j k")]
+    bench = [("a", " ".join(f"w{i % 977}" for i in range(900, 930))), ("b", "same " * 400), ("c", "ab " * 10), ("d", "two one " * 8), ("e", "語" * 400 + " b c d e f g h i j k"), ("f", "w976 w0 w1")]
+    bench += [(f"r{i}", " ".join(f"w{rng.integers(977)}" for _ in range(12))) for i in range(3000)] + [(f"s{i}", " ".join(f"w{j % 977}" for j in range(i, i + 14))) for i in range(0, 977, 50)]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string")
+    want = overlap_by_hand(docs, bench)
+    for size in (5000, decontaminate.SLICE_BYTES):
+        assert Counter(map(tuple, decontaminate.find_overlap(df, items, slice_bytes=size).collect())) == want
+    assert [tuple(r) for r in decontaminate.drop_contaminated(df, items).collect()] == [(4, "clean")]
 
 
 # --- packing -------------------------------------------------------------------------------------------------------
