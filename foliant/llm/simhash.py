@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import SLICE_BYTES, materialize, ranges, words_le
+from .shared import SLICE_BYTES, broadcast_if_few, materialize, ranges, words_le
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -277,19 +277,39 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, radi
     in tables in the shared folder.
     """
     fps = materialize(fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected_components(links(classes.select("fp"), radius=radius))
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = linked.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
     whole = classes.join(linked, classes["fp"] == linked["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("component_id", "first_id").alias("component_id"))
-    # A table of its own, so that AQE can split what rows of one fingerprint the other side has.
     whole = materialize(whole, "classes")
-    return fps.join(whole, fps["fp"] == whole["__fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _spread(fps, whole, classes).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; rows with that id all stay."""
-    found = near_duplicates(docs, **options)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi")
+#: A fingerprint that more than this share of all rows has is dealt out in pieces of at most that share.
+HOT_SHARE = 256
+
+
+def _spread(fps: DataFrame, whole: DataFrame, classes: DataFrame) -> DataFrame:
+    """fps with the component of their class. Rows of a hot fingerprint, of which there are at most HOT_SHARE,
+    go to as many pieces of its key as keep each below its share of all rows."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = classes.where(F.col("n") * HOT_SHARE > total).select("fp", F.ceil(F.col("n") * HOT_SHARE / max(1, total)).cast("int").alias("pieces")).collect()
+    pieces = lambda fp: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for r in hot for x in r]), fp), F.lit(1)) if hot else F.lit(1)
+    left = fps.withColumn("__piece", F.pmod(F.xxhash64("doc_id", F.lit(1)), pieces(F.col("fp"))).cast("int"))
+    right = whole.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces(F.col("__fp")) - 1)))
+    return left.join(right, (left["fp"] == right["__fp"]) & (left["__piece"] == right["__piece"]))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component; rows with that id all stay.
+
+    Null and blank texts are one component, as they have one fingerprint. Rows with a null id stay if
+    their whole component has none. The ids that go are joined without moving the texts as long as they are few.
+    """
+    found = near_duplicates(docs, id_col=id_col, **options)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.groupBy("doc_id").agg(F.bool_or(first).alias("stays")).where("NOT stays").select(F.col("doc_id").alias("__gone"))
+    gone = broadcast_if_few(materialize(gone, "near-copies"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
