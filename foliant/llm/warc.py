@@ -45,11 +45,13 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = MIN_REVISIT_
     will do and lost tasks are written again.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html"))})
-    shared = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html")), "print": F.xxhash64("html")})
+    # Payloads are equal if their SHA-1, their size and a second hash are.
+    same = ["digest", "size", "print"]
+    shared = rows.where(F.col("size") >= min_bytes).groupBy(*same).agg(F.max("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(*same, "first_id")
     shared = materialize(shared, "shared-digests")
     few = shared.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    rows = rows.join(F.broadcast(shared) if few else shared, "digest", "left")
+    rows = rows.join(F.broadcast(shared) if few else shared, same, "left")
     revisit = (F.col("size") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("size").cast("string"), F.lit(_END + _END))
@@ -180,7 +182,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     sizes = found.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # The first piece of a file has no magic before it: all offsets are that much less.
-    starts = sizes.select("file", "block", (F.coalesce(F.sum("bytes").over(before), F.lit(0)) - len(MAGIC)).alias("base"))
+    starts = sizes.select("file", "block", "bytes", (F.coalesce(F.sum("bytes").over(before), F.lit(0)) - len(MAGIC)).alias("base"))
     starts = materialize(starts, "ranges")
     placed = found.join(starts, ["file", "block"])
     records = placed.where(F.col("next").isNotNull()).select("file", "block", "base", "at", (F.col("base") + F.col("at")).alias("offset"), (F.col("base") + F.col("next")).alias("next"), (F.col("base") + F.col("exit")).alias("exit"))
@@ -234,12 +236,17 @@ def _assemble(spark: SparkSession, path: str, found: DataFrame, starts: DataFram
     pieces are read again from the archives.
     """
     magic = len(MAGIC)
-    spans = split.select("file", "offset", "next", "head", "content_type")
+    spans = split.select("file", "block", "offset", "next", "head", "content_type")
     placed = found.join(starts, ["file", "block"]).select("file", "block", (F.col("base") + F.col("at")).alias("piece"), "size", "raw")
     owned = placed.join(spans.select("file", F.col("offset").alias("piece"), F.col("offset").alias("own"), F.col("next").alias("stop")), ["file", "piece"], "left")
-    order = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
-    # Offsets only: the pieces' bytes stay out of the window.
-    inside = owned.select("file", "block", "piece", F.last("own", True).over(order).alias("offset"), F.last("stop", True).over(order).alias("stop")).where("piece < stop").select("file", "block", "piece", "offset")
+    # Within a range the record before a piece owns it, else the last one that went on from a range before:
+    # windows are over one range's offsets, and over the ranges of a file. The pieces' bytes stay out of them.
+    tails = spans.join(starts, ["file", "block"]).where((F.col("next") > F.col("base") + F.col("bytes"))).select("file", "block", F.col("offset").alias("tail"), F.col("next").alias("tail_stop"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = starts.join(tails, ["file", "block"], "left").select("file", "block", F.last("tail", True).over(earlier).alias("tail"), F.last("tail_stop", True).over(earlier).alias("tail_stop"))
+    order = Window.partitionBy("file", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    inside = owned.select("file", "block", "piece", F.last("own", True).over(order).alias("own"), F.last("stop", True).over(order).alias("stop")).join(carried, ["file", "block"])
+    inside = inside.select("file", "block", "piece", F.coalesce("own", "tail").alias("offset"), F.when(F.col("own").isNotNull(), F.col("stop")).otherwise(F.col("tail_stop")).alias("stop")).where("piece < stop").select("file", "block", "piece", "offset")
     inside = materialize(inside, "spans")
     kept = placed.where("raw IS NOT NULL").select("file", "piece", "raw").join(inside, ["file", "piece"]).select("file", "offset", "piece", "raw")
     missing = materialize(inside.join(placed.where("raw IS NULL").select("file", "piece"), ["file", "piece"], "left_semi"), "missing")
@@ -270,7 +277,7 @@ def _assemble(spark: SparkSession, path: str, found: DataFrame, starts: DataFram
         body = payload(data[head : stop - 4], pdf["content_type"].iloc[0])
         return pdf[["file", "offset"]].head(1).assign(whole_sha1=_digest(body), whole_bytes=len(body))
 
-    return pieces.join(spans, ["file", "offset"]).groupBy("file", "offset").applyInPandas(join, "file string, offset long, whole_sha1 string, whole_bytes long")
+    return pieces.join(spans.drop("block"), ["file", "offset"]).groupBy("file", "offset").applyInPandas(join, "file string, offset long, whole_sha1 string, whole_bytes long")
 
 
 def round_trip(pages: DataFrame, *, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
