@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 SLICE_BYTES = 1 << 19
@@ -36,26 +37,30 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/foliant/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, executors may go."""
+def materialize(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, executors may go.
+
+    by is a column whose values have a folder each.
+    """
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
     # The shuffle files of this write are of no use after it.
     before = spark.conf.get(_FREE, None)
     spark.conf.set(_FREE, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables of this application that nothing will read again."""
+def discard(*tables: DataFrame, only: str = "") -> None:
+    """Delete materialised tables of this application that nothing will read again, or one folder of each."""
     for df in tables:
-        folders = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
-        for folder in folders:
-            if f"/foliant/{df.sparkSession.sparkContext.applicationId}/" in folder:
-                _delete(df.sparkSession, folder)
+        mark = f"/foliant/{df.sparkSession.sparkContext.applicationId}/"
+        for path in df.inputFiles()[:1]:
+            if mark in path:
+                base, rest = path.split(mark, 1)
+                _delete(df.sparkSession, base + mark + rest.split("/", 1)[0] + (f"/{only}" if only else ""))
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -68,6 +73,20 @@ def clean_up(spark: SparkSession) -> None:
     _delete(spark, f"{shared_root(spark)}/foliant/{spark.sparkContext.applicationId}")
 
 
+#: Rows of a few small columns that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """A table of few small columns with the hint to broadcast it if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def text_print(text_col: str) -> list[Column]:
+    """128 bits by which rows of one id are told apart."""
+    return [F.xxhash64(text_col), F.xxhash64(F.lit(1), F.col(text_col))]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets, without a copy; null is empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

@@ -42,7 +42,7 @@ GRAM = 24
 PART_BYTES = 8 << 20
 _STEP = 1 << 19
 #: Runs that one task merges at once, at most.
-FAN = 64
+FAN = 16
 #: An anchor with more different spans than this is hot: each of its windows is a suffix of its own.
 HOT_SPANS = 1 << 18
 #: Codes of anchors have so many bytes, which stand before the suffix where it is sorted.
@@ -200,8 +200,10 @@ def _exchange(rows: DataFrame, levels: Levels, meet: Callable, schema: str, verd
     """
     made = [rows]
     for level in range(1, levels.count):
-        made.append(materialize(made[-1].where("NOT home").groupBy("q", "c").applyInArrow(meet(level), schema), f"{name}-{level}"))
+        made.append(materialize(made[-1].where("NOT home").groupBy("q", "c").applyInArrow(meet(level), schema), f"{name}-{level}", by="home"))
+        discard(made[-2], only="home=false")
     verdicts = materialize(made[-1].where("NOT home").groupBy("q", "c").applyInArrow(meet(levels.count), verdict_schema), f"{name}-verdicts")
+    discard(made[-1], only="home=false")
     for level in range(levels.count - 1, 0, -1):
         home, above = made.pop(), verdicts
         verdicts = materialize(home.where("home").groupBy("q", "c").cogroup(above.groupBy("q", "c")).applyInArrow(back, verdict_schema), f"{name}-verdicts")
@@ -744,7 +746,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, part_bytes: int = PAR
     codes = placed.groupBy("q").applyInArrow(_send_codes(width, levels), _CODE_SCHEMA)
     flags = _exchange(codes, levels, _meet_codes(levels, hot_spans), _CODE_SCHEMA, _FLAG_SCHEMA, _flags_back(levels), "codes")
     runs = placed.groupBy("q").cogroup(flags.groupBy("q")).applyInArrow(_part_runs(width, levels), _RUN_SCHEMA)
-    runs = materialize(runs, "runs-0")
+    runs = materialize(runs, "runs-0", by="home")
     verdicts = _exchange(runs, levels, _meet_runs(width, levels), _RUN_SCHEMA, _VERDICT_SCHEMA, _verdicts_back(levels), "runs")
     removals = materialize(runs.where("home").groupBy("q").cogroup(verdicts.groupBy("q")).applyInArrow(_removals(width), _REMOVAL_SCHEMA), "removals")
     discard(flags, runs, verdicts)
