@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, text_print
 
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -36,17 +36,27 @@ _KINDS = {"email": "@", "ip": r"^\d{1,3}(\.\d{1,3}){3}$", "phone": r"^\+", "ssn"
 
 #: Alphabets of one script and case; a character is replaced within its own.
 _ALPHABETS = (
-    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àâäçéèêëîïíñóôöùûüúß", "ÀÂÄÇÉÈÊËÎÏÍÑÓÔÖÙÛÜÚ",
-    "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    "0123456789", "abcdefghijklmnopqrstuvwxyz", "àâäçéèêëîïíñóôöùûüúß", "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ",
 )
-#: Given names by gender and syllables of family names, by script.
+#: Given names by gender, further ones' endings, and syllables, by script; the first script is that of names in none of them.
 _GIVEN = {
-    ("latin", "m"): "Adrian Bruno Carl Dario Emil Felix Gustav Hugo Ivan Jonas Karim Leon Martin Nils Oscar Pablo".split(),
-    ("latin", "f"): "Ada Bianca Clara Diana Elena Flora Greta Hanna Ines Julia Karla Laura Marta Nora Olga Petra".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Игорь Кирилл Максим".split(),
-    ("cyrillic", "f"): "Анна Вера Галина Дарья Ирина Ксения Лидия Мария".split(),
+    "latin": {"m": "Adrian Bruno Carl Dario Emil Felix Gustav Hugo Ivan Jonas Karim Leon Martin Nils Oscar Pablo", "f": "Ada Bianca Clara Diana Elena Flora Greta Hanna Ines Julia Karla Laura Marta Nora Olga Petra"},
+    "cyrillic": {"m": "Антон Борис Виктор Глеб Денис Игорь Кирилл Максим", "f": "Анна Вера Галина Дарья Ирина Ксения Лидия Мария"},
+    "greek": {"m": "Αλέξης Γιώργος Δημήτρης Ηλίας Λεωνίδας Πέτρος Σπύρος Χρήστος", "f": "Άννα Βασιλική Ελένη Ζωή Κατερίνα Μαρία Σοφία Χριστίνα"},
+    "armenian": {"m": "Արամ Գագիկ Դավիթ Հայկ Կարեն Սուրեն Վահան Տիգրան", "f": "Անի Գայանե Լիլիթ Մարիամ Նարե Սոնա Տաթև Շուշան"},
 }
-_SYLLABLES = {"latin": "ba be bo da de do fa fe fi ga go ka ke ko la le lo ma me mo na ne no pa pe po ra re ro sa se so".split(), "cyrillic": "ба бе бо ва ве во га го да де до ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та то".split()}
+_ENDINGS = {"latin": {"m": "n r s", "f": "na ra lia"}, "cyrillic": {"m": "н р с", "f": "на ра лия"}, "greek": {"m": "νος ρης σης", "f": "να ρα σία"}, "armenian": {"m": "ն ր կ", "f": "նա րա նե"}}
+_SYLLABLES = {
+    "latin": "ba be bo da de do fa fe fi ga go ka ke ko la le lo ma me mo na ne no pa pe po ra re ro sa se so",
+    "cyrillic": "ба бе бо ва ве во га го да де до ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та то",
+    "greek": "βα βε βο γα γε γο δα δε δο κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα το",
+    "armenian": "բա բե բո գա գե գո դա դե դո կա կե կո լա լե լո մա մե մո նա նե նո պա պե պո ռա ռե ռո սա սե սո տա տո",
+}
+_SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}"}
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Attempts after which local parts of emails, and numbers, become longer: theirs of that length are taken.
+_LONGER_EMAIL, _LONGER_NUMBER = 3, 8
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -103,7 +113,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _reshape(text: Column, hexed: Column) -> Column:
-    """text with each character replaced by a keyed one of its script and case; others stay."""
+    """Lower-case text with each character replaced by a keyed one of its script; others stay."""
 
     def one(c: Column, i: Column) -> Column:
         out = c
@@ -123,92 +133,156 @@ def kind_of(value: Column) -> Column:
     return F.when(value.rlike(r"^[0-9A-Fa-f]{32,64}$"), "secret").otherwise(out)
 
 
-def _choose(words: list[str], hexed: Column, byte: int) -> Column:
-    return F.get(F.array(*map(F.lit, words)), _number(hexed, byte, len(words)).cast("int"))
+def _choose(words: str, hexed: Column, byte: Column | int) -> Column:
+    return F.get(F.split(F.lit(words), " "), _number(hexed, byte, len(words.split())).cast("int"))
+
+
+def _once(value: Column, then) -> Column:
+    """then(value), with the expression of value in the plan once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _name(value: Column, hexed: Column) -> Column:
-    """Titles and number of words stay; given names follow the titles' gender and the script."""
-    title = F.regexp_extract(value, rf"^({_TITLE_RUN}) ", 1)
-    female, male = (title.rlike(r"(?:^| )(?:" + "|".join(_TITLES[x]) + r")\.?(?: |$)") for x in "fm")
-    name = F.substr(value, F.length(title) + 2, F.length(value))
-    n = F.size(F.split(name, " "))
+def _title(value: Column) -> Column:
+    return F.regexp_extract(value, rf"^({_TITLE_RUN}) ", 1)
 
-    def of(script: str) -> Column:
-        given = F.when(female, _choose(_GIVEN[script, "f"], hexed, 0)).when(male, _choose(_GIVEN[script, "m"], hexed, 0)).otherwise(_choose(_GIVEN[script, "m"] + _GIVEN[script, "f"], hexed, 0))
-        family = F.initcap(F.concat(*[_choose(_SYLLABLES[script], hexed, b) for b in (8, 16, 24, 32)]))
-        middle = F.initcap(F.concat(*[_choose(_SYLLABLES[script], hexed, b) for b in (40, 48)]))
 
-        def further(i: Column) -> Column:
-            own = F.sha2(F.concat(hexed, i.cast("string")), 512)
-            return F.initcap(F.concat(*[_choose(_SYLLABLES[script], own, b) for b in (0, 8)]))
+def atoms(value: Column) -> Column:
+    """What an entity is made of, whatever its format: 'kind:canonical form'.
+
+    Emails and secrets are lower-cased; phones, cards and social security numbers are their digits. A name
+    is its words, lower-cased and without the title: the last a family name (f), others given names of the
+    title's gender (gm, gf, gn). So all that is said of one person or number has the same atoms.
+    """
+    kind, digits = kind_of(value), _digits(value)
 
-        rest = F.when(n > 3, F.transform(F.sequence(F.lit(4), F.greatest(n, F.lit(4))), further)).otherwise(F.array().cast("array<string>"))
-        words = F.when(n == 1, F.array(family)).when(n == 2, F.array(given, family)).otherwise(F.concat(F.array(given, middle), rest, F.array(family)))
-        return F.concat(title, F.lit(" "), F.array_join(words, " "))
+    def name(title: Column) -> Column:
+        female, male = (title.rlike(r"(?:^| )(?:" + "|".join(_TITLES[x]) + r")\.?(?: |$)") for x in "fm")
+        words = F.split(F.substr(value, F.length(title) + 2, F.length(value)), " ")
+        role = F.when(female, "gf:").when(male, "gm:").otherwise("gn:")
+        return F.transform(words, lambda w, i: F.concat(F.when(i == F.size(words) - 1, "f:").otherwise(role), F.translate(F.lower(w), "’", "'")))
 
-    return F.when(name.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+    canonical = F.when(kind.isin("phone", "card", "ssn"), digits).otherwise(F.lower(value))
+    return F.when(kind == "name", _once(_title(value), name)).otherwise(F.array(F.concat(kind, F.lit(":"), canonical)))
 
 
-def surrogate(value: Column, key: str, attempt: Column | None = None) -> Column:
-    """The surrogate of an entity: of its kind, script and format, a function of key, value and attempt.
+def atom_surrogate(atom: Column, key: str, attempt: Column) -> Column:
+    """The canonical form that stands for an atom: a function of key, atom and attempt.
 
     Digits of phones, social security numbers and cards are permuted by the key, so distinct numbers of
-    one format stay distinct; a card keeps whether its check digit is right, a phone its country code.
+    one length stay distinct; a card keeps whether its check digit is right, a phone its country code.
     Addresses are permuted as 32 bits. Emails keep the shape of both parts and the top-level domain, and
-    equal domains stay equal. Secrets become as many hexadecimal digits, names other names of the title's
-    gender and the same script.
+    equal domains stay equal. Secrets become as many hexadecimal digits, names other names of the same
+    script and gender. Later attempts draw from more names, then from longer forms, which never run out.
     """
-    attempt = F.lit(0) if attempt is None else attempt
-    kind, hexed = kind_of(value), _hash(key, F.lit("whole"), attempt, value)
-    domain = F.substring_index(value, "@", -1)
-    domain_hash = _hash(key, F.lit("domain"), F.lit(0), F.lower(domain))
-    labels = F.regexp_extract(domain, r"^(.*)(\.\p{L}+)$", 1)
-    email = F.concat(_reshape(F.substring_index(value, "@", 1), hexed), F.lit("@"), _reshape(labels, domain_hash), F.regexp_extract(domain, r"^(.*)(\.\p{L}+)$", 2))
-    octets = F.transform(F.split(value, r"\."), lambda o: F.lpad(o, 3, "0").cast("long"))
-    high, low = F.get(octets, F.lit(0)) * 256 + F.get(octets, F.lit(1)), F.get(octets, F.lit(2)) * 256 + F.get(octets, F.lit(3))
-
-    def ip(a: Column, b: Column, i: int) -> Column:
-        if i == 4:
-            return F.concat_ws(".", *[x.cast("string") for h in (a, b) for x in (F.shiftright(h, 8), h.bitwiseAND(F.lit(255).cast("long")))])
-        new = F.pmod(a + _number(_hash(key, F.lit("ip"), attempt, F.lit(i), b), 0, 1 << 16), F.lit(1 << 16))
-        return F.get(F.transform(F.array(new), lambda x: ip(b, x, i + 1)), F.lit(0))
-
-    head = F.regexp_extract(value, r"^(\+\d{1,3})(?=[ .(-])", 1)
-    rest = F.substr(value, F.length(head) + 1, F.length(value))
-    phone = F.concat(head, _refill(rest, permute_digits(_digits(rest), key, F.lit("phone"), attempt, head)))
-    ssn = _refill(value, permute_digits(_digits(value), key, F.lit("ssn"), attempt))
-    number = _digits(value)
-    body, check = F.substr(number, F.lit(1), F.length(number) - 1), F.substr(number, F.length(number), F.lit(1)).cast("int")
-    card = F.get(F.transform(F.array(permute_digits(body, key, F.lit("card"), attempt)), lambda p: _refill(value, F.concat(p, F.pmod(_luhn(p) + check - _luhn(body), F.lit(10)).cast("string")))), F.lit(0))
-    secret = F.substr(hexed, F.lit(1), F.length(value))
-    secret = F.when(value.rlike("[A-F]"), F.upper(secret)).otherwise(secret)
-    out = _name(value, hexed)
-    for name, column in (("card", card), ("ssn", ssn), ("phone", phone), ("secret", secret), ("ip", ip(high, low, 0)), ("email", email)):
-        out = F.when(kind == name, column).otherwise(out)
-    return out
-
-
-def collisions(docs: DataFrame, key: str, *, text_col: str = "text", most_attempts: int = 20) -> DataFrame:
+    kind, value = F.substring_index(atom, ":", 1), F.substr(atom, F.instr(atom, F.lit(":")) + 1, F.length(atom))
+
+    def of(hexed: Column) -> Column:
+        domain = F.substring_index(value, "@", -1)
+        domain_hash = _hash(key, F.lit("domain"), F.lit(0), domain)
+        labels = F.regexp_extract(domain, r"^(.*)(\.\p{L}+)$", 1)
+        longer = F.substr(F.translate(hexed, "0123456789", "ghijklmnop"), F.lit(1), F.greatest(F.lit(0), attempt - _LONGER_EMAIL))
+        email = F.concat(_reshape(F.substring_index(value, "@", 1), hexed), longer, F.lit("@"), _reshape(labels, domain_hash), F.regexp_extract(domain, r"^(.*)(\.\p{L}+)$", 2))
+        octets = F.transform(F.split(value, r"\."), lambda o: F.lpad(o, 3, "0").cast("long"))
+        high, low = F.get(octets, F.lit(0)) * 256 + F.get(octets, F.lit(1)), F.get(octets, F.lit(2)) * 256 + F.get(octets, F.lit(3))
+
+        def ip(a: Column, b: Column, i: int) -> Column:
+            if i == 4:
+                return F.concat_ws(".", *[x.cast("string") for h in (a, b) for x in (F.shiftright(h, 8), h.bitwiseAND(F.lit(255).cast("long")))])
+            new = F.pmod(a + _number(_hash(key, F.lit("ip"), attempt, F.lit(i), b), 0, 1 << 16), F.lit(1 << 16))
+            return _once(new, lambda x: ip(b, x, i + 1))
+
+        more = F.substr(F.translate(hexed, "abcdef", "012345"), F.lit(1), F.greatest(F.lit(0), attempt - _LONGER_NUMBER))
+        country = F.regexp_extract(value, _COUNTRY, 1)
+        phone = F.concat(country, permute_digits(F.substr(value, F.length(country) + 1, F.length(value)), key, F.lit("phone"), attempt, country), more)
+        ssn = F.concat(permute_digits(value, key, F.lit("ssn"), attempt), more)
+        body, check = F.substr(value, F.lit(1), F.length(value) - 1), F.substr(value, F.length(value), F.lit(1)).cast("int")
+        card = _once(F.concat(permute_digits(body, key, F.lit("card"), attempt), more), lambda p: F.concat(p, F.pmod(_luhn(p) + check - _luhn(body), F.lit(10)).cast("string")))
+
+        def name(script: str) -> Column:
+            def syllables(n: Column | int) -> Column:
+                count = (F.lit(n) if isinstance(n, int) else n).cast("int")
+                return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: _choose(_SYLLABLES[script], hexed, F.pmod(i * 8, F.lit(56)))), "")
+
+            def given(gender: str) -> Column:
+                return F.when(attempt == 0, _choose(_GIVEN[script][gender], hexed, 0)).otherwise(F.concat(syllables(attempt + 1), _choose(_ENDINGS[script][gender], hexed, 48)))
+
+            other = F.when(_number(hexed, 40, 2) == 0, given("f")).otherwise(given("m"))
+            return F.initcap(F.when(kind == "f", syllables(attempt + 4)).when(kind == "gf", given("f")).when(kind == "gm", given("m")).otherwise(other))
+
+        out = name("latin")
+        for script, pattern in _SCRIPTS.items():
+            out = F.when(value.rlike(pattern), name(script)).otherwise(out)
+        for one, column in (("card", card), ("ssn", ssn), ("phone", phone), ("secret", F.substr(hexed, F.lit(1), F.length(value))), ("ip", ip(high, low, 0)), ("email", email)):
+            out = F.when(kind == one, column).otherwise(out)
+        return out
+
+    # Names of both genders and roles draw from one hash; other kinds are told apart by their tweaks.
+    return _once(_hash(key, F.lit("atom"), attempt, atom), of)
+
+
+def surrogate(value: Column, key: str, attempts: Column | None = None) -> Column:
+    """The surrogate of an entity in its own format; attempts maps atoms to other attempts than the first."""
+    kind = kind_of(value)
+
+    def attempt(atom: Column) -> Column:
+        return F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, atom), F.lit(0))
+
+    def render(new: Column) -> Column:
+        one = F.get(new, F.lit(0))
+        letters = F.split(value, "")
+        cased = F.array_join(F.transform(F.split(one, ""), lambda c, i: F.when(F.lower(F.get(letters, i)) != F.get(letters, i), F.upper(c)).otherwise(c)), "")
+        n = F.length(_digits(value))
+        number = F.concat(_refill(value, F.substr(one, F.lit(1), n)), F.substr(one, n + 1, F.length(one)))
+        out = F.when(kind == "name", F.concat(_title(value), F.lit(" "), F.array_join(new, " "))).when(kind == "email", cased).when(kind == "ip", one)
+        return out.when(kind == "secret", F.when(value.rlike("[A-F]"), F.upper(one)).otherwise(one)).otherwise(number)
+
+    return _once(F.transform(atoms(value), lambda a: atom_surrogate(a, key, attempt(a))), render)
+
+
+def _family(atom: str) -> Column:
+    """Atoms of one family must not be taken for each other."""
+    return F.regexp_replace(F.substring_index(atom, ":", 1), "^(?:f|g.)$", "name")
+
+
+def collisions(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
     """(value, surrogate) of the entities whose first surrogate will not do.
 
-    A surrogate will not do if a smaller entity of the corpus has the same one or if it is itself an entity
-    of the corpus; such an entity is keyed anew until none is left. Distinct entities only are compared,
-    in a table in the shared folder.
+    A surrogate will not do if one of its atoms stands for a smaller atom of that kind as well or is itself an
+    atom of the corpus; such an atom is keyed anew until none is left. Distinct atoms only are compared,
+    in tables in the shared folder; forms get longer with the attempts, so this ends.
     """
     found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0)))).alias("value")).distinct()
+    values = materialize(found.select("value", atoms(F.col("value")).alias("atoms")), "entities")
+    known = materialize(values.select(F.explode("atoms").alias("atom")).distinct(), "atoms")
     # A column of its own keeps the keyed expressions from being planned twice.
-    state = materialize(found.select("value", F.lit(0).alias("attempt"), surrogate(F.col("value"), key).alias("surrogate")), "entities")
-    for _ in range(most_attempts):
-        shared = state.groupBy("surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n")).where("n > 1")
-        taken = state.select(F.col("value").alias("surrogate")).join(state.select("surrogate").distinct(), "surrogate", "left_semi")
-        twice = state.join(shared, "surrogate").where(F.col("value") != F.col("first")).select("value")
-        bad = materialize(twice.unionByName(state.join(taken, "surrogate", "left_semi").select("value")).distinct(), "collisions")
+    keyed = lambda df: df.select("atom", "attempt", F.substring_index("atom", ":", 1).alias("kind"), atom_surrogate(F.col("atom"), key, F.col("attempt")).alias("surrogate"))
+    state = materialize(keyed(known.withColumn("attempt", F.lit(0))), "surrogates")
+    names = known.select(_family("atom").alias("family"), F.lower(F.substring_index("atom", ":", -1)).alias("lower"))
+    while True:
+        shared = state.groupBy("kind", "surrogate").agg(F.min("atom").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        twice = state.join(shared, ["kind", "surrogate"]).where(F.col("atom") != F.col("first")).select("atom")
+        taken = state.select("atom", _family("atom").alias("family"), F.lower("surrogate").alias("lower")).join(names, ["family", "lower"], "left_semi").select("atom")
+        bad = materialize(twice.unionByName(taken).distinct(), "collisions")
         if bad.isEmpty():
-            return state.where("attempt > 0").select("value", "surrogate")
-        anew = state.join(bad, "value", "left_semi").select("value", (F.col("attempt") + 1).alias("attempt"), surrogate(F.col("value"), key, F.col("attempt") + 1).alias("surrogate"))
-        state = materialize(state.join(bad, "value", "left_anti").unionByName(anew), "entities")
-    raise RuntimeError(f"surrogates still collide after {most_attempts} attempts")
+            break
+        anew = keyed(state.join(bad, "atom", "left_semi").select("atom", (F.col("attempt") + 1).alias("attempt")))
+        state = materialize(state.join(bad, "atom", "left_anti").unionByName(anew), "surrogates")
+    again = state.where("attempt > 0").select("atom", "attempt")
+    changed = values.select("value", F.explode("atoms").alias("atom")).join(again, "atom").groupBy("value").agg(F.map_from_entries(F.collect_set(F.struct("atom", "attempt"))).alias("attempts"))
+    return changed.select("value", surrogate(F.col("value"), key, F.col("attempts")).alias("surrogate"))
+
+
+#: Stands before and after each entity while a text is cut there.
+_MARK = "\uffff"
+
+
+def _cut(text_col: str) -> Column:
+    """Gaps and entities of a text in turn, from one pass of the pattern; a text that holds the mark takes two."""
+    text = F.col(text_col)
+    marked = F.split(F.regexp_replace(text, f"(?:{PATTERN})", f"{_MARK}$0{_MARK}"), _MARK, -1)
+    found, gaps = F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0)), F.split(text, PATTERN, -1)
+    both = F.flatten(F.zip_with(gaps, found, lambda g, e: F.when(e.isNull(), F.array(g)).otherwise(F.array(g, e))))
+    return F.when(F.contains(text, F.lit(_MARK)), both).otherwise(marked)
 
 
 def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,29 +290,32 @@ def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_
 
     Entities are emails, IPv4 addresses, secrets (32 to 64 hexadecimal digits), phones with a country code,
     social security numbers, card numbers and names after one of _TITLES: all words up to the first that is
-    not of a name (_NAME_PART). An entity has the same surrogate in all
-    documents, distinct entities have distinct ones, and no surrogate is an entity of the corpus. Null
+    not of a name (_NAME_PART). An entity has the same surrogate in all documents and formats (see atoms()):
+    case of emails and secrets, separators of numbers and the title of a name do not count, and a family
+    name alone has the surrogate that it has after a given name. Distinct entities have distinct ones, and
+    no surrogate is an entity of the corpus. Null
     texts stay null with no entities; repeated rows and null ids are rows like others; an empty table gives
     an empty result. kinds lists the kinds found, sorted, with commas.
 
     The text does not move: split and extract run where it is read. Only if surrogates collided do the
     places of those entities join the rows again, by id and a hash of the text.
     """
-    exceptions = collisions(docs, key, text_col=text_col)
+    exceptions = materialize(collisions(docs, key, text_col=text_col), "other-surrogates")
     extra = ["n_entities", "kinds"]
     base = docs.drop(*extra)
-    found, gaps = F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0)), F.split(F.col(text_col), PATTERN, -1)
-    rows = base.withColumns({"__found": found, "__gaps": gaps})
+    # Every second part is an entity.
+    rows = base.withColumn("__parts", _cut(text_col))
     if exceptions.isEmpty():
         rows = rows.withColumn("__fixed", F.lit(None).cast("map<int,string>"))
     else:
-        print_of = [F.xxhash64(text_col).alias("__t1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__t2")]
-        places = docs.select(F.col(id_col).alias("__id"), *print_of, F.posexplode(found).alias("__pos", "value"))
-        fixed = places.join(exceptions, "value").groupBy("__id", "__t1", "__t2").agg(F.map_from_entries(F.collect_set(F.struct("__pos", "surrogate"))).alias("__fixed"))
-        rows = rows.withColumns({"__l1": print_of[0], "__l2": print_of[1]})
-        rows = rows.join(fixed, rows[id_col].eqNullSafe(fixed["__id"]) & (rows["__l1"] == fixed["__t1"]) & (rows["__l2"] == fixed["__t2"]), "left")
-    new = F.transform("__found", lambda v, i: F.coalesce(F.try_element_at("__fixed", i), surrogate(v, key)))
-    text = F.when(F.size("__found") == 0, F.col(text_col)).otherwise(F.concat(F.array_join(F.zip_with(F.slice("__gaps", F.lit(1), F.size("__found")), new, lambda g, s: F.concat(g, s)), ""), F.element_at("__gaps", -1)))
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("__found", kind_of))), ",")
+        places = rows.select(F.col(id_col).alias("__id"), *[c.alias(f"__t{i}") for i, c in enumerate(text_print(text_col))], F.posexplode("__parts").alias("__pos", "value")).where("__pos % 2 = 1")
+        fixed = places.join(exceptions, "value").groupBy("__id", "__t0", "__t1").agg(F.map_from_entries(F.collect_set(F.struct("__pos", "surrogate"))).alias("__fixed"))
+        rows = rows.withColumns({f"__l{i}": c for i, c in enumerate(text_print(text_col))})
+        rows = rows.join(fixed, rows[id_col].eqNullSafe(fixed["__id"]) & (rows["__l0"] == fixed["__t0"]) & (rows["__l1"] == fixed["__t1"]), "left")
+    new = F.transform("__parts", lambda v, i: F.when(i % 2 == 0, v).otherwise(F.coalesce(F.try_element_at("__fixed", i), surrogate(v, key))))
+    n = F.coalesce(F.floor(F.size("__parts") / 2), F.lit(0))
+    text = F.when(n == 0, F.col(text_col)).otherwise(F.array_join(new, ""))
+    found = F.filter("__parts", lambda v, i: i % 2 == 1)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(found, kind_of))), ",")
     columns = [text.alias(c) if c == text_col else rows[c] for c in base.columns]
-    return rows.select(*columns, F.greatest(F.lit(0), F.coalesce(F.size("__found"), F.lit(0))).cast("long").alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("kinds"))
+    return rows.select(*columns, F.greatest(F.lit(0), n).cast("long").alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("kinds"))

@@ -469,22 +469,66 @@ def test_pii_whole_names(spark):
     assert c == "a Dr of it, Drive on, Mr. and Mr. x"
 
 
+def test_pii_coreference(spark):
+    """One person, number or address in several formats: the same surrogate in each one's own format."""
+    texts = ["Mr Smith", "Mr. Smith", "Mr John Smith", "Dr. Smith", "a.Hein@X.org", "a.hein@x.org", "+17435553824", "+1 743 555 3824", "+44 20 7946 0958", "+442079460958", "4111-1111-1111-1111", "4111111111111111", "DEADBEEF" * 4, "deadbeef" * 4]
+    texts += ["Mr Νίκος Παπάς", "Frau Նարե Սարգսյան", "Mr O’Brien", "Mr O'Brien"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = [r.text for r in pii.replace_entities(df, "k").orderBy("doc_id").collect()]
+    assert not set(texts) & set(t)
+    family = t[0].removeprefix("Mr ")
+    assert t[1] == f"Mr. {family}" and t[2].startswith("Mr ") and t[2].endswith(f" {family}") and t[2].count(" ") == 2 and t[3] == f"Dr. {family}"
+    assert t[4].lower() == t[5] and [c.isupper() for c in t[4]] == [c.isupper() for c in texts[4]]
+    assert re.sub(r"\D", "", t[6]) == re.sub(r"\D", "", t[7]) and re.fullmatch(r"\+1 \d{3} \d{3} \d{4}", t[7])
+    assert re.sub(r"\D", "", t[8]) == re.sub(r"\D", "", t[9]) and re.fullmatch(r"\+44\d{10}", t[9])
+    assert t[10].replace("-", "") == t[11] and luhn(t[11]) and t[12].lower() == t[13] and t[12].isupper()
+    assert re.fullmatch(r"Mr [Ά-Ω][ά-ώ]+ [Ά-Ω][ά-ώ]+", t[14]) and re.fullmatch(r"Frau [Ա-Ֆ][ա-և]+ [Ա-Ֆ][ա-և]+", t[15]) and t[16] == t[17]
+
+
+def test_pii_detects_what_is_there(spark):
+    """Texts with entities at known places, among others a very long one, against a replacement by hand."""
+    rng = np.random.default_rng(11)
+    parts = ["plain words 12 and 3.14, ", "user{}@host{}.example.org", "10.{}.{}.7", "+49 30 {}123 4567", "\uffff", "x" * 300, "Herr Krause{} "]
+    rows, n_found = [], []
+    for i in range(40):
+        chosen = [parts[k] for k in rng.integers(0, len(parts), 3000 if i == 0 else 12)]
+        text = " ; ".join(p.format(*rng.integers(100, 255, 2)) if "{}" in p else p for p in chosen)
+        rows.append((i, re.sub(r"Krause(\d+)", lambda m: "Krause" + "abcdefghij"[int(m[1]) % 10], text)))
+        n_found.append(sum("{}" in p for p in chosen))
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    shape = lambda t: re.sub(r"[a-z]+\d{3}@[a-z]+\d{3}\.[a-z]+\.org|\d+\.\d+\.\d+\.\d+|\+49 \d\d \d{6} \d{4}|Herr \w+", "E", t)
+    for i, text in rows:
+        assert got[i].n_entities == n_found[i] and shape(got[i].text) == shape(text)
+    words = {w for _, t in rows for w in re.findall(r"Krause\w|user\d+@host\d+|\+49 30 \d+", t)}
+    assert not any(w in got[i].text for i, _ in rows for w in words)
+
+
 def test_pii_collisions(spark, monkeypatch):
     values = [f"user{i}@mail.example.com" for i in range(30)]
     df = spark.createDataFrame([(i, f"to {v}") for i, v in enumerate(values)], "doc_id long, text string")
-    real = pii.surrogate
+    real = pii.atom_surrogate
 
-    def few(value, key, attempt=None):  # first surrogates collide on purpose
-        out = real(value, key, attempt)
+    def few(atom, key, attempt):  # first surrogates collide on purpose
         from pyspark.sql import functions as F
 
-        return F.when((F.lit(0) if attempt is None else attempt) == 0, F.concat(F.lit("same"), (F.length(value) % 2).cast("string"), F.lit("@x.org"))).otherwise(out)
+        return F.when(attempt == 0, F.concat(F.lit("same"), (F.length(atom) % 2).cast("string"), F.lit("@x.org"))).otherwise(real(atom, key, attempt))
 
-    monkeypatch.setattr(pii, "surrogate", few)
+    monkeypatch.setattr(pii, "atom_surrogate", few)
     texts = [r.text for r in pii.replace_entities(df, "k").collect()]
     assert len(set(texts)) == 30 and not set(texts) & {f"to {v}" for v in values}
 
 
+def test_pii_forms_do_not_run_out(spark):
+    """All 26 local parts of one letter at one domain: surrogates have to get longer."""
+    values = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    texts = {r.text for r in pii.replace_entities(df, "k").collect()}
+    assert len(texts) == 26 and not texts & set(values)
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('Mr ', initcap(translate(cast(id + 1000 AS STRING), '0123456789', 'abcdefghij')), ' ', initcap(translate(cast(id * 7 + 30000 AS STRING), '0123456789', 'klmnopqrst'))) AS text")
+    got = pii.replace_entities(many, "k").selectExpr("count(distinct text) AS n", "min(n_entities) AS least").first()
+    assert got.n == 3000 and got.least == 1
+
+
 def test_digit_permutation(spark):
     from pyspark.sql import functions as F
 
