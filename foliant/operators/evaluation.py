@@ -145,9 +145,13 @@ def hit_features(hits: DataFrame) -> DataFrame:
 
 
 def page_scores(hits: DataFrame) -> DataFrame:
-    """Scores of hits spread evenly over their pages (K2). hits has query_id, score and pages (array)."""
-    rows = hits.where(F.size("pages") > 0).select("query_id", (F.col("score") / F.size("pages")).alias("s"), F.explode("pages").alias("page_idx"))
-    out = rows.groupBy("query_id", "page_idx").agg(F.round(F.sum("s"), 6).alias("score"))
+    """Scores of hits spread evenly over their pages (K2). hits has query_id, score and pages (array).
+
+    Shares are summed as whole billionths, so that a sum does not depend on the order of rows.
+    """
+    share = F.floor(F.col("score") / F.size("pages") * 1e9 + 0.5).cast("long")
+    rows = hits.where(F.size("pages") > 0).select("query_id", share.alias("s"), F.explode("pages").alias("page_idx"))
+    out = rows.groupBy("query_id", "page_idx").agg((F.sum("s") / 1e9).alias("score"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_idx")))
 
 

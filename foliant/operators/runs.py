@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
+
 
 def nearest_rank(rows: DataFrame, *, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """The value at place floor((n - 1) * q + 0.5) of each group, counted from zero (L2)."""
@@ -128,3 +130,59 @@ def labelled_runs(rows: DataFrame, labels: dict[str, str], *, on: str = "run_id"
     """Named runs with their labels, in order of the labels given."""
     names = rows.sparkSession.createDataFrame([(i, k, v) for i, (k, v) in enumerate(labels.items())], f"place int, {on} string, label string")
     return rows.join(F.broadcast(names), on).orderBy("place").drop("place")
+
+
+# --- review of patches -----------------------------------------------------------------------------------
+
+# Fixed value: words of an action, which a negative control must not have.
+ACTION_WORDS = r"(?i)\b(?:click|tap|press|select|choose|open|double-click|right-click)\b"
+
+
+def stage_pages(stage: str, main: DataFrame, quality: DataFrame, *, include_quality: bool = False) -> DataFrame:
+    """The pages that a stage works on: those for quality, the main ones, or both."""
+    if stage == "quality":
+        return quality.distinct()
+    return main.unionByName(quality).distinct() if include_quality else main.distinct()
+
+
+def quality_rows(fields: DataFrame, main: DataFrame, quality: DataFrame, *, negatives: int, seed: int = 1) -> DataFrame:
+    """Fields of the pages for quality, and a few of main pages without an action word as negative controls.
+
+    fields has source, block_idx, page_idx, field and text; the controls are the first by a seeded hash.
+    """
+    rows = fields.where(F.btrim("text") != "").withColumn("preview", X.snippet("text", 160))
+    keys = ["source", "page_idx"]
+    good = rows.join(quality.select(*keys).distinct(), keys, "left_semi").withColumn("sample_label", F.lit("quality_page"))
+    other = rows.join(quality.select(*keys).distinct(), keys, "left_anti").join(main.select(*keys).distinct(), keys, "left_semi").where(~F.col("text").rlike(ACTION_WORDS))
+    chosen = other.orderBy(F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("source").cast("string"), F.col("block_idx").cast("string"), "field")), "source", "block_idx", "field").limit(max(0, negatives))
+    out = good.unionByName(chosen.withColumn("sample_label", F.lit("negative_control")))
+    return out.select("source", "block_idx", "page_idx", (F.col("page_idx") + 1).alias("pdf_page"), "field", "sample_label", "preview")
+
+
+def review_worklist(samples: DataFrame, runs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Each sample in each run with the field's text before and after it.
+
+    samples has sample_id, block_idx and field; runs has run_id and dpi; before and after have run_id, block_idx,
+    field and text. A row for each run is what is wanted, so samples meet runs through the runs' own fields.
+    """
+    keys = ["run_id", "block_idx", "field"]
+    both = before.select(*keys, F.col("text").alias("original_text")).join(after.select(*keys, F.col("text").alias("patched_text")), keys, "full_outer")
+    found = samples.join(both, ["block_idx", "field"]).join(F.broadcast(runs), "run_id")
+    return found.select("dpi", "run_id", "sample_id", "block_idx", "field", F.coalesce("original_text", F.lit("")).alias("original_text"), F.coalesce("patched_text", F.lit("")).alias("patched_text"))
+
+
+def backfill_scores(scores: DataFrame, worklist: DataFrame) -> DataFrame:
+    """Icon counts with text_preserved and the quality score.
+
+    scores has dpi, sample_id and the counts; worklist has dpi, sample_id and both texts. A row that the
+    worklist lacks counts as preserved.
+    """
+    work = worklist.select("dpi", "sample_id", (X.preservation_key("original_text") == X.preservation_key("patched_text")).alias("same"))
+    rows = scores.join(work, ["dpi", "sample_id"], "left").withColumn("text_preserved", F.coalesce("same", F.lit(True)).cast("int")).drop("same")
+    score = patch_quality(*[F.col(c) for c in ("target_icons", "strict_hits", "wrong_icons", "missed_targets", "false_positives")], F.col("text_preserved") == 1)
+    return rows.withColumn("quality_score", score)
+
+
+def preservation_rollup(scored: DataFrame) -> DataFrame:
+    """Rows, how many did not keep their text, and the mean score."""
+    return scored.agg(F.count("*").alias("n_rows"), F.count_if(F.col("text_preserved") == 0).alias("n_not_preserved"), F.round(F.coalesce(F.avg("quality_score"), F.lit(0.0)), 6).alias("mean_score"))

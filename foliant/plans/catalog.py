@@ -617,7 +617,8 @@ def version_model_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def language_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", U.language(F.col("text")).alias("language"))
+    name = F.when(F.col("doc_id") % 7 == 0, "Manuale utente v2").when(F.col("doc_id") % 7 == 1, "polski_instrukcja").when(F.col("doc_id") % 7 == 2, "guide d'installation").otherwise("doc")
+    return table(spark, sf, "documents").select("doc_id", U.language(name, F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).alias("language"))
 
 
 @query
@@ -645,13 +646,13 @@ def decision_overlay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def layout_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return U.layout_summary(table(spark, sf, "documents").withColumn("moves", F.col("n_chars") > 500), by=("lang", "source"))
 
 
 @query
 def content_digest(spark: SparkSession, sf: str) -> DataFrame:
-    lines = B.blocks_from_text(table(spark, sf, "documents"))
     kind = F.when(F.col("block_idx") == 0, "title").when(F.char_length("text") < 60, "short").otherwise("body")
-    w = Window.partitionBy("doc_id", "kind").orderBy("block_idx")
-    rows = lines.withColumn("kind", kind).withColumn("k", F.row_number().over(w)).where("k <= 2")
-    return rows.groupBy("doc_id", "kind").agg(F.array_join(F.array_sort(F.collect_list(F.struct("block_idx", "text")))["text"], " / ").alias("digest"))
+    return U.content_digest(B.blocks_from_text(table(spark, sf, "documents")), kind, key="doc_id")
+
+
+from . import more  # noqa: E402, F401  the rest of the queries register themselves

@@ -282,8 +282,8 @@ ORACLE_SQL = {
         SELECT query_id, round(max(score) FILTER (WHERE rank = 1), 8) AS top_dense, 0.0::DOUBLE AS top_sparse, round(max(v) FILTER (WHERE rank = 1), 8) AS top_visual, round(max(score * 0.5) FILTER (WHERE rank = 1), 8) AS top_direct,
           count(*) FILTER (WHERE v > 0) AS n_visual, bool_or(g AND v > 0)::INT AS visual_gold_page, (bool_or(g) AND NOT bool_or(p))::INT AS misallocated,
           (bool_or(rank = 1 AND v > 0 AND v > score * 0.5) AND NOT bool_or(p))::INT AS visual_overweight FROM h GROUP BY query_id""",
-    "page_score_spread": f"""WITH {_HITS}, p AS (SELECT query_id, score / (id % 3 + 1) AS s, unnest(range(id % 4, id % 4 + id % 3 + 1)) AS page_idx FROM hits),
-        g AS (SELECT query_id, page_idx, round(sum(s), 6) AS score FROM p GROUP BY query_id, page_idx)
+    "page_score_spread": f"""WITH {_HITS}, p AS (SELECT query_id, floor(score / (id % 3 + 1) * 1e9 + 0.5)::BIGINT AS s, unnest(range(id % 4, id % 4 + id % 3 + 1)) AS page_idx FROM hits),
+        g AS (SELECT query_id, page_idx, sum(s)::DOUBLE / 1e9 AS score FROM p GROUP BY query_id, page_idx)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_idx)::INT AS place FROM g""",
     "pass_scores": f"WITH {_PASSES} SELECT * FROM scored",
     "run_score_summary": f"""WITH {_PASSES}, x AS (SELECT *, (query_id % 900 + 100)::DOUBLE AS c, CASE WHEN query_id % 5 > 0 THEN (query_id % 700 + 200)::DOUBLE END AS t FROM scored)
@@ -335,8 +335,10 @@ ORACLE_SQL = {
         y AS (SELECT item_id, round(CASE WHEN len(c) > 0 THEN len(list_intersect(c, p))::DOUBLE / len(c) ELSE 0 END, 6) AS coverage FROM x) SELECT item_id, coverage, coverage >= 0.88 AS supported FROM y""",
     "version_model_extract": r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?i)(?:^|[_ -])V(\d+(?:\.\d+){1,4})(?:[_ )\-.]|$)', 1), ''), nullif(regexp_extract(text, '(?i)version\s+(\d+(?:\.\d+){1,4})', 1), '')) AS version,
         coalesce(array_to_string((SELECT list(m ORDER BY i) FROM (SELECT upper(m) AS m, min(i) AS i FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Za-z]{2,6}\.[0-9]{2})@', 1)) AS m, generate_subscripts(regexp_extract_all(text, '\b([A-Za-z]{2,6}\.[0-9]{2})@', 1), 1) AS i) GROUP BY upper(m)))[1:12], '|'), '') AS models FROM documents""",
-    "language_rules": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[\x{0400}-\x{04ff}]') THEN 'ru' WHEN regexp_matches(text, '[ßäöü]') THEN 'de' WHEN regexp_matches(text, '[ñóíá]') THEN 'es'
-        WHEN regexp_matches(text, '[èêçàù]') THEN 'fr' ELSE 'en' END AS language FROM documents""",
+    "language_rules": r"""WITH x AS (SELECT doc_id, ['Manuale utente v2', 'polski_instrukcja', 'guide d''installation', 'doc', 'doc', 'doc', 'doc'][doc_id % 7 + 1] || chr(10) || left(coalesce(text, ''), 3000) AS t, CASE WHEN doc_id % 2 = 0 THEN nullif(trim(lang), '') END AS known FROM documents)
+        SELECT doc_id, CASE WHEN regexp_matches(t, '[\x{ac00}-\x{d7af}]') THEN 'ko' WHEN regexp_matches(t, '[\x{0600}-\x{06ff}]') OR regexp_matches(lower(t), '(^|[^a-z0-9_])arabic($|[^a-z0-9_])') THEN 'ar'
+          WHEN regexp_matches(lower(t), '(^|[^a-z0-9_])(francais|français|guide d''installation|manuel utilisateur)($|[^a-z0-9_])') THEN 'fr' WHEN regexp_matches(lower(t), '(^|[^a-z0-9_])(polish|polski|instrukcja|użytkownik)($|[^a-z0-9_])') THEN 'pl'
+          WHEN regexp_matches(lower(t), '(^|[^a-z0-9_])(italiano|installazione|manuale utente)($|[^a-z0-9_])') THEN 'it' ELSE coalesce(known, 'en') END AS language FROM x""",
     "doc_type_rules": r"""WITH x AS (SELECT doc_id, lang, source, lower(text) AS t FROM documents),
         y AS (SELECT *, CASE WHEN contains(t, 'license') THEN 'license' WHEN regexp_matches(t, 'token\s*=') THEN 'credentials' WHEN contains(t, '@mail') THEN 'contact' ELSE 'prose' END AS kind FROM x)
         SELECT doc_id, kind, concat_ws('|', CASE WHEN contains(t, 'license') THEN 'license' END, CASE WHEN contains(t, 'version') THEN 'version' END, CASE WHEN contains(t, 'public') THEN 'public' END, CASE WHEN contains(t, 'token') THEN 'secret' END) AS topics,
@@ -344,8 +346,12 @@ ORACLE_SQL = {
     "anomalies": """SELECT 'collision' AS kind, p_name AS key, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1
         UNION ALL SELECT 'orphan', p_partkey::VARCHAR, 1 FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)""",
     "decision_overlay": "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'xx' ELSE lang END AS lang, source FROM documents",
-    "layout_summary": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL",
+    "layout_summary": "SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE n_chars > 500) AS n_moves FROM documents GROUP BY ALL",
     "content_digest": f"""WITH {_LINES}, k AS (SELECT *, CASE WHEN block_idx = 0 THEN 'title' WHEN length(text) < 60 THEN 'short' ELSE 'body' END AS kind FROM lines),
         r AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY block_idx) <= 2)
         SELECT doc_id, kind, string_agg(text, ' / ' ORDER BY block_idx) AS digest FROM r GROUP BY doc_id, kind""",
 }
+
+from .more_sql import MORE_SQL  # noqa: E402  the SQL of more.py
+
+ORACLE_SQL |= MORE_SQL
