@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_print
+from .shared import broadcast_if_few, materialize, text_print
 
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -38,13 +38,7 @@ _KINDS = {"email": "@", "ip": r"^\d{1,3}(\.\d{1,3}){3}$", "phone": r"^\+", "ssn"
 _ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "àâäçéèêëîïíñóôöùûüúß", "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ",
 )
-#: Given names by gender, further ones' endings, and syllables, by script; the first script is that of names in none of them.
-_GIVEN = {
-    "latin": {"m": "Adrian Bruno Carl Dario Emil Felix Gustav Hugo Ivan Jonas Karim Leon Martin Nils Oscar Pablo", "f": "Ada Bianca Clara Diana Elena Flora Greta Hanna Ines Julia Karla Laura Marta Nora Olga Petra"},
-    "cyrillic": {"m": "Антон Борис Виктор Глеб Денис Игорь Кирилл Максим", "f": "Анна Вера Галина Дарья Ирина Ксения Лидия Мария"},
-    "greek": {"m": "Αλέξης Γιώργος Δημήτρης Ηλίας Λεωνίδας Πέτρος Σπύρος Χρήστος", "f": "Άννα Βασιλική Ελένη Ζωή Κατερίνα Μαρία Σοφία Χριστίνα"},
-    "armenian": {"m": "Արամ Գագիկ Դավիթ Հայկ Կարեն Սուրեն Վահան Տիգրան", "f": "Անի Գայանե Լիլիթ Մարիամ Նարե Սոնա Տաթև Շուշան"},
-}
+#: Syllables of names and endings of given names by gender, by script; the first script is that of names in none of them.
 _ENDINGS = {"latin": {"m": "n r s", "f": "na ra lia"}, "cyrillic": {"m": "н р с", "f": "на ра лия"}, "greek": {"m": "νος ρης σης", "f": "να ρα σία"}, "armenian": {"m": "ն ր կ", "f": "նա րա նե"}}
 _SYLLABLES = {
     "latin": "ba be bo da de do fa fe fi ga go ka ke ko la le lo ma me mo na ne no pa pe po ra re ro sa se so",
@@ -133,8 +127,18 @@ def kind_of(value: Column) -> Column:
     return F.when(value.rlike(r"^[0-9A-Fa-f]{32,64}$"), "secret").otherwise(out)
 
 
-def _choose(words: str, hexed: Column, byte: Column | int) -> Column:
-    return F.get(F.split(F.lit(words), " "), _number(hexed, byte, len(words.split())).cast("int"))
+def _choose(words: Column, hexed: Column, byte: Column | int) -> Column:
+    """One of the words, which blanks part."""
+    return _once(F.split(words, " "), lambda w: F.get(w, _number(hexed, byte, F.size(w).cast("long")).cast("int")))
+
+
+def _by(table: dict[str, str], key: Column) -> Column:
+    """The entry of the table, or its first one."""
+    first, *others = table.items()
+    out = F.lit(first[1])
+    for k, v in others:
+        out = F.when(key == k, v).otherwise(out)
+    return out
 
 
 def _once(value: Column, then) -> Column:
@@ -192,27 +196,24 @@ def atom_surrogate(atom: Column, key: str, attempt: Column) -> Column:
             return _once(new, lambda x: ip(b, x, i + 1))
 
         more = F.substr(F.translate(hexed, "abcdef", "012345"), F.lit(1), F.greatest(F.lit(0), attempt - _LONGER_NUMBER))
-        country = F.regexp_extract(value, _COUNTRY, 1)
-        phone = F.concat(country, permute_digits(F.substr(value, F.length(country) + 1, F.length(value)), key, F.lit("phone"), attempt, country), more)
-        ssn = F.concat(permute_digits(value, key, F.lit("ssn"), attempt), more)
-        body, check = F.substr(value, F.lit(1), F.length(value) - 1), F.substr(value, F.length(value), F.lit(1)).cast("int")
-        card = _once(F.concat(permute_digits(body, key, F.lit("card"), attempt), more), lambda p: F.concat(p, F.pmod(_luhn(p) + check - _luhn(body), F.lit(10)).cast("string")))
-
-        def name(script: str) -> Column:
-            def syllables(n: Column | int) -> Column:
-                count = (F.lit(n) if isinstance(n, int) else n).cast("int")
-                return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: _choose(_SYLLABLES[script], hexed, F.pmod(i * 8, F.lit(56)))), "")
-
-            def given(gender: str) -> Column:
-                return F.when(attempt == 0, _choose(_GIVEN[script][gender], hexed, 0)).otherwise(F.concat(syllables(attempt + 1), _choose(_ENDINGS[script][gender], hexed, 48)))
-
-            other = F.when(_number(hexed, 40, 2) == 0, given("f")).otherwise(given("m"))
-            return F.initcap(F.when(kind == "f", syllables(attempt + 4)).when(kind == "gf", given("f")).when(kind == "gm", given("m")).otherwise(other))
-
-        out = name("latin")
-        for script, pattern in _SCRIPTS.items():
-            out = F.when(value.rlike(pattern), name(script)).otherwise(out)
-        for one, column in (("card", card), ("ssn", ssn), ("phone", phone), ("secret", F.substr(hexed, F.lit(1), F.length(value))), ("ip", ip(high, low, 0)), ("email", email)):
+        country = F.when(kind == "phone", F.regexp_extract(value, _COUNTRY, 1)).otherwise("")
+        # All digits but the country code and a card's last, the check digit.
+        inner = F.substr(value, F.length(country) + 1, F.length(value) - F.length(country) - F.when(kind == "card", 1).otherwise(0))
+        check = F.substr(value, F.length(value), F.lit(1)).cast("int")
+        number = _once(F.concat(permute_digits(inner, key, kind, attempt, country), more), lambda p: F.concat(country, p, F.when(kind == "card", F.pmod(_luhn(p) + check - _luhn(inner), F.lit(10)).cast("string")).otherwise("")))
+
+        script = F.lit("latin")
+        for one, pattern in _SCRIPTS.items():
+            script = F.when(value.rlike(pattern), one).otherwise(script)
+        gender = F.when(kind == "gf", "f").when(kind == "gm", "m").when(_number(hexed, 40, 2) == 0, "f").otherwise("m")
+        both = F.concat(script, F.lit(" "), gender)
+        flat = lambda table: {f"{one} {g}": words for one, own in table.items() for g, words in own.items()}
+        # So many that few of even a million names meet at first.
+        length = F.when(kind == "f", attempt + 5).otherwise(attempt + 4).cast("int")
+        syllables = F.array_join(F.transform(F.sequence(F.lit(0), length - 1), lambda i: _choose(_by(_SYLLABLES, script), hexed, F.pmod(i * 8, F.lit(56)))), "")
+        out = F.initcap(F.when(kind == "f", syllables).otherwise(F.concat(syllables, _choose(_by(flat(_ENDINGS), both), hexed, 48))))
+        out = F.when(kind.isin("phone", "ssn", "card"), number).otherwise(out)
+        for one, column in (("secret", F.substr(hexed, F.lit(1), F.length(value))), ("ip", ip(high, low, 0)), ("email", email)):
             out = F.when(kind == one, column).otherwise(out)
         return out
 
@@ -297,8 +298,8 @@ def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_
     texts stay null with no entities; repeated rows and null ids are rows like others; an empty table gives
     an empty result. kinds lists the kinds found, sorted, with commas.
 
-    The text does not move: split and extract run where it is read. Only if surrogates collided do the
-    places of those entities join the rows again, by id and a hash of the text.
+    Texts are cut and put together where they are read. If surrogates collided, the places of those entities
+    join the rows by id and a hash of the text, without moving the texts as long as they are few.
     """
     exceptions = materialize(collisions(docs, key, text_col=text_col), "other-surrogates")
     extra = ["n_entities", "kinds"]
@@ -309,7 +310,8 @@ def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_
         rows = rows.withColumn("__fixed", F.lit(None).cast("map<int,string>"))
     else:
         places = rows.select(F.col(id_col).alias("__id"), *[c.alias(f"__t{i}") for i, c in enumerate(text_print(text_col))], F.posexplode("__parts").alias("__pos", "value")).where("__pos % 2 = 1")
-        fixed = places.join(exceptions, "value").groupBy("__id", "__t0", "__t1").agg(F.map_from_entries(F.collect_set(F.struct("__pos", "surrogate"))).alias("__fixed"))
+        fixed = places.join(broadcast_if_few(exceptions), "value").groupBy("__id", "__t0", "__t1").agg(F.map_from_entries(F.collect_set(F.struct("__pos", "surrogate"))).alias("__fixed"))
+        fixed = broadcast_if_few(materialize(fixed, "places"))
         rows = rows.withColumns({f"__l{i}": c for i, c in enumerate(text_print(text_col))})
         rows = rows.join(fixed, rows[id_col].eqNullSafe(fixed["__id"]) & (rows["__l0"] == fixed["__t0"]) & (rows["__l1"] == fixed["__t1"]), "left")
     new = F.transform("__parts", lambda v, i: F.when(i % 2 == 0, v).otherwise(F.coalesce(F.try_element_at("__fixed", i), surrogate(v, key))))
