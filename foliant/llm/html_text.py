@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells up to this width are padded to their column's width; wider ones are not.
+#: Lines of cells are broken at blanks so that they are no wider, but for longer words.
 CELL_WIDTH = 80
+#: Lists, quotations and tables within each other that have an indent or a grid of their own; deeper ones are plain blocks.
+MOST_NESTED = 40
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
@@ -23,7 +25,10 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DECLARATION = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+#: Rules of style sheets, comments and at-rules apart; and the selectors that are understood.
+_SHEET = re.compile(r"/\*.*?(?:\*/|\Z)|@[^;{}]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\})|(?P<who>[^{}@;/]++)\{(?P<what>[^{}]*+)\}|.", re.S)
+_SELECTOR = re.compile(r"(?P<tag>[a-z][a-z0-9]*|\*)?(?:\.(?P<class>[\w-]+)|\#(?P<id>[\w-]+))?", re.I)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -64,18 +69,26 @@ def parse(source: str) -> Node:
     """The tree of a page: missing ends, rows and table parts are implied, stray ends are ignored."""
     root = Node("#root", {})
     stack = [root]
+    #: Where each tag is open, so that no tag looks through all that is open.
+    places: dict[str, list[int]] = {}
+
+    def last(tags: set[str] | frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            places[node.tag].pop()
+        del stack[i:]
 
     def close(tags: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in walls:
-                return
+        i = last(tags)
+        if i and i >= last(walls):
+            cut(i)
 
     def open_node(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
 
     at, n = 0, len(source)
@@ -95,10 +108,10 @@ def parse(source: str) -> Node:
             tag = m["end"].lower()
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and all(x.tag != "p" for x in stack):
+            elif tag == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p", {}))
             else:
-                walls = frozenset() if tag in ("html", "body") else frozenset(("table",)) if tag in ("tr", "td", "th", *_SECTIONS) else _WALLS - {tag}
+                walls = frozenset() if tag in ("html", "body", "table") else frozenset(("table",)) if tag in ("tr", "td", "th", *_SECTIONS) else _WALLS - {tag}
                 close({tag}, walls)
         elif kind in ("start", "attrs"):
             tag = m["start"].lower()
@@ -112,15 +125,15 @@ def parse(source: str) -> Node:
                 close({"tr"}, {"table"})
             if tag in _SECTIONS:
                 close(_SECTIONS, {"table"})
-            if tag in ("html", "body") and any(x.tag == tag for x in stack):
+            if tag in ("html", "body") and places.get(tag):
                 continue
             if tag in ("td", "th") and stack[-1].tag in ("table", *_SECTIONS):
                 open_node("tr", {})
             if stack[-1].tag == "head" and tag in _BLOCK:
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in _VOID or m["attrs"].endswith("/") and tag not in _BLOCK and tag not in _RAW:
                 stack[-1].children.append(Node(tag, attrs))
-            elif tag in _RAW and m["attrs"].endswith("/") and any(x.tag in ("svg", "math") for x in stack):
+            elif tag in _RAW and m["attrs"].endswith("/") and last({"svg", "math"}):
                 stack[-1].children.append(Node(tag, attrs))
             elif tag in _RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
@@ -134,13 +147,62 @@ def parse(source: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
+Rules = dict[tuple[str, str, str], list[tuple[int, int, str, str]]]
+
+
+def style_rules(root: Node) -> Rules:
+    """What the page's style sheets say of display and visibility, by (tag, class, id) of simple selectors."""
+    rules: Rules = {}
+    todo, order = [root], 0
+    while todo:
+        node = todo.pop()
+        if node.tag != "style":
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+            continue
+        for rule in _SHEET.finditer("".join(c for c in node.children if isinstance(c, str))):
+            if rule["who"] is None:
+                continue
+            said = [(m[1].lower(), m[2].lower(), bool(m[3])) for m in _DECLARATION.finditer(rule["what"])]
+            for who in rule["who"].split(",") if said else ():
+                m = _SELECTOR.fullmatch(who.strip())
+                if m and m[0]:
+                    key = ("" if m["tag"] in (None, "*") else m["tag"].lower(), m["class"] or "", m["id"] or "")
+                    for what, value, important in said:
+                        order += 1
+                        weight = 1000 * important + 100 * bool(key[2]) + 10 * bool(key[1]) + bool(key[0])
+                        rules.setdefault(key, []).append((weight, order, what, value))
+    return rules
+
+
+def shown(node: Node, rules: Rules) -> tuple[bool, bool | None]:
+    """(whether the element is there, whether its text can be seen or None if its parent says)."""
     a = node.attrs
     if node.tag in _HIDDEN or node.tag == "title":
-        return False
-    if not a:
-        return True
-    return not ("hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "input" and a.get("type", "").lower() == "hidden" or _NOT_SHOWN.search(a.get("style", "")))
+        return False, None
+    if not a and not rules:
+        return True, None
+    if node.tag == "input" and a.get("type", "").lower() == "hidden":
+        return False, None
+    best: dict[str, tuple[int, int, str]] = {}
+    if "hidden" in a and a["hidden"].lower() != "until-found":
+        best["display"] = (0, 0, "none")
+    found = []
+    if rules:
+        classes, own = a.get("class", "").split(), a.get("id", "")
+        keys = [(t, c, "") for t in ("", node.tag) for c in ("", *classes)] + [(t, "", own) for t in ("", node.tag) if own]
+        found = [r for k in keys for r in rules.get(k, ())]
+    found += [(1000 * bool(m[3]) + 500, 0, m[1].lower(), m[2].lower()) for m in _DECLARATION.finditer(a.get("style", ""))]
+    for weight, order, what, value in found:
+        if (weight, order) >= best.get(what, (0, 0, ""))[:2]:
+            best[what] = (weight, order, value)
+    display, visibility = best.get("display", (0, 0, ""))[2], best.get("visibility", (0, 0, ""))[2]
+    return display != "none", {"hidden": False, "collapse": False, "visible": True}.get(visibility)
+
+
+def visible(node: Node) -> bool:
+    """Whether an element of a formula or drawing is to be seen."""
+    there, seen = shown(node, {})
+    return there and seen is not False
 
 
 class Flow:
@@ -237,16 +299,41 @@ def place(rows: list[list[tuple[int, int, list[str]]]], cuts: set[int]) -> list[
     return out
 
 
+def wrapped(lines: list[str]) -> list[str]:
+    """Lines broken at blanks to CELL_WIDTH; a longer word has a line of its own."""
+    out = []
+    for line in lines:
+        if width(line) <= CELL_WIDTH:
+            out.append(line)
+            continue
+        part, size = [], 0
+        for word in line.split(" "):
+            w = width(word)
+            if part and size + 1 + w > CELL_WIDTH:
+                out.append(" ".join(part))
+                part, size = [], 0
+            size += w + (1 if part else 0)
+            part.append(word)
+        out.append(" ".join(part))
+    return out
+
+
 def lay_out(rows: list[list[tuple[int, int, list[str]]]], cuts: set[int]) -> list[str]:
-    """Rows of cells with the cells of a column under each other; see place()."""
+    """Rows of cells with the cells of a column under each other; see place().
+
+    Where long words would make blanks of many times the text, cells over CELL_WIDTH do not widen their column.
+    """
     widths: dict[int, int] = {}
-    placed = place(rows, cuts)
-    for row in placed:
-        for column, span, lines in row:
-            if span == 1:
-                w = max(map(width, lines), default=0)
-                if w <= CELL_WIDTH:
-                    widths[column] = max(widths.get(column, 0), w)
+    placed = place([[(span, down, wrapped(lines)) for span, down, lines in row] for row in rows], cuts)
+    sizes = [(column, max(map(width, lines), default=0)) for row in placed for column, span, lines in row if span == 1]
+    for column, w in sizes:
+        widths[column] = max(widths.get(column, 0), w)
+    text = sum(len(x) for row in placed for _, _, lines in row for x in lines)
+    tall = sum(max((len(lines) for _, _, lines in row), default=0) for row in placed)
+    if sum(widths.values()) * tall > 16 * text + (1 << 20):
+        widths = {}
+        for column, w in sizes:
+            widths[column] = max(widths.get(column, 0), w if w <= CELL_WIDTH else 0)
     out = []
     for row in placed:
         for k in range(max((len(lines) for _, _, lines in row), default=0)):
@@ -323,90 +410,103 @@ def render(root: Node) -> str:
     lists: list[list] = []
     tables: list[list[list[tuple[int, int, list[str]]]]] = []
     cuts: list[set[int]] = []
+    rules = style_rules(root)
     pre = 0
-    steps: list = [(root, True)]
+    #: What comes: a node, whether it starts, whether its text is seen, and whether it has a flow or grid of its own.
+    steps: list = [(root, True, True, False)]
     while steps:
-        node, enter = steps.pop()
+        node, enter, seen, own = steps.pop()
         if isinstance(node, str):
-            flows[-1].pre(node) if pre else flows[-1].text(node)
+            if seen:
+                flows[-1].pre(node) if pre else flows[-1].text(node)
             continue
         tag = node.tag
         flow = flows[-1]
         if enter:
-            if not visible(node):
+            there, says = shown(node, rules)
+            if not there:
                 continue
+            seen = seen if says is None else says
             if tag == "br":
                 flow.lay()
                 continue
             if tag == "img":
-                if node.attrs.get("alt", "").strip():
+                if seen and node.attrs.get("alt", "").strip():
                     flow.text(node.attrs["alt"])
                 continue
             if tag == "input":
-                if node.attrs.get("type", "text").lower() in ("text", "submit", "button", "search") and node.attrs.get("value"):
+                if seen and node.attrs.get("type", "text").lower() in ("text", "submit", "button", "search") and node.attrs.get("value"):
                     flow.text(node.attrs["value"])
                 continue
             if tag == "math":
-                shown = formula(node)
+                text = formula(node) if seen else ""
                 if node.attrs.get("display", "").lower() == "block":
                     flow.edge(False)
-                    flow.text(shown)
+                    flow.text(text)
                     flow.edge(False)
                 else:
-                    flow.text(shown)
+                    flow.text(text)
                 continue
             if tag == "svg":
-                steps.extend((x, True) for x in reversed(labels(node)))
+                steps.extend((x, True, seen, False) for x in reversed(labels(node)))
                 continue
             if tag in _BLOCK and tag not in ("td", "th", "tr", *_SECTIONS):
                 flow.edge(tag in _SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists))
+            own = len(flows) <= MOST_NESTED
             if tag in ("ul", "ol", "menu", "dir"):
                 start = node.attrs.get("start", "1").strip()
                 lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
             elif tag == "li" or tag in ("dd", "blockquote"):
-                flows.append(Flow())
+                if own:
+                    flows.append(Flow())
             elif tag == "table":
-                tables.append([])
+                tables.append([] if own else None)
                 cuts.append(set())
-            elif tag in _SECTIONS and tables:
+            elif tag in _SECTIONS and tables and tables[-1] is not None:
                 cuts[-1].add(len(tables[-1]))
-            elif tag == "tr" and tables:
+            elif tag == "tr" and tables and tables[-1] is not None:
                 tables[-1].append([])
             elif tag in ("td", "th"):
-                if tables:
+                own = bool(tables) and tables[-1] is not None
+                if own:
                     flows.append(Flow())
                 else:
                     flow.edge(False)
             elif tag == "pre":
                 pre += 1
-            steps.append((node, False))
-            children = node.children
-            steps.extend((c, True) for c in reversed(children))
+            steps.append((node, False, seen, own))
+            steps.extend((c, True, seen, False) for c in reversed(node.children))
             continue
         if tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
             flow.edge(not lists)
         elif tag == "li":
-            lines = flows.pop().done()
             mark = "- "
             if lists and lists[-1][0]:
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
-            if lines:
-                flows[-1].put([mark + lines[0], *(" " * len(mark) + x if x else "" for x in lines[1:])])
+            if own:
+                lines = flows.pop().done()
+                if lines:
+                    flows[-1].put([mark + lines[0], *(" " * len(mark) + x if x else "" for x in lines[1:])])
+            else:
+                flow.edge(False)
         elif tag in ("dd", "blockquote"):
-            lines = flows.pop().done()
-            flows[-1].put(["  " + x if x else "" for x in lines])
+            if own:
+                lines = flows.pop().done()
+                flows[-1].put(["  " + x if x else "" for x in lines])
             flows[-1].edge(tag == "blockquote")
-        elif tag in ("td", "th") and tables:
+        elif tag in ("td", "th") and own:
             lines = flows.pop().done()
             if not tables[-1]:
                 tables[-1].append([])
             tables[-1][-1].append((span_of(node, "colspan", 1, 100), span_of(node, "rowspan", 0, 65534), lines))
-        elif tag in _SECTIONS and tables:
+        elif tag in _SECTIONS and tables and tables[-1] is not None:
             cuts[-1].add(len(tables[-1]))
         elif tag == "table":
-            flows[-1].put(lay_out(tables.pop(), cuts.pop()))
+            rows, edges = tables.pop(), cuts.pop()
+            if rows is not None:
+                flows[-1].put(lay_out(rows, edges))
             flows[-1].edge(True)
         elif tag == "pre":
             pre -= 1
@@ -430,9 +530,11 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
     """(page_id, title, text) of each row of pages.
 
     text is all visible text: blocks on lines of their own, paragraphs, headings, lists and tables apart by
-    an empty line, list items with marks and indents, cells of a column under each other, preformatted
-    text as it is, formulas in a line, texts of drawings apart by blanks. Scripts, styles, heads, templates, hidden elements and those that their style attribute
-    hides are left out. A null page has a null title and text, an empty one an empty text; rows are
+    an empty line, list items with marks and indents, cells of a column under each other and wide ones broken,
+    preformatted text as it is, formulas in a line, texts of drawings apart by blanks. Scripts, styles, heads,
+    templates, hidden elements and those that their style attribute or a rule of a style sheet hides (by tag,
+    class or id; other selectors and media rules are not read) are left out; within what visibility hides,
+    what it shows again is kept. Beyond MOST_NESTED lists and tables within each other no indents are added. A null page has a null title and text, an empty one an empty text; rows are
     rendered one by one, so repeated rows and null ids are rows like others.
     """
     kind = pages.schema[id_col].dataType.simpleString()

@@ -574,6 +574,45 @@ def test_html_formulas_drawings_and_spans(page, text):
     assert html_text.render(html_text.parse(page)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>.x{display:none} #y , b.z {visibility:hidden} @media print{p{display:none}}</style><p class='a x'>no<p id=y>no<b class=z>no</b><p>yes<b>yes</b>", "yesyes"),
+        ("<style>p{display:none}.k{display:block}</style><p>no<p class=k>yes<p class=k style='display:none'>no", "yes"),
+        ("<div style='visibility:hidden'>no <span style='visibility:visible'>yes</span> no</div>z", "yes\nz"),
+        ("<table><tr><td>a<td style='visibility:hidden'>bb<td>c<tr><td>d<td>eee<td>f</table>", "a       c\nd  eee  f"),
+        ("<table><tr><td>" + "word " * 40 + "<td>end<tr><td>x<td>y</table>", " ".join(["word"] * 16) + "  end\n" + " ".join(["word"] * 16) + "\n" + " ".join(["word"] * 8) + "\nx" + " " * 80 + "y"),
+        ("<b><table><td><i>1</b>2</i></table>3", "12\n\n3"),
+        ("<p>a<table><tr><td><p>b</p></table></p>c", "a\n\nb\n\nc"),
+    ],
+)
+def test_html_styles_and_cells(page, text):
+    assert html_text.render(html_text.parse(page)) == text
+
+
+def seen_words(page):
+    """Words outside of tags of a page that hides nothing."""
+    return re.findall(r"\w+", re.sub(r"<[^>]*>", " ", page))
+
+
+def test_html_keeps_all_words_in_order():
+    """Random pages of nested elements: every word comes out, in order but for tables, within a fixed time when nested deeply."""
+    rng = np.random.default_rng(9)
+    tags = "div p ul ol li span b blockquote dl dd dt h2 section table tr td th tbody pre em".split()
+    for _ in range(300):
+        page = "".join(f"<{'/' if rng.random() < 0.35 else ''}{tags[rng.integers(len(tags))]}> w{i} " for i in range(rng.integers(1, 60)))
+        got = re.findall(r"w\d+", html_text.render(html_text.parse(page)))
+        assert sorted(got) == sorted(seen_words(page)) and ("<t" in page or got == seen_words(page))
+    import time
+
+    began = time.perf_counter()
+    for tag in ("div", "ul><li", "b", "table><tr><td", "blockquote", "p><b"):
+        page = f"<{tag}>x " * 50_000 + "</p></td></b>" * 20_000
+        text = html_text.render(html_text.parse(page))
+        assert text.count("x") == 50_000 and len(text) < 12_000_000
+    assert time.perf_counter() - began < 120
+
+
 def test_html_rows(spark):
     deep = "<div>" * 20_000 + "x"
     df = spark.createDataFrame([(1, None, 0), (2, deep, 0), (2, deep, 0), (None, "<p>a", 0)], "page_id long, html string, title int")
