@@ -253,6 +253,59 @@ def test_language(spark):
     assert language_id.predict_languages(empty(spark)).count() == 0
 
 
+def test_language_counts_of_long_texts():
+    """Pieces of a long text have the counts of the whole; texts without blanks and of several bytes a letter too."""
+    rng = np.random.default_rng(4)
+    for letters in ("abc d,  e", "äöß 中文 ", "xyz"):
+        raw = np.frombuffer("".join(letters[i] for i in rng.integers(0, len(letters), 5000)).encode(), np.uint8)
+        whole = language_id.count_ngrams(raw, np.array([0, len(raw)]), 256)
+        for piece in (7, 100, 4999):
+            part = language_id.count_long(raw, 256, piece)
+            assert (part[0] == whole[0]).all() and (part[1] == whole[1]).all()
+
+
+def languages_by_hand(rows, texts, features=language_id.FEATURES):
+    """Nearest centroids with dictionaries of n-grams, from the same sample and seeds."""
+    grams = lambda t: language_id.count_ngrams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), features)[0][0]
+    counts = {lang: np.array([grams(t) for t in own]) for lang, own in rows.items()}
+    every = np.concatenate(list(counts.values()))
+    weights = [np.log((1 + len(every)) / (1 + n)) + 1 for n in (every > 0).sum(axis=0)]
+    vector = lambda c: (v := np.log1p(c) * weights) / np.sqrt((v * v).sum())
+    centroids = [(lang, c) for lang, own in sorted(counts.items()) for c in language_id._cluster(np.array([vector(c) for c in own], np.float32), language_id.CENTROIDS)[0]]
+    return [max(((float(c @ vector(grams(t))), lang) for lang, c in centroids), key=lambda x: x[0]) for t in texts]
+
+
+def test_language_against_brute_force(spark):
+    """Many small languages, all learned; scores as by hand; noise in Latin letters and an unlearned language go."""
+    rng = np.random.default_rng(6)
+    words = {f"l{i:03d}": ["".join(chr(97 + c) for c in rng.integers(i % 13, i % 13 + 12, rng.integers(3, 7))) for _ in range(30)] for i in range(60)}
+    say = lambda lang, n: " ".join(words[lang][j] for j in rng.integers(0, 30, n))
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1][:600]
+    train = [(i, say(f"l{n % 60:03d}", 60), f"l{n % 60:03d}") for n, i in enumerate(ids)]
+    model = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(words)
+    texts = [say(f"l{n:03d}", 80) for n in range(60)]
+    odd = ["".join(chr(97 + c) for c in rng.integers(0, 26, 3000)), "".join(chr(1072 + c) for c in rng.integers(0, 30, 400))]
+    got = language_id.classify(spark.createDataFrame(list(enumerate(texts + odd)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    # The hash of ids orders the sample, on which seeds depend.
+    from pyspark.sql import functions as F
+
+    order = {r.id: r.h for r in spark.createDataFrame([(i,) for i in ids], "id long").select("id", F.xxhash64("id", F.lit(11)).alias("h")).collect()}
+    by: dict = {}
+    for i, t, lang in sorted(train, key=lambda r: order[r[0]]):
+        by.setdefault(lang, []).append(t)
+    want = languages_by_hand(by, texts)
+    assert [r.lang_pred for r in got[:60]] == [w[1] for w in want] and np.allclose([r.score for r in got[:60]], [w[0] for w in want], atol=1e-4)
+    assert not any(r.rejected for r in got[:60]) and got[61].rejected
+    real = spark.read.parquet(f"{DATA_DIR}/sf0.01/documents.parquet")
+    noise = spark.createDataFrame([(1, odd[0]), (2, " ".join(odd[0][i : i + 9] for i in range(0, 3000, 9)))], "doc_id long, text string")
+    model = language_id.fit(real)
+    assert all(r.rejected for r in language_id.classify(noise, model).collect())
+    assert language_id.classify(real.where("lang IS NOT NULL"), model).where("rejected AND text RLIKE '[a-z]{3}'").count() <= 3
+    clash = spark.createDataFrame([(1, "the thing and the other", "a", 1.0, True)], "doc_id long, text string, lang_pred string, score double, rejected boolean")
+    assert language_id.classify(clash, model).columns == ["doc_id", "text", "lang_pred", "score", "rejected"]
+
+
 # --- repeated byte strings ---------------------------------------------------------------------------------------------
 
 
