@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 19
 
 
+#: Tables that are made while settle() runs, the innermost last.
+_made: list[list[str]] = []
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,6 +45,8 @@ def materialize(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame
     by is a column whose values have a folder each.
     """
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    if _made:
+        _made[-1].append(path)
     # The shuffle files of this write are of no use after it.
     before = spark.conf.get(_FREE, None)
     spark.conf.set(_FREE, "true")
@@ -53,6 +57,19 @@ def materialize(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """materialize(make(), name), and then delete the tables that make() has made on its way."""
+    _made.append([])
+    try:
+        out = materialize(make(), name)
+    finally:
+        paths = _made.pop()
+    # The last is out itself.
+    for path in paths[:-1]:
+        _delete(out.sparkSession, path)
+    return out
+
+
 def discard(*tables: DataFrame, only: str = "") -> None:
     """Delete materialised tables of this application that nothing will read again, or one folder of each."""
     for df in tables:

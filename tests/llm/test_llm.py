@@ -684,7 +684,7 @@ def test_pipeline(spark):
     names = docs.columns
     for name, stage in pipeline.STAGES:
         before = docs
-        docs = pipeline.materialize(stage(spark, docs, SF), name)
+        docs = pipeline.settle(lambda: stage(spark, before, SF), name)  # noqa: B023
         kept[name] = docs
         if name != "packing":
             assert docs.columns == names and docs.join(before, "doc_id", "left_anti").count() == 0
@@ -698,3 +698,28 @@ def test_pipeline(spark):
     clean = {r[0] for r in overlap_by_hand([(r.doc_id, r.text) for r in kept["simhash_dedup"].collect()], bench) if not r[5]}
     assert {r.doc_id for r in kept["decontaminate"].collect()} == clean
     check_packing(kept["packing"].collect(), [(r.doc_id, r.text) for r in kept["decontaminate"].collect()])
+
+
+def test_stages_on_odd_rows(spark):
+    """Each stage by itself on nulls, empty and long texts, repeated rows, clashing columns and no rows at all."""
+    import corpus_pipeline as pipeline
+
+    df, rows = odd_docs(spark)
+    labelled = spark.createDataFrame([(1000 + i, f"the quick brown fox {i} jumps over the lazy dog again and again", "en", "s", 60, "clash", "clash") for i in range(30)], SCHEMA)
+    stages = dict(pipeline.STAGES)
+    # Nothing is labelled: nothing is told.
+    assert stages["language_id"](spark, df, SF).count() == 0
+    kept = stages["language_id"](spark, df.unionByName(labelled), SF)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {1000 + i for i in range(30)} and kept.where("text IS NULL OR trim(text) = ''").count() == 0
+    lines = {r.doc_id: r for r in stages["line_dedup"](spark, df, SF).collect()}
+    assert lines[1].text is None and lines[2].text == "" and lines[100].text == "own 0" and lines[100].n_chars == 5 and lines[7].n_chars is None
+    near = stages["simhash_dedup"](spark, df, SF)
+    roots = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert sorted({r.doc_id for r in near.collect()}, key=str) == sorted({i for i, root in roots.items() if i == root}, key=str) and near.where("doc_id = 5").count() == 2
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    twice = df.unionByName(spark.createDataFrame([(7, "so " + bench, None, "s", None, "clash", "clash")], SCHEMA))
+    assert sorted((str(r.doc_id), r.text or "") for r in stages["decontaminate"](spark, twice, SF).collect()) == sorted((str(i), t or "") for i, t in rows)
+    packed = stages["packing"](spark, df, SF).collect()
+    check_packing(packed, [(i, t) for i, t in rows])
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty(spark), SF).count() == 0, name
