@@ -448,3 +448,114 @@ def review_packets(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def packet_counts(spark: SparkSession, sf: str) -> DataFrame:
     return U.packet_counts(_packets(spark, sf))
+
+
+# --- functions and joins that had literal tests only ---------------------------------------------------------
+
+
+@query
+def box_checks(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("double")
+    box = G.box(F.array(k % 7, k % 5, k % 11, k % 13))
+    page = G.page_box(box, F.lit(595.0), F.lit(842.0), 4.0)
+    size = G.resized((F.col("o_orderkey") % 900 + 100).cast("int"), (F.col("o_orderkey") % 700 + 50).cast("int"), 512)
+    rows = table(spark, sf, "orders").select("o_orderkey", box.isNotNull().alias("valid"), F.round(G.area(box), 6).alias("area"), F.round(page["x0"], 6).alias("px0"), F.round(page["y1"], 6).alias("py1"), size["width"].alias("width"), size["height"].alias("height"))
+    return rows
+
+
+@query
+def source_names(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("/x/source-pdfs/a/", "\\\\srv\\pdfs\\source\\", "/root/in/", "plain/"))), (F.col("page_id") % 4 + 1).cast("int")), F.col("page_id").cast("string"), F.lit(".pdf"))
+    return table(spark, sf, "pages").select("page_id", X.source_name(path, "/root/in").alias("name"))
+
+
+@query
+def labels_and_parts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("item_id")
+    context = F.concat(F.when(k % 2 == 0, "### Nearby Text Before Image\n a \n").otherwise(""), F.when(k % 3 == 0, "### Current Image Caption/Footnote\ncap\n").otherwise(""), F.lit("### Nearby Text After Image\n"), k.cast("string"))
+    parts = X.context_parts(context)
+    usage = F.when(k % 4 == 0, '{"total_tokens": "12"}').when(k % 4 == 1, '{"total_tokens": 7, "x": 1}').otherwise("{}")
+    return table(spark, sf, "benchmark").select(
+        "item_id", X.label(F.concat(F.lit("[Table caption:  T  "), k.cast("string"), F.lit("]")), r"\[Table caption:\s*([^\]]+)\]").alias("label"), parts["before"].alias("before"), parts["current"].alias("current"), parts["after"].alias("after"),
+        X.usage_count(usage, "total_tokens").alias("total_tokens"), X.replace_references(F.format_string('{"a": ["old/%d.pdf"]}', k % 3), {"old/1.pdf": "new/1.pdf", "old/2.pdf": "z.pdf"}).alias("json"), X.join_field(F.array(k.cast("string"), F.lit("x"))).alias("joined"),
+    )
+
+
+@query
+def audit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return B.audit_counts(table(spark, sf, "orders").select(F.element_at(F.array(*map(F.lit, ("exact", "normalized", "fuzzy"))), (k % 3 + 1).cast("int")).alias("match_type"), (k % 100 / 128).alias("confidence")))
+
+
+@query
+def patch_field_rows(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    blocks = table(spark, sf, "part").select((k % 9).alias("source"), k.alias("block_idx"), F.col("p_name").alias("text"), F.when(k % 3 == 0, F.col("p_brand")).otherwise("  ").alias("caption"), F.when(k % 4 == 0, F.create_map(F.lit("note"), F.col("p_type"), F.lit("none"), F.lit(""))).alias("extras"))
+    return B.patch_fields(blocks, ("text", "caption"))
+
+
+@query
+def direct_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    d = _dense(spark, sf)
+    fused = d.select("query_id", F.col("vec_id").alias("id"), (1 / (F.col("rank") + 61)).alias("dense"), F.when(F.col("vec_id") % 2 == 0, 1 / (F.col("rank") + 70)).otherwise(0.0).alias("sparse"))
+    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("source"), F.floor(F.col("vec_id") / 3).alias("chunk_id"), (F.col("vec_id") % 5 == 0).alias("is_visual_page"))
+    return R.direct_candidates(fused, points).withColumns({c: F.round(c, 9) for c in ("dense", "sparse", "direct")})
+
+
+@query
+def final_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("item_id")
+    image = lambda n, policy, there: F.struct(F.concat(F.lit(n), k.cast("string")).alias("path"), policy.alias("policy"), there.alias("exists"))
+    images = F.array(image("a", F.lit("Required"), k % 2 == 0), image("b", F.lit("never"), k >= 0), image("c", F.when(k % 3 == 0, "recommended").otherwise("not-needed"), k >= 0))
+    return table(spark, sf, "benchmark").select("item_id", F.posexplode(R.final_output(F.col("text"), images)).alias("pos", "o")).select("item_id", "pos", "o.type", "o.value")
+
+
+@query
+def primary_golds(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    ids = lambda *n: F.array(*[F.concat(F.lit("c"), ((k * m) % 50).cast("string")) for m in n])
+    none = F.array().cast("array<string>")
+    return table(spark, sf, "orders").select("o_orderkey", E.primary_gold(F.when(k % 4 == 0, "explicit").when(k % 4 == 1, ""), F.when(k % 3 == 0, ids(3, 7)).otherwise(none), F.when(k % 5 > 0, ids(2, 9)).otherwise(none)).alias("primary"))
+
+
+@query
+def normalized_queries(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "benchmark").select(F.when(F.col("item_id") % 2 == 0, F.col("item_id").cast("string")).alias("query_id"), F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"), F.lit("e").alias("support"))
+    return E.normalized_queries(rows).withColumn("evidence", E.evidence_summary(F.array("evidence", F.lit("more"), "query"), 20))
+
+
+@query
+def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotas by the order of a seeded hash, which SQL has not; a test holds them against plain Python."""
+    return N.stratified_sample(table(spark, sf, "documents").select("doc_id", "lang"), strata="lang", key="doc_id", quota=5, seed=3)
+
+
+@query
+def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.size(S.sentences(F.coalesce("text", F.lit("")))).alias("n_sentences"))
+
+
+@query
+def pages_in_outline(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").where("event_type = 'signup'")
+    outline = e.select(F.col("user_id").alias("source"), F.col("event_id").alias("outline_index"), (F.col("event_id") % 3 + 1).alias("level"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title"), F.floor(F.col("event_id") / 200).alias("page"))
+    return S.outline_at_page(outline, table(spark, sf, "events").select(F.col("user_id").alias("source"), F.floor(F.col("event_id") / 200).alias("page")))
+
+
+@query
+def mixed_queries(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_no"), F.col("o_orderpriority").alias("kind"), "o_orderstatus")
+    return S.mixed_set(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), target=120)
+
+
+@query
+def run_rows(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    runs = n.select(F.col("n_name").alias("run_id"), F.element_at(F.array(*map(F.lit, ("final", "dpi", "odd", "baseline"))), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("stage"))
+    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return N.run_table(runs, c.where("n_nationkey % 5 > 0").groupBy(F.col("n_name").alias("run_id")).agg(F.count("*").alias("n")), c.where("n_nationkey % 3 > 0").groupBy(F.col("n_name").alias("run_id")).agg(F.max("c_acctbal").alias("top")))
+
+
+@query
+def labelled_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return N.labelled_runs(table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("run_id")).agg(F.count("*").alias("n")), {"FURNITURE": "home", "BUILDING": "site", "none": "x"})

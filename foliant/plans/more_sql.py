@@ -189,4 +189,30 @@ MORE_SQL: dict[str, str] = {
         SELECT current_path, target_path, CASE doc_id % 3 WHEN 1 THEN 'out/b' WHEN 2 THEN 'out/a' END AS folder, true AS moves, CASE WHEN count(*) OVER (PARTITION BY target_path) > 1 THEN 'target_collision' WHEN doc_id % 3 = 0 THEN 'missing_output' WHEN doc_id % 3 = 2 THEN 'multiple_output' ELSE '' END AS problem FROM r""",
     "review_packets": f"""WITH {_NAMED} SELECT doc_id || '/' || path AS relpath, regexp_extract(path, '[^/]*$') AS filename, doc_id % 4 = 0 AS has_sidecar, CASE WHEN doc_id % 4 = 0 THEN 'doc: ' || doc_id ELSE '' END AS sidecar, CASE WHEN doc_id % 3 > 0 THEN 'e1|e2' ELSE '' END AS evidence FROM named""",
     "packet_counts": "SELECT count(*) AS n_packets, count(*) FILTER (WHERE doc_id % 4 <> 0) AS n_without_sidecar, count(*) FILTER (WHERE doc_id % 3 = 0) AS n_without_evidence FROM documents",
+    "box_checks": """WITH b AS (SELECT o_orderkey AS k, (o_orderkey % 7)::DOUBLE AS x0, (o_orderkey % 5)::DOUBLE AS y0, (o_orderkey % 11)::DOUBLE AS x1, (o_orderkey % 13)::DOUBLE AS y1, o_orderkey % 900 + 100 AS w, o_orderkey % 700 + 50 AS h FROM orders),
+        v AS (SELECT *, x1 > x0 AND y1 > y0 AS ok, least(1.0, 512.0::DOUBLE / greatest(w, h)) AS f FROM b)
+        SELECT k AS o_orderkey, ok AS valid, CASE WHEN ok THEN (x1 - x0) * (y1 - y0) ELSE 0.0 END AS area, round(CASE WHEN ok THEN greatest(0.0, x0 * 0.595 - 4) ELSE 0.0 END, 6) AS px0, round(CASE WHEN ok THEN least(842.0, y1 * 0.842 + 4) ELSE 842.0 END, 6) AS py1,
+          greatest(1, floor(w * f)::INT) AS width, greatest(1, floor(h * f)::INT) AS height FROM v""",
+    "source_names": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a/' || page_id || '.pdf' ELSE page_id || '.pdf' END AS name FROM pages",
+    "labels_and_parts": """SELECT item_id, 'T ' || item_id AS label, CASE WHEN item_id % 2 = 0 THEN 'a' ELSE '' END AS before, CASE WHEN item_id % 3 = 0 THEN 'cap' ELSE '' END AS current, item_id::VARCHAR AS after,
+        CASE item_id % 4 WHEN 0 THEN 12 WHEN 1 THEN 7 ELSE 0 END AS total_tokens, '{"a": ["' || ['old/0.pdf', 'new/1.pdf', 'z.pdf'][item_id % 3 + 1] || '"]}' AS json, item_id || chr(10) || 'x' AS joined FROM benchmark""",
+    "audit_counts": "SELECT ['exact', 'normalized', 'fuzzy'][o_orderkey % 3 + 1] AS match_type, count(*) AS n, round(avg((o_orderkey % 100) / 128), 6) AS mean_confidence FROM orders GROUP BY 1",
+    "patch_field_rows": """SELECT p_partkey % 9 AS source, p_partkey AS block_idx, 0 AS pos, 'text' AS field, p_name AS text FROM part UNION ALL SELECT p_partkey % 9, p_partkey, 1, 'caption', p_brand FROM part WHERE p_partkey % 3 = 0
+        UNION ALL SELECT p_partkey % 9, p_partkey, 2, 'note', p_type FROM part WHERE p_partkey % 4 = 0""",
+    "direct_candidates": f"""WITH {_DENSE}, f AS (SELECT query_id, vec_id % 7 AS source, vec_id // 3 AS chunk_id, 1.0::DOUBLE / (rank + 60) AS d, CASE WHEN vec_id % 2 = 0 THEN 1.0::DOUBLE / (rank + 69) ELSE 0.0 END AS s FROM dense WHERE vec_id % 5 <> 0)
+        SELECT query_id, source, chunk_id, round(max(d), 9) AS dense, round(max(s), 9) AS sparse, round(max(d) + max(s), 9) AS direct FROM f GROUP BY query_id, source, chunk_id""",
+    "final_outputs": """WITH o AS (SELECT item_id, text AS value, 'text' AS type, 0 AS o FROM benchmark UNION ALL SELECT item_id, 'a' || item_id, 'image', 1 FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 'c' || item_id, 'image', 2 FROM benchmark WHERE item_id % 3 = 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY o) - 1 AS pos, type, value FROM o""",
+    "primary_golds": """WITH k AS (SELECT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, CASE WHEN k % 4 = 0 THEN 'explicit' WHEN k % 3 = 0 THEN least('c' || (k * 3 % 50), 'c' || (k * 7 % 50)) WHEN k % 5 > 0 THEN least('c' || (k * 2 % 50), 'c' || (k * 9 % 50)) END AS primary FROM k""",
+    "normalized_queries": "SELECT CASE WHEN item_id % 2 = 0 THEN item_id::VARCHAR ELSE 'i' || item_id END AS query_id, text AS query, NULL::VARCHAR AS answer, left('e ; more ; ' || text, 20) AS evidence FROM benchmark",
+    "sentence_counts": r"""WITH s AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))), ' ') AS s FROM documents)
+        SELECT doc_id, count(*) FILTER (WHERE length(s) BETWEEN 45 AND 520)::INT AS n_sentences FROM s GROUP BY doc_id""",
+    "pages_in_outline": """WITH o AS (SELECT user_id AS source, event_id AS i, event_id % 3 + 1 AS level, 't' || event_id AS title, event_id // 200 AS page FROM events WHERE event_type = 'signup'),
+        s AS (SELECT *, (SELECT arg_min(n.page, n.i) FROM o n WHERE n.source = o.source AND n.i > o.i AND n.level <= o.level) AS until FROM o),
+        p AS (SELECT DISTINCT user_id AS source, event_id // 200 AS page FROM events)
+        SELECT p.source, p.page, string_agg(s.title, ' > ' ORDER BY s.level, s.i) AS path FROM p JOIN s ON s.source = p.source AND p.page >= s.page AND (s.until IS NULL OR p.page < s.until) GROUP BY p.source, p.page""",
+    "mixed_queries": """WITH t AS (SELECT o_orderkey AS query_no, o_orderpriority AS kind, 0 AS turn FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 102), v AS (SELECT o_orderkey AS query_no, o_orderpriority AS kind, 1 AS turn FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderkey LIMIT 18)
+        SELECT query_no, kind, 'full-' || lpad((row_number() OVER (ORDER BY turn, query_no))::VARCHAR, 3, '0') AS query_id FROM (SELECT * FROM t UNION ALL SELECT * FROM v)""",
+    "run_rows": """SELECT n_name AS run_id, ['final', 'dpi', 'odd', 'baseline'][n_nationkey % 4 + 1] AS stage, CASE WHEN n_nationkey % 5 > 0 THEN nullif(count(c_custkey), 0) END AS n, CASE WHEN n_nationkey % 3 > 0 THEN max(c_acctbal) END AS top FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey""",
+    "labelled_runs": "SELECT c_mktsegment AS run_id, count(*) AS n, CASE c_mktsegment WHEN 'FURNITURE' THEN 'home' ELSE 'site' END AS label FROM customer WHERE c_mktsegment IN ('FURNITURE', 'BUILDING') GROUP BY c_mktsegment",
 }
