@@ -42,17 +42,29 @@ def continuation_regions(pairs: DataFrame, *, keys: tuple[str, ...] = ("source",
     return pairs.groupBy(*keys, "master_idx").agg(F.array_sort(F.collect_list("block_idx")).alias("members"))
 
 
+def stacked_paths(levels: list[int], titles: list[str]) -> list[str]:
+    """Of each entry the first level - 1 titles of the path before, then its own (T4)."""
+    path, out = [], []
+    for level, title in zip(levels, titles, strict=True):
+        path = [*path[: max(0, level - 1)], title]
+        out.append(" > ".join("" if t is None else t for t in path))
+    return out
+
+
 def outline_paths(outline: DataFrame, *, key: str = "source") -> DataFrame:
-    """The path of titles of each outline entry (A8, T4): the first level - 1 titles of the path before, then its own."""
+    """The path of titles of each outline entry.
+
+    The entries of a document are folded in order, many documents in one Arrow batch: the work is linear in them.
+    """
     entries = outline.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("outline_index", "level", "title"))).alias("e"))
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<outline_index:bigint,level:int,title:string,path:array<string>>>").alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        path = F.concat(F.slice(acc["path"], F.lit(1), F.greatest(F.lit(0), e["level"].cast("int") - 1)), F.array(e["title"]))
-        row = F.struct(e["outline_index"].cast("bigint").alias("outline_index"), e["level"].cast("int").alias("level"), e["title"].alias("title"), path.alias("path"))
-        return F.struct(path.alias("path"), F.concat(acc["out"], F.array(row)).alias("out"))
+    @F.pandas_udf("array<string>")
+    def run(levels: pd.Series, titles: pd.Series) -> pd.Series:
+        return pd.Series([stacked_paths(a.tolist(), b.tolist()) for a, b in zip(levels, titles, strict=True)], dtype=object)
 
-    return entries.select(key, F.explode(F.aggregate("e", start, step)["out"]).alias("x")).select(key, "x.outline_index", "x.level", "x.title", F.array_join("x.path", " > ").alias("section_path"))
+    rows = entries.withColumn("p", run(F.col("e.level").cast("array<int>"), F.col("e.title")))
+    rows = rows.select(key, F.explode(F.zip_with("e", "p", lambda e, p: F.struct(e["outline_index"].cast("bigint").alias("outline_index"), e["level"].cast("int").alias("level"), e["title"].alias("title"), p.alias("section_path")))).alias("x"))
+    return rows.select(key, "x.outline_index", "x.level", "x.title", "x.section_path")
 
 
 def match_outline(outline: DataFrame, blocks: DataFrame, *, keys: tuple[str, ...] = ("source", "page_idx"), fuzzy: bool = True) -> DataFrame:
@@ -104,7 +116,7 @@ def is_inline_icon(box: Column) -> Column:
     return box.isNotNull() & (((w <= 80) & (h <= 80)) | (w * h <= 5000))
 
 
-def link_icons(icons: DataFrame, targets: DataFrame, *, keys: tuple[str, ...] = ("page_idx",)) -> DataFrame:
+def link_icons(icons: DataFrame, targets: DataFrame, *, keys: tuple[str, ...] = ("source", "page_idx")) -> DataFrame:
     """The target of each icon on its page: the first table around it, else the best by score.
 
     icons has icon_idx and box; targets have target_idx, kind (text, list or table), dangling (ends with an

@@ -56,22 +56,31 @@ def section_islands(items: DataFrame, *, key: str, order: str, path: str = "sect
     return out.withColumn("island", F.sum(new.cast("int")).over(w))
 
 
+def greedy_numbers(costs: list[int], max_tokens: int, min_tokens: int) -> list[int]:
+    """The chunk of each item: a new one where the next item would overfill one that is full enough."""
+    used, chunk, out = 0, 0, []
+    for c in costs:
+        if used > 0 and used + c > max_tokens and used >= min_tokens:
+            used, chunk = 0, chunk + 1
+        used += c
+        out.append(chunk)
+    return out
+
+
 def greedy_chunks(items: DataFrame, *, keys: tuple[str, ...], order: str, cost: str, max_tokens: int, min_tokens: int = 0) -> DataFrame:
     """Items with chunk_idx: a new chunk where the next item would overfill one that is full enough.
 
-    The fold over a group's costs keeps two counters and writes one chunk number for each item; texts stay out of it.
+    The costs of a group are folded in order, many groups in one Arrow batch; texts stay out of it and the work is
+    linear in the items.
     """
     group = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<struct<o:int,chunk:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        flush = (acc["used"] > 0) & (acc["used"] + x["c"] > max_tokens) & (acc["used"] >= min_tokens)
-        chunk = acc["chunk"] + flush.cast("int")
-        used = F.when(flush, x["c"]).otherwise(acc["used"] + x["c"])
-        return F.struct(used.alias("used"), chunk.alias("chunk"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("int").alias("o"), chunk.alias("chunk")))).alias("out"))
+    @F.pandas_udf("array<int>")
+    def run(costs: pd.Series) -> pd.Series:
+        return pd.Series([greedy_numbers(c.tolist(), max_tokens, min_tokens) for c in costs], dtype=object)
 
-    numbered = group.select(*keys, F.explode(F.aggregate("items", start, step)["out"]).alias("x")).select(*keys, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk_idx"))
-    return items.join(numbered, [*keys, order])
+    numbered = group.withColumn("n", run(F.col("items.c"))).select(*keys, F.explode(F.zip_with("items", "n", lambda x, n: F.struct(x["o"].alias("o"), n.alias("chunk")))).alias("x"))
+    return items.join(numbered.select(*keys, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk_idx")), [*keys, order])
 
 
 def fold_chunks(costs: list[int], texts: list[str], profile: Profile) -> list[list[tuple[int, str]]]:

@@ -204,9 +204,9 @@ def nearest_target(spark: SparkSession, sf: str) -> DataFrame:
         return F.struct(x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + w).cast("double").alias("x1"), (y + h).cast("double").alias("y1"))
 
     k, s = F.col("p_partkey"), F.col("s_suppkey")
-    icons = table(spark, sf, "part").select((k % 25).alias("page_idx"), k.alias("icon_idx"), boxed(k * 37 % 900, k * 91 % 900, F.lit(20) + F.col("p_size"), F.lit(30)).alias("box")).where(B.is_inline_icon(F.col("box")))
+    icons = table(spark, sf, "part").select(F.floor(k / 500).alias("source"), (k % 5).alias("page_idx"), k.alias("icon_idx"), boxed(k * 37 % 900, k * 91 % 900, F.lit(20) + F.col("p_size"), F.lit(30)).alias("box")).where(B.is_inline_icon(F.col("box")))
     kind = F.when(s % 3 == 0, "table").when(s % 3 == 1, "list").otherwise("text")
-    targets = table(spark, sf, "supplier").select((s % 25).alias("page_idx"), s.alias("target_idx"), kind.alias("kind"), (s % 5 == 0).alias("dangling"), boxed(s * 53 % 600, s * 71 % 800, F.lit(300), F.lit(120)).alias("box"))
+    targets = table(spark, sf, "supplier").select(F.floor(s / 25).alias("source"), (s % 5).alias("page_idx"), s.alias("target_idx"), kind.alias("kind"), (s % 5 == 0).alias("dangling"), boxed(s * 53 % 600, s * 71 % 800, F.lit(300), F.lit(120)).alias("box"))
     return B.link_icons(icons, targets)
 
 
@@ -383,26 +383,25 @@ def image_refs_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return R.image_references(p)
 
 
-def _similarity(spark: SparkSession, sf: str) -> DataFrame:
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    # A rank beyond all rows keeps the whole matrix.
-    s = R.dense_topk(e, _vector_queries(e), 1 << 30)
-    return s.select(F.floor(F.col("vec_id") / 16).alias("page_id"), F.col("query_id").alias("token_idx"), (F.col("vec_id") % 16).alias("patch_idx"), "score")
+    patches = e.select(F.floor(F.col("vec_id") / 16).alias("page_id"), (F.col("vec_id") % 16).alias("patch_idx"), "embedding")
+    return R.patch_similarity(patches, _vector_queries(e).withColumnRenamed("query_id", "token_idx"), 3)
 
 
 @query
 def patch_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.token_patches(_similarity(spark, sf), 3)
+    return _evidence(spark, sf)
 
 
 @query
 def patch_alignment(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    evidence = R.token_patches(_similarity(spark, sf), 3).withColumn("patch", G.patch_box(F.col("patch_idx"), 4, 4))
+    evidence = _evidence(spark, sf).withColumn("patch", G.patch_box(F.col("patch_idx"), 4, 4))
     boxes = e.select(F.floor(F.col("vec_id") / 16).alias("page_id")).distinct().select("page_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk_idx"))
     x = F.col("chunk_idx") * 300.0
     boxes = boxes.withColumn("box", F.struct(x.alias("x0"), F.lit(0.0).alias("y0"), (x + 350.0).alias("x1"), F.lit(700.0).alias("y1")))
-    return R.align_chunks(evidence, boxes, n_tokens=_vector_queries(e).count(), overlap=G.overlap_ratio(F.col("patch"), F.col("box")))
+    return R.align_chunks(evidence, boxes, _vector_queries(e), overlap=G.overlap_ratio(F.col("patch"), F.col("box")))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------

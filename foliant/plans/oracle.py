@@ -191,17 +191,17 @@ ORACLE_SQL = {
         i AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM d),
         w AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey, g ORDER BY l_linenumber) - 1) // 2 AS k FROM i)
         SELECT l_orderkey, min(l_linenumber) AS first_page, max(l_linenumber) AS last_page, count(*) AS n_pages FROM w GROUP BY l_orderkey, g, k""",
-    "nearest_target": """WITH i AS (SELECT p_partkey % 25 AS page_idx, p_partkey AS icon_idx, (p_partkey * 37 % 900)::DOUBLE AS ax, (p_partkey * 91 % 900)::DOUBLE AS ay, (20 + p_size)::DOUBLE AS w, 30.0::DOUBLE AS h FROM part),
+    "nearest_target": """WITH i AS (SELECT p_partkey // 500 AS source, p_partkey % 5 AS page_idx, p_partkey AS icon_idx, (p_partkey * 37 % 900)::DOUBLE AS ax, (p_partkey * 91 % 900)::DOUBLE AS ay, (20 + p_size)::DOUBLE AS w, 30.0::DOUBLE AS h FROM part),
         j AS (SELECT *, ax + w AS bx, ay + h AS "by" FROM i WHERE (w <= 80 AND h <= 80) OR w * h <= 5000),
-        t AS (SELECT s_suppkey % 25 AS page_idx, s_suppkey AS target_idx, ['table', 'list', 'text'][s_suppkey % 3 + 1] AS kind, s_suppkey % 5 = 0 AND s_suppkey % 3 > 0 AS verb,
+        t AS (SELECT s_suppkey // 25 AS source, s_suppkey % 5 AS page_idx, s_suppkey AS target_idx, ['table', 'list', 'text'][s_suppkey % 3 + 1] AS kind, s_suppkey % 5 = 0 AND s_suppkey % 3 > 0 AS verb,
           (s_suppkey * 53 % 600)::DOUBLE AS cx, (s_suppkey * 71 % 800)::DOUBLE AS cy FROM supplier),
-        p AS (SELECT j.page_idx, icon_idx, target_idx, kind, verb, ((ax + bx) / 2 >= cx AND (ax + bx) / 2 <= cx + 300 AND (ay + "by") / 2 >= cy AND (ay + "by") / 2 <= cy + 120) AS inside,
+        p AS (SELECT j.source, j.page_idx, icon_idx, target_idx, kind, verb, ((ax + bx) / 2 >= cx AND (ax + bx) / 2 <= cx + 300 AND (ay + "by") / 2 >= cy AND (ay + "by") / 2 <= cy + 120) AS inside,
           greatest(0, cx - bx, ax - cx - 300) AS gx, greatest(0, cy - "by", ay - cy - 120) AS gy, greatest(0, least("by", cy + 120) - greatest(ay, cy)) AS up,
-          greatest(0, least(bx, cx + 300) - greatest(ax, cx)) * greatest(0, least("by", cy + 120) - greatest(ay, cy)) / (w * h) AS share, abs(cy + 60 - (ay + "by") / 2) AS dy FROM j JOIN t USING (page_idx)),
+          greatest(0, least(bx, cx + 300) - greatest(ax, cx)) * greatest(0, least("by", cy + 120) - greatest(ay, cy)) / (w * h) AS share, abs(cy + 60 - (ay + "by") / 2) AS dy FROM j JOIN t USING (source, page_idx)),
         q AS (SELECT *, sqrt(gx * gx + gy * gy) AS away, kind = 'table' AND (inside OR share >= 0.5) AS in_table FROM p),
         r AS (SELECT *, round(CASE WHEN in_table THEN -1000 + away ELSE away + 0.1 * dy - CASE WHEN inside THEN 220 ELSE 0 END - CASE WHEN up > 0 THEN 70 ELSE 0 END - CASE WHEN up > 0 AND gx <= 80 THEN 90 ELSE 0 END - CASE WHEN verb THEN 140 ELSE 0 END END, 6) AS score FROM q),
-        b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY page_idx, icon_idx ORDER BY in_table DESC, CASE WHEN in_table THEN target_idx ELSE score END, target_idx) = 1)
-        SELECT page_idx, icon_idx, target_idx, kind AS target_kind, score FROM b WHERE in_table OR inside OR CASE WHEN verb THEN away <= 260 ELSE (up > 0 AND gx <= 90) OR score <= 130 END""",
+        b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY source, page_idx, icon_idx ORDER BY in_table DESC, CASE WHEN in_table THEN target_idx ELSE score END, target_idx) = 1)
+        SELECT source, page_idx, icon_idx, target_idx, kind AS target_kind, score FROM b WHERE in_table OR inside OR CASE WHEN verb THEN away <= 260 ELSE (up > 0 AND gx <= 90) OR score <= 130 END""",
     "context_neighbours": f"""WITH {_LINES}, b AS (SELECT doc_id, block_idx, text, {_APPROX} AS tokens FROM lines),
         t AS (SELECT doc_id, block_idx AS target_idx, 160 - least(tokens, 32) AS rest FROM b WHERE length(text) < 60),
         n AS (SELECT doc_id, target_idx, block_idx, tokens, rest, CASE WHEN block_idx < target_idx THEN 'before' WHEN block_idx > target_idx THEN 'after' ELSE 'current' END AS side FROM t JOIN b USING (doc_id)),

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.points import replace_by_source
 
 
 def list_documents(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
@@ -140,31 +139,29 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(line) of a table in Markdown: two head lines and one for each row."""
+def markdown(df: DataFrame, columns: list[str], *, order: list[str] | None = None) -> DataFrame:
+    """(line) of a table in Markdown: two head lines and one for each row, in the order given, else as they come."""
     head = df.sparkSession.createDataFrame([(0, f"| {' | '.join(columns)} |"), (1, "|" + " --- |" * len(columns))], "n int, line string")
+    place = F.struct(*order) if order else F.monotonically_increasing_id()
     cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit(r"\|")), F.lit("")) for c in columns]
-    rows = df.select(F.lit(2).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
-    return head.unionByName(rows).orderBy("n", "line").select("line")
+    rows = df.select(F.lit(2).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"), place.alias("place"))
+    return head.unionByName(rows, allowMissingColumns=True).orderBy("n", "place").select("line")
 
 
 def upsert_points(spark: SparkSession, path: str, new: DataFrame, *, source: str = "source") -> None:
     """Replace the points of the new sources in a table partitioned by source; other partitions stay.
 
-    Only partitions of the new sources are written, so the work follows the new points.
+    Only partitions of the new sources are written, so the work follows the new points. Rows are gathered by
+    source, and AQE deals out a source that is too large for one task.
     """
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        new.repartition(source).write.mode("overwrite").partitionBy(source).parquet(path)
+        new.hint("rebalance", source).write.mode("overwrite").partitionBy(source).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
-def merged_points(store: DataFrame, new: DataFrame, *, source: str = "source") -> DataFrame:
-    return replace_by_source(store, new, source=source)
-
-
 def directory_size(spark: SparkSession, path: str) -> DataFrame:
     """Bytes of all files below a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
