@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,62 +141,82 @@ def link_icons(icons: DataFrame, targets: DataFrame, *, keys: tuple[str, ...] =
     return best.where(accept).select(*keys, "icon_idx", "target_idx", F.col("kind").alias("target_kind"), "score")
 
 
+def neighbour_places(tokens: list[int], place: int, budget: int) -> list[tuple[int, str]]:
+    """(place, side) of a target and of the whole neighbours that fit on either side of it."""
+    rest = budget - min(tokens[place], budget // 5)
+    out = [(place, "current")]
+    for side, room, step in (("before", rest // 2, -1), ("after", rest - rest // 2, 1)):
+        i, used = place + step, 0
+        while 0 <= i < len(tokens) and used + tokens[i] <= room:
+            used += tokens[i]
+            out.append((i, side))
+            i += step
+    return out
+
+
 def context_neighbours(blocks: DataFrame, targets: DataFrame, *, key: str, budget: int) -> DataFrame:
     """Whole blocks before and after each target within half of what the target leaves of the budget.
 
     blocks has block_idx and tokens; targets have key and block_idx. The target takes up to a fifth of the budget.
+    A document is folded once, many in one Arrow batch: each target looks outwards only as far as its budget goes.
     """
-    t = targets.select(key, F.col("block_idx").alias("target_idx"))
-    own = blocks.select(key, F.col("block_idx").alias("target_idx"), F.least(F.col("tokens"), F.lit(budget // 5)).alias("target_tokens"))
-    t = t.join(own, [key, "target_idx"]).withColumn("rest", F.lit(budget) - F.col("target_tokens"))
-    side = F.when(F.col("block_idx") < F.col("target_idx"), "before").when(F.col("block_idx") > F.col("target_idx"), "after").otherwise("current")
-    near = blocks.select(key, "block_idx", "tokens").join(t, key).withColumn("side", side)
-    reach = Window.partitionBy(key, "target_idx", "side").orderBy(F.abs(F.col("block_idx") - F.col("target_idx")))
-    near = near.withColumn("used", F.sum("tokens").over(reach))
-    room = F.when(F.col("side") == "before", F.floor(F.col("rest") / 2)).otherwise(F.col("rest") - F.floor(F.col("rest") / 2))
-    return near.where((F.col("side") == "current") | (F.col("used") <= room)).select(key, "target_idx", "block_idx", "side", "tokens")
+    marked = blocks.select(key, "block_idx", "tokens").join(targets.select(key, "block_idx", F.lit(True).alias("hit")).distinct(), [key, "block_idx"], "left")
+    group = marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_idx", F.col("tokens").cast("long").alias("tokens"), F.coalesce("hit", F.lit(False)).alias("hit")))).alias("b")).where(F.exists("b", lambda x: x["hit"]))
+
+    @F.pandas_udf("array<struct<target:int,place:int,side:string>>")
+    def run(tokens: pd.Series, hits: pd.Series) -> pd.Series:
+        out = []
+        for t, h in zip(tokens, hits, strict=True):
+            t = t.tolist()
+            out.append([{"target": i, "place": p, "side": s} for i, hit in enumerate(h.tolist()) if hit for p, s in neighbour_places(t, i, budget)])
+        return pd.Series(out, dtype=object)
+
+    near = group.withColumn("n", F.explode(run(F.col("b.tokens"), F.col("b.hit"))))
+    own = F.get("b", F.col("n.place"))
+    return near.select(key, F.get("b", F.col("n.target"))["block_idx"].alias("target_idx"), own["block_idx"].alias("block_idx"), F.col("n.side").alias("side"), own["tokens"].alias("tokens"))
 
 
 def context_window(content: list[tuple[int, str]], target: int, budget: int) -> tuple[str, str, str]:
-    """(before, target, after) texts of one group under a budget, cut at the edges, unused room moved over."""
-    texts = dict(content)
-    own = X.truncate(texts[target], budget // 5, from_tail=False)
+    """(before, target, after) texts of one group in order under a budget, cut at the edges, unused room moved over."""
+    place = bisect_left(content, target, key=lambda x: x[0])
+    own = X.truncate(content[place][1], budget // 5, from_tail=False)
     rest = budget - X.approx_count(own)
 
-    def take(indices: list[int], room: int, from_tail: bool) -> tuple[list[str], int]:
-        out, used = [], 0
-        for i in indices:
-            cost = X.approx_count(texts[i]) + (1 if out else 0)
-            if used + cost <= room:
-                out.append(texts[i])
-                used += cost
-                continue
-            part = X.truncate(texts[i], room - used - (1 if out else 0), from_tail=from_tail)
-            if part:
-                out.append(part)
-                used += X.approx_count(part) + (1 if len(out) > 1 else 0)
-            break
+    def take(step: int, room: int, from_tail: bool) -> tuple[list[str], int]:
+        out, used, i = [], 0, place + step
+        while 0 <= i < len(content):
+            text = content[i][1]
+            cost = X.approx_count(text) + (1 if out else 0)
+            if used + cost > room:
+                part = X.truncate(text, room - used - (1 if out else 0), from_tail=from_tail)
+                if part:
+                    out.append(part)
+                    used += X.approx_count(part) + (1 if len(out) > 1 else 0)
+                break
+            out.append(text)
+            used += cost
+            i += step
         return out, used
 
-    earlier, later = sorted((i for i in texts if i < target), reverse=True), sorted(i for i in texts if i > target)
     half = rest // 2
-    before, b = take(earlier, half, True)
-    after, a = take(later, rest - b if b < half else rest - half, False)
+    before, b = take(-1, half, True)
+    after, a = take(1, rest - b if b < half else rest - half, False)
     if b >= half and a < rest - half:
-        before, b = take(earlier, rest - a, True)
+        before, b = take(-1, rest - a, True)
     return "\n".join(reversed(before)), own, "\n".join(after)
 
 
 def truncated_contexts(blocks: DataFrame, targets: DataFrame, *, key: str, budget: int) -> DataFrame:
-    """(key, target_idx, before, target, after); one group of blocks at a time."""
-    rows = blocks.join(targets.select(key, F.col("block_idx").alias("target_idx")), key)
+    """(key, target_idx, before, target, after); one document at a time, whose texts move once for all its targets."""
+    rows = blocks.select(key, "block_idx", "text").join(targets.select(key, "block_idx", F.lit(True).alias("hit")).distinct(), [key, "block_idx"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        target = int(pdf["target_idx"].iloc[0])
-        before, own, after = context_window(list(zip(pdf["block_idx"], pdf["text"], strict=True)), target, budget)
-        return pd.DataFrame([(pdf[key].iloc[0], target, before, own, after)], columns=[key, "target_idx", "before", "target", "after"])
+        pdf = pdf.sort_values("block_idx")
+        content = list(zip(pdf["block_idx"].tolist(), pdf["text"].fillna("").tolist(), strict=True))
+        wanted = pdf.loc[pdf["hit"].notna(), "block_idx"].tolist()
+        return pd.DataFrame([(pdf[key].iloc[0], t, *context_window(content, t, budget)) for t in wanted], columns=[key, "target_idx", "before", "target", "after"])
 
-    return rows.groupBy(key, "target_idx").applyInPandas(run, f"{key} {blocks.schema[key].dataType.simpleString()}, target_idx int, before string, target string, after string")
+    return rows.groupBy(key).applyInPandas(run, f"{key} {blocks.schema[key].dataType.simpleString()}, target_idx int, before string, target string, after string")
 
 
 def patch_fields(blocks: DataFrame, known: tuple[str, ...]) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import runs as N
 from ..operators import sampling as S
 from ..operators import serving as V
 from ..session import table
+from ..sources import files as L
 from .catalog import _dense, query
 
 
@@ -559,3 +560,111 @@ def run_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def labelled_runs(spark: SparkSession, sf: str) -> DataFrame:
     return N.labelled_runs(table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("run_id")).agg(F.count("*").alias("n")), {"FURNITURE": "home", "BUILDING": "site", "none": "x"})
+
+
+# --- files ------------------------------------------------------------------------------------------------------
+
+
+@query
+def listed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    found = L.list_documents(spark, sf, "parquet")
+    # A table may be a folder of files: its name is what follows the fixture's folder.
+    name = F.regexp_extract("path", r"/([a-z]+)\.parquet(?:/[^/]*)?$", 1)
+    return found.select(name.alias("name")).where("name <> ''").distinct()
+
+
+@query
+def chosen_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    path = F.when(k % 4 == 0, F.format_string("out/s%d/x/content_list.json", k % 30)).when(k % 4 == 1, F.format_string("out/b/s%d_content_list.json", k % 30)).when(k % 4 == 2, F.format_string("out/s%d_content_list.json", k % 30)).otherwise(F.format_string("out/s%d/caption_content_list.json", k % 30))
+    p = table(spark, sf, "part")
+    return L.choose_artifact(p.select(path.alias("path")).distinct(), p.select(F.format_string("s%d", k % 40).alias("stem")).distinct())
+
+
+@query
+def stage_paths(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("d/x"), k.cast("string"), F.when(k % 3 == 0, "_chunked.json").when(k % 3 == 1, "_a_patched.json").otherwise(".json"))
+    return table(spark, sf, "part").select("p_partkey", L.stage_path(path, "tagged").alias("path"))
+
+
+@query
+def json_array_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = L.work_folder(spark, "array")
+    rows = table(spark, sf, "nation").orderBy("n_nationkey").coalesce(1).agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value"))
+    rows.coalesce(1).write.text(path)
+    return L.read_json_array(spark, path, "n_nationkey int, n_name string").drop("file")
+
+
+@query
+def json_lines_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = L.work_folder(spark, "lines")
+    L.write_json_lines(table(spark, sf, "customer").withColumn("none", F.lit(None).cast("string")), path)
+    return L.read_json_lines(spark, path, "c_custkey long, c_name string, c_acctbal double, none string")
+
+
+@query
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = L.work_folder(spark, "csv")
+    rows = table(spark, sf, "part").select("p_partkey", F.concat(F.lit('say "'), "p_name", F.lit('",\nnew')).alias("text"), F.array("p_brand", "p_type").alias("kinds"))
+    L.write_csv(rows, path)
+    return L.read_csv(spark, path, ["p_partkey", "kinds", "text"])
+
+
+@query
+def sidecar_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = L.work_folder(spark, "sidecars")
+    lines = table(spark, sf, "nation").where("n_nationkey < 6").select(F.format_string("key%d: [a%d, 'b c']", "n_nationkey", "n_nationkey").alias("value"))
+    lines.coalesce(1).write.text(path)
+    return L.read_sidecars(spark, path).select("key", "value")
+
+
+@query
+def manifest_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = L.work_folder(spark, "manifest")
+    k = F.col("p_partkey")
+    table(spark, sf, "part").select(F.when(k % 5 == 0, "# a remark").when(k % 5 == 1, "").otherwise(F.format_string("  a/%d.pdf # %s", "p_partkey", "p_name")).alias("value")).write.text(path)
+    return L.read_manifest(spark, path)
+
+
+@query
+def scrolled_points(spark: SparkSession, sf: str) -> DataFrame:
+    return L.scroll(spark, f"{sf}/embeddings.parquet", ["vec_id", "label"], "vec_id % 3 = 0")
+
+
+@query
+def combined_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return L.combine([table(spark, sf, "nation").select("n_nationkey", "n_name"), table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("n_name"))])
+
+
+@query
+def markdown_table(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "nation").select(F.concat("n_name", F.lit("|")).alias("name"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey")).alias("key"), "n_nationkey")
+    return L.markdown(rows, ["name", "key"], order=["n_nationkey"])
+
+
+@query
+def upserted_points(spark: SparkSession, sf: str) -> DataFrame:
+    path = L.work_folder(spark, "points")
+    d = table(spark, sf, "documents").where("source IS NOT NULL").select("doc_id", "source")
+    L.upsert_points(spark, path, d)
+    L.upsert_points(spark, path, d.where("source = 'src1' AND doc_id % 3 = 0"))
+    return L.scroll(spark, path, ["doc_id", "source"])
+
+
+@query
+def stored_collection(spark: SparkSession, sf: str) -> DataFrame:
+    store = V.Store(spark, L.work_folder(spark, "store"))
+    points = V.Collection("texts", dense={"v": 4}, payload={"page_idx": "int"})
+    store.ensure(points)
+    rows = V.embed(table(spark, sf, "documents").where("source IS NOT NULL"), lambda: V.unit_encoder(4), size=4)
+    store.upsert(points, rows.select(F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("page_idx"), F.col("embedding").alias("v"), "source"))
+    store.ensure(points)
+    return store.read(points).where("id IS NOT NULL").select("id", "source", F.size("v").alias("size"))
+
+
+@query
+def folder_size(spark: SparkSession, sf: str) -> DataFrame:
+    path = L.work_folder(spark, "size")
+    table(spark, sf, "part").select("p_name").write.text(path)
+    return L.directory_size(spark, path)

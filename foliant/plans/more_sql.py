@@ -215,4 +215,20 @@ MORE_SQL: dict[str, str] = {
         SELECT query_no, kind, 'full-' || lpad((row_number() OVER (ORDER BY turn, query_no))::VARCHAR, 3, '0') AS query_id FROM (SELECT * FROM t UNION ALL SELECT * FROM v)""",
     "run_rows": """SELECT n_name AS run_id, ['final', 'dpi', 'odd', 'baseline'][n_nationkey % 4 + 1] AS stage, CASE WHEN n_nationkey % 5 > 0 THEN nullif(count(c_custkey), 0) END AS n, CASE WHEN n_nationkey % 3 > 0 THEN max(c_acctbal) END AS top FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey""",
     "labelled_runs": "SELECT c_mktsegment AS run_id, count(*) AS n, CASE c_mktsegment WHEN 'FURNITURE' THEN 'home' ELSE 'site' END AS label FROM customer WHERE c_mktsegment IN ('FURNITURE', 'BUILDING') GROUP BY c_mktsegment",
+    "listed_documents": "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name",
+    "chosen_artifacts": """WITH f AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS kind, p_partkey % 30 AS s FROM part WHERE p_partkey % 4 < 3), w AS (SELECT DISTINCT p_partkey % 40 AS s FROM part),
+        c AS (SELECT 's' || s AS stem, CASE kind WHEN 0 THEN 'out/s' || s || '/x/content_list.json' WHEN 1 THEN 'out/b/s' || s || '_content_list.json' ELSE 'out/s' || s || '_content_list.json' END AS path, CASE kind WHEN 0 THEN 1 ELSE 0 END AS score, CASE kind WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END AS depth FROM f JOIN w USING (s))
+        SELECT stem, path FROM c QUALIFY row_number() OVER (PARTITION BY stem ORDER BY score, depth, path) = 1""",
+    "stage_paths": "SELECT p_partkey, 'd/x' || p_partkey || CASE WHEN p_partkey % 3 = 1 THEN '_a' ELSE '' END || '_tagged.json' AS path FROM part",
+    "json_array_scan": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS idx, n_nationkey, n_name FROM nation",
+    "json_lines_round_trip": "SELECT c_custkey, c_name, c_acctbal, NULL::VARCHAR AS none FROM customer",
+    "csv_round_trip": """SELECT p_partkey::VARCHAR AS p_partkey, p_brand || '|' || p_type AS kinds, 'say "' || p_name || '",' || chr(10) || 'new' AS text FROM part""",
+    "sidecar_scan": "SELECT 'key' || n_nationkey AS key, 'a' || n_nationkey || '|b c' AS value FROM nation WHERE n_nationkey < 6",
+    "manifest_scan": "SELECT 'a/' || p_partkey || '.pdf' AS relpath FROM part WHERE p_partkey % 5 > 1",
+    "scrolled_points": "SELECT vec_id, label FROM embeddings WHERE vec_id % 3 = 0",
+    "combined_arrays": "SELECT n_nationkey, n_name, NULL::INT AS r_regionkey FROM nation UNION ALL SELECT NULL, r_name, r_regionkey FROM region",
+    "markdown_table": r"""SELECT '| name | key |' AS line UNION ALL SELECT '| --- | --- |' UNION ALL SELECT '| ' || n_name || '\| | ' || CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey::VARCHAR ELSE '' END || ' |' FROM nation""",
+    "upserted_points": "SELECT doc_id, source FROM documents WHERE source IS NOT NULL AND (source <> 'src1' OR doc_id % 3 = 0)",
+    "stored_collection": "SELECT doc_id::VARCHAR AS id, source, 4 AS size FROM documents WHERE source IS NOT NULL",
+    "folder_size": "SELECT sum(strlen(p_name) + 1)::BIGINT AS n_bytes FROM part",
 }

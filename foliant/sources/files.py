@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that queries write and read again, in the folder that all machines share.
+
+    That is spark.checkpoint.dir; only a session on one machine may do without it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="foliant-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/foliant-files/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
+
 
 def list_documents(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
     """(path, length) of all files of a kind below root, any case, in order of the lower-case path (A1).
@@ -136,7 +151,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     """With a header: the given columns, others left out, or all in order; lists are joined by '|' (A14)."""
     kinds = dict(df.dtypes)
     flat = [F.array_join(c, "|").alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns or sorted(df.columns)]
-    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def markdown(df: DataFrame, columns: list[str], *, order: list[str] | None = None) -> DataFrame:
