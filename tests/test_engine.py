@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import uuid
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from foliant.operators import points as P
 from foliant.operators import retrieval as R
 from foliant.operators import runs as N
 from foliant.operators import sampling as S
+from foliant.operators import serving as V
 from foliant.plans import presets
 from foliant.plans.catalog import QUERIES
 from foliant.plans.oracle import ORACLE_SQL
@@ -325,3 +328,110 @@ def test_mixed_and_labelled(spark):
     none = spark.createDataFrame([("a", 1.0)], "run_id string, mean double")
     assert [r.run_id for r in N.run_table(runs, none, none.withColumnRenamed("mean", "gpu")).collect()] == ["b", "a", "c"]
     assert [(r.run_id, r.label) for r in N.labelled_runs(runs, {"c": "C", "a": "A"}).collect()] == [("c", "C"), ("a", "A")]
+
+
+# --- what SQL cannot say -----------------------------------------------------------------------------------------
+
+
+def test_encoders(spark):
+    encode = V.hashing_encoder(128)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    x, q = (V.fit_vectors(encode([r.text or "" for r in rows]), 128).astype(float) for rows in (docs, items))
+    near = np.round(q @ x.T, 6)
+    got = QUERIES["encoded_topk"](spark, SF).collect()
+    assert len(got) == 5 * len(items)
+    place, ids = {r.item_id: i for i, r in enumerate(items)}, {r.doc_id: i for i, r in enumerate(docs)}
+    for r in got:
+        row = near[place[r.query_id]]
+        assert abs(row[ids[r.vec_id]] - r.score) < 2e-6 and (row > r.score + 2e-6).sum() <= r.rank
+    with pytest.raises(ValueError):
+        V.fit_vectors(np.zeros((2, 3)), 4)
+    assert V.fit_vectors(np.zeros((1, 4)), 2).tolist() == [[0, 0]]
+    odd = V.embed(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), lambda: V.hashing_encoder(8), size=8, prefix="q: ").collect()
+    assert all(abs(sum(v * v for v in r.embedding) - 1) < 1e-6 for r in odd) and V.embed(spark.createDataFrame([], "text string"), lambda: V.unit_encoder(2), size=2).count() == 0
+
+
+def test_services(spark, tmp_path):
+    waits, calls = [], []
+
+    def send(request):
+        calls.append(request)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return {"ok": True}
+
+    assert V.call_with_retries(send, {"a": 1}, sleep=waits.append)[0] == {"ok": True} and waits == [1.0, 2.0]
+    with pytest.raises(OSError):
+        V.call_with_retries(lambda r: (_ for _ in ()).throw(OSError("down")), {}, sleep=waits.append)
+    assert V.model_span(("section", "patch", "caption", "tag"), {"patch": "vl", "caption": "vl", "tag": "text"}, {"tag"}) == {"vl": ("patch", "caption")}
+    store = V.Store(spark, str(tmp_path / "store"))
+    points = V.Collection("c", dense={"v": 2}, payload={"page_idx": "int"})
+    store.ensure(points)
+    store.upsert(points, spark.createDataFrame([("1", 0, [1.0, 0.0], "s"), ("2", 0, [0.0, 1.0], "t")], "id string, page_idx int, v array<float>, source string"))
+    store.upsert(points, spark.createDataFrame([("3", 0, [1.0, 0.0], "t")], "id string, page_idx int, v array<float>, source string"))
+    assert sorted((r.id, r.source) for r in store.read(points).where("id IS NOT NULL").collect()) == [("1", "s"), ("3", "t")]
+    with pytest.raises(ValueError, match="page_idx"):
+        store.ensure(V.Collection("c", dense={"v": 2}, payload={"page_idx": "string"}))
+    value, fell = V.with_fallback(F.lit(None).cast("string"), F.lit("out of memory"), F.lit("x"))
+    with pytest.raises(Exception, match="out of memory"):
+        one(spark, value, fell)
+
+
+def test_page_cards_by_hand(spark):
+    text = "12\nAn unusual heading\n\nThe quick brown fox jumps over the lazy dog near the river bank. Short one. "
+    pages = spark.createDataFrame([("s", 0, text, 0, 1), ("s", 1, None, 0, 0), ("s", 2, "word word word other", 2, 0)], "source string, page_idx int, text string, n_images int, n_drawings int")
+    paths = spark.createDataFrame([("s", 0, "A > B")], "source string, page_idx int, path string")
+    got = {r.page_idx: r for r in S.page_cards(pages, paths, stop_words=("the", "over")).collect()}
+    assert (got[0].title, got[0].modality, got[0].needs_review, got[0].path) == ("An unusual heading", ["text", "diagram"], True, "A > B")
+    assert got[0].keywords[:3] == ["unusual", "heading", "quick"] and len(got[0].key_facts) == 1
+    assert (got[1].title, got[1].modality, got[1].keywords, got[1].text_chars) == ("Page 2", ["visual"], [], 0)
+    assert got[2].keywords == ["word", "other"] and got[2].modality == ["text", "image"]
+    cards = QUERIES["page_cards"](spark, SF).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in cards:
+        words = re.findall("[a-z][a-z0-9-]{3,}", docs[r.page_idx].lower())
+        first = {w: i for i, w in reversed(list(enumerate(words)))}
+        assert r.keywords == "|".join(sorted(first, key=lambda w: (-words.count(w), first[w]))[:12]) and r.text_chars == len(docs[r.page_idx])
+
+
+def test_support_of_visual_questions(spark):
+    rows = spark.read.parquet(f"{SF}/part.parquet").collect()
+    got = {r.p_partkey: r.support for r in QUERIES["visual_supports"](spark, SF).collect()}
+    for r in rows:
+        k = r.p_partkey
+        facts = [f"The {r.p_name} is here.", f"Size {r.p_size} mm.", f"{r.p_brand} made it."]
+        query = f"{r.p_name if k % 2 == 0 else 'what'} {f'it has {r.p_size} mm' if k % 3 == 0 else 'none'}".lower()
+        terms = [t for t in dict.fromkeys(re.findall(r"[a-z][a-z0-9-]{2,}|[0-9]+(?:\.[0-9]+)?", query)) if t not in ("the", "is")]
+        chosen = [f for f in facts if len(own := [t for t in terms if t in f.lower()]) >= 2 or any(re.fullmatch(r"[0-9.]+", t) or (re.search("[a-z]", t) and re.search("[0-9]", t)) for t in own)]
+        assert got[k] == (" ".join(chosen) if chosen else "a summary" if k % 4 == 0 else " ".join(facts))
+
+
+def test_stratified(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    rank = {r.doc_id: (r.h, r.doc_id) for r in docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("h")).collect()}
+    by = {}
+    for r in docs.collect():
+        by.setdefault(r.lang, []).append(r.doc_id)
+    want = {(lang, i) for lang, ids in by.items() for i in sorted(ids, key=rank.get)[:5]}
+    assert {(r.lang, r.doc_id) for r in QUERIES["stratified_sample"](spark, SF).collect()} == want
+
+
+def test_contexts_and_outlines_are_linear(spark):
+    """Folds over long documents: a second's work for tens of thousands of blocks."""
+    import time
+
+    began = time.perf_counter()
+    assert C.greedy_numbers([7] * 200_000, 100, 20)[-1] == 200_000 // 14 - (200_000 % 14 == 0)
+    assert B.stacked_paths([1, 2, 3] * 30_000, ["a", "b", "c"] * 30_000)[-1] == "a > b > c"
+    blocks = [(i, f"text {i}") for i in range(20_000)]
+    assert all(B.context_window(blocks, t, 60)[1] == f"text {t}" for t in range(0, 20_000, 4))
+    assert len(B.neighbour_places([5] * 20_000, 10_000, 60)) == 11
+    assert time.perf_counter() - began < 20
+
+
+def test_question_sets(spark):
+    part = lambda pdf, n: spark.createDataFrame([(pdf, i, f"{pdf}{i}") for i in n], "pdf string, n int, question string")
+    targets = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2)], "pdf string, target int")
+    got = S.assemble_questions([part("a", [1, 2]), part("b", [5, 6])], targets, fill=part("a", [7, 8]).unionByName(part("b", [9])).unionByName(part("c", [3])))
+    assert [(r.qa_id, r.question) for r in got.orderBy("qa_id").collect()] == [("qa-0001", "a1"), ("qa-0002", "a2"), ("qa-0003", "b5"), ("qa-0004", "b6"), ("qa-0005", "a7"), ("qa-0006", "c3")]
