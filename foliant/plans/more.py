@@ -668,3 +668,11 @@ def folder_size(spark: SparkSession, sf: str) -> DataFrame:
     path = L.work_folder(spark, "size")
     table(spark, sf, "part").select("p_name").write.text(path)
     return L.directory_size(spark, path)
+
+
+@query
+def outline_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = L.work_folder(spark, "outline")
+    entry = F.struct((F.col("n_nationkey") % 3 + 1).alias("level"), F.when(F.col("n_nationkey") % 7 > 0, F.col("n_name")).otherwise(" ").alias("title"), F.col("n_nationkey").alias("page"))
+    table(spark, sf, "nation").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("e")))), lambda x: x["e"])).alias("value")).coalesce(1).write.text(path)
+    return B.outline_paths(L.read_outlines(spark, path)).select("outline_index", "level", "title", "section_path")

@@ -231,4 +231,7 @@ MORE_SQL: dict[str, str] = {
     "upserted_points": "SELECT doc_id, source FROM documents WHERE source IS NOT NULL AND (source <> 'src1' OR doc_id % 3 = 0)",
     "stored_collection": "SELECT doc_id::VARCHAR AS id, source, 4 AS size FROM documents WHERE source IS NOT NULL",
     "folder_size": "SELECT sum(strlen(p_name) + 1)::BIGINT AS n_bytes FROM part",
+    "outline_scan": """WITH RECURSIVE o AS (SELECT n_nationkey AS i, n_nationkey % 3 + 1 AS level, n_name AS title, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation WHERE n_nationkey % 7 > 0),
+        f AS (SELECT i, level, title, r, [title] AS path FROM o WHERE r = 1 UNION ALL SELECT o.i, o.level, o.title, o.r, list_append(f.path[1:o.level - 1], o.title) FROM f JOIN o ON o.r = f.r + 1)
+        SELECT i AS outline_index, level, title, array_to_string(path, ' > ') AS section_path FROM f""",
 }

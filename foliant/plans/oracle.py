@@ -181,12 +181,13 @@ ORACLE_SQL = {
         ) SELECT source, block_idx AS outline_index, array_to_string(path, ' > ') AS section_path FROM f""",
     "outline_match_tiers": r"""WITH p AS (
           SELECT page_id AS source, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h, regexp_extract(html, '<p>([^<]*)', 1) AS b,
-            CASE WHEN page_id % 3 = 0 THEN lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS t FROM pages
-        ), x AS (SELECT source, t, unnest([b, h]) AS c, unnest([0, 1]) AS block_idx FROM p),
-        y AS (SELECT source, block_idx, CASE WHEN trim(c) <> '' AND trim(regexp_replace(c, '[ \t\r\n]+', ' ', 'g')) = trim(regexp_replace(t, '[ \t\r\n]+', ' ', 'g')) THEN 1
+            CASE WHEN page_id % 3 = 0 THEN lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS t, CASE WHEN page_id % 2 = 0 THEN page_id % 5 * 50.0::DOUBLE END AS d FROM pages
+        ), x AS (SELECT source, t, d, unnest([b, h]) AS c, unnest([0, 1]) AS block_idx FROM p),
+        y AS (SELECT source, block_idx, d, abs(block_idx * 100 - d) AS away, CASE WHEN trim(c) <> '' AND trim(regexp_replace(c, '[ \t\r\n]+', ' ', 'g')) = trim(regexp_replace(t, '[ \t\r\n]+', ' ', 'g')) THEN 1
           WHEN trim(c) <> '' AND lower(trim(regexp_replace(c, '\s+', ' ', 'g'))) = lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) THEN 2 ELSE 4 END AS tier FROM x)
-        SELECT source, block_idx, ['exact', 'normalized', 'fuzzy', 'page_fallback'][tier] AS match_type, [0.95, 0.95, 0.85, 0.75][tier]::DOUBLE AS confidence
-        FROM y QUALIFY row_number() OVER (PARTITION BY source ORDER BY tier, block_idx) = 1""",
+        SELECT source, block_idx, ['exact', 'normalized', 'fuzzy', 'page_fallback'][tier] AS match_type,
+          CASE tier WHEN 1 THEN CASE WHEN away <= 50 THEN 1.0 ELSE 0.95 END WHEN 2 THEN CASE WHEN away <= 50 THEN 0.98 ELSE 0.95 END ELSE CASE WHEN d IS NOT NULL THEN 0.78 ELSE 0.75 END END::DOUBLE AS confidence
+        FROM y QUALIFY row_number() OVER (PARTITION BY source ORDER BY tier, CASE WHEN tier = 4 AND d IS NOT NULL THEN (block_idx * 100 < d)::INT ELSE 0 END, (away IS NULL)::INT, away, block_idx) = 1""",
     "page_windows": """WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
         i AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM d),
         w AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey, g ORDER BY l_linenumber) - 1) // 2 AS k FROM i)

@@ -66,6 +66,15 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("file", F.posexplode("x").alias("idx", "x")).select("file", "idx", "x.*")
 
 
+def read_outlines(spark: SparkSession, path: str) -> DataFrame:
+    """(source, outline_index, level, title, page) of exported outlines: arrays of objects, a file for each document.
+
+    Documents themselves are not opened here; outline_paths() stacks the titles.
+    """
+    rows = read_json_array(spark, path, "level int, title string, page int")
+    return rows.select(F.substring_index("file", "/", -1).alias("source"), F.col("idx").cast("bigint").alias("outline_index"), "level", "title", "page").where("level > 0 AND trim(title) <> ''")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects by line; blank lines and lines that start with # are left out, bad ones raise (A5)."""
     lines = spark.read.text(path).where(~F.btrim("value").startswith("#") & (F.btrim("value") != ""))

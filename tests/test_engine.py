@@ -435,3 +435,29 @@ def test_question_sets(spark):
     targets = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2)], "pdf string, target int")
     got = S.assemble_questions([part("a", [1, 2]), part("b", [5, 6])], targets, fill=part("a", [7, 8]).unionByName(part("b", [9])).unionByName(part("c", [3])))
     assert [(r.qa_id, r.question) for r in got.orderBy("qa_id").collect()] == [("qa-0001", "a1"), ("qa-0002", "a2"), ("qa-0003", "b5"), ("qa-0004", "b6"), ("qa-0005", "a7"), ("qa-0006", "c3")]
+
+
+def test_outline_with_all_tiers(spark):
+    from foliant.plans.catalog import _headings
+
+    outline, blocks = _headings(spark, SF)
+    on_page = {}
+    for r in blocks.collect():
+        on_page.setdefault(r.source, []).append((r.block_idx, r.text or "", r.y0))
+    norm = lambda t: re.sub(r"[\s\xa0]+", " ", t).strip().lower()
+    want = {}
+    for r in outline.collect():
+        title = re.sub("e(.)", r"\1e", r.title) if r.source % 4 == 1 else r.title
+        found = []
+        for i, text, y in on_page[r.source]:
+            tier = 4
+            if text.strip():
+                tier = 1 if " ".join(text.split()) == " ".join(title.split()) else 2 if norm(text) == norm(title) else 3 if X.similarity(norm(title), norm(text)) >= 0.92 else 4
+            away = None if r.dest_y is None else abs(y - r.dest_y)
+            found.append((tier, int(tier == 4 and r.dest_y is not None and y < r.dest_y), away is None, away or 0.0, i))
+        tier, _, none, away, i = min(found)
+        close = not none and away <= 50
+        confidence = {1: (0.95, 1.0)[close], 2: (0.95, 0.98)[close], 3: (0.85, 0.88)[close], 4: 0.75 if none else 0.78}[tier]
+        want[r.source] = (i, ("exact", "normalized", "fuzzy", "page_fallback")[tier - 1], confidence)
+    got = {r.source: (r.block_idx, r.match_type, r.confidence) for r in QUERIES["outline_match_fuzzy"](spark, SF).collect()}
+    assert got == want and {v[1] for v in want.values()} >= {"exact", "page_fallback"}
