@@ -113,13 +113,19 @@ def count_long(raw: np.ndarray, features: int, piece: int = 4 * SLICE_BYTES) ->
     return counts, letters
 
 
+#: Texts that are counted at once, at most: each has a row of counts, however short it is.
+COUNT_ROWS = 256
+
+
 def _counted(column: pa.Array, features: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, counts, letters); a long text is counted in pieces."""
     for lo, hi, raw, at in slices(column):
         if hi - lo == 1 and len(raw) > 8 * SLICE_BYTES:
             yield lo, hi, *count_long(raw, features)
-        else:
-            yield lo, hi, *count_ngrams(raw, at, features)
+            continue
+        for i in range(0, hi - lo, COUNT_ROWS):
+            j = min(i + COUNT_ROWS, hi - lo)
+            yield lo + i, lo + j, *count_ngrams(raw[at[i] : at[j]], at[i : j + 1] - at[i], features)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
