@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KS = (1, 3, 5, 10)
 SNIPPET_CHARS = 40
+#: Keys of snippets that are sent to the executors, at most.
+BROADCAST_KEYS = 1_000_000
 #: Characters of a text that are hashed at once, and the base of the hash.
 _PIECE, _BASE = 1 << 18, 0x9E3779B97F4A7C15
 
@@ -55,8 +58,8 @@ def _window_minima(text: str) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def _anchored(rows: DataFrame) -> DataFrame:
-    """rows without their last column, a text, and a row for each key of it: see snippet_matches()."""
+def _anchored(rows: DataFrame, known: Broadcast | None = None) -> DataFrame:
+    """rows without their last column, a text, and a row for each key of it (of the sorted known ones): see snippet_matches()."""
     names = rows.columns[:-1]
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
 
@@ -65,6 +68,8 @@ def _anchored(rows: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 keys = [_window_minima(t.as_py()) for t in part.column(len(names))]
+                if known is not None:
+                    keys = [np.intersect1d(k, known.value, assume_unique=True) for k in keys]
                 of = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
                 found = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(i).take(of) for i in range(len(names))] + [pa.array(found.view(np.int64))], [*names, "key"])
@@ -77,10 +82,13 @@ def snippet_matches(snippets: DataFrame, docs: DataFrame) -> DataFrame:
 
     Candidates meet on the least hash of a 20-character gram in the snippet's first SNIPPET_CHARS characters;
     a text has the least hash of each window of that length. So each text that holds the snippet meets it,
-    with blanks or without, and only what meets is compared.
+    with blanks or without, and only what meets is compared. Keys that no snippet has go where the text is
+    read, as long as the snippets' keys are few enough to be sent there.
     """
     s = _anchored(snippets.where(F.char_length("text") >= SNIPPET_CHARS).select("item_id", F.col("text").alias("snippet"), F.substring("text", 1, SNIPPET_CHARS).alias("head")))
-    keys = _anchored(docs.where("text IS NOT NULL").select("doc_id", "text"))
+    wanted = s.select("key").distinct().limit(BROADCAST_KEYS + 1).toArrow().column(0).to_numpy()
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.view(np.uint64))) if len(wanted) <= BROADCAST_KEYS else None
+    keys = _anchored(docs.where("text IS NOT NULL").select("doc_id", "text"), known)
     pairs = s.join(keys, "key").select("item_id", "snippet", "doc_id")
     return pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "snippet")).select("item_id", "doc_id").distinct()
 
