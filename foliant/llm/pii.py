@@ -255,8 +255,9 @@ def collisions(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFram
     found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0)))).alias("value")).distinct()
     values = materialize(found.select("value", atoms(F.col("value")).alias("atoms")), "entities")
     known = materialize(values.select(F.explode("atoms").alias("atom")).distinct(), "atoms")
-    # A column of its own keeps the keyed expressions from being planned twice.
-    keyed = lambda df: df.select("atom", "attempt", F.substring_index("atom", ":", 1).alias("kind"), atom_surrogate(F.col("atom"), key, F.col("attempt")).alias("surrogate"))
+    # A column of its own keeps the keyed expressions from being planned twice; it is long, and made once for all rounds.
+    new = atom_surrogate(F.col("atom"), key, F.col("attempt")).alias("surrogate")
+    keyed = lambda df: df.select("atom", "attempt", F.substring_index("atom", ":", 1).alias("kind"), new)
     state = materialize(keyed(known.withColumn("attempt", F.lit(0))), "surrogates")
     names = known.select(_family("atom").alias("family"), F.lower(F.substring_index("atom", ":", -1)).alias("lower"))
     while True:
@@ -269,6 +270,8 @@ def collisions(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFram
         anew = keyed(state.join(bad, "atom", "left_semi").select("atom", (F.col("attempt") + 1).alias("attempt")))
         state = materialize(state.join(bad, "atom", "left_anti").unionByName(anew), "surrogates")
     again = state.where("attempt > 0").select("atom", "attempt")
+    if again.isEmpty():
+        return docs.sparkSession.createDataFrame([], "value string, surrogate string")
     changed = values.select("value", F.explode("atoms").alias("atom")).join(again, "atom").groupBy("value").agg(F.map_from_entries(F.collect_set(F.struct("atom", "attempt"))).alias("attempts"))
     return changed.select("value", surrogate(F.col("value"), key, F.col("attempts")).alias("surrogate"))
 
