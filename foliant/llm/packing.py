@@ -21,8 +21,8 @@ SEQUENCE_TOKENS = 1024
 BUCKET_WINDOWS = 128
 #: Where the rest of a document, after its whole windows, is cut; smaller pieces even out windows better.
 CUTS = (256, 128, 64, 32, 16)
-#: Distinct pieces of text whose ids a worker remembers, about 70 bytes each.
-CACHE_ENTRIES = 1_000_000
+#: Distinct pieces of text whose ids a worker remembers, some 200 bytes each with what the tokenizer keeps.
+CACHE_ENTRIES = 300_000
 _SLICE = 1 << 20
 
 
