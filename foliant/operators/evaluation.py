@@ -112,7 +112,25 @@ def ranking_metrics(hits: DataFrame, gold: DataFrame, queries: DataFrame, ks: tu
     """
     g = gold.select("query_id", "id").distinct()
     n = g.groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    good = hits.join(g, ["query_id", "id"]).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    return _metrics(hits.join(g, ["query_id", "id"]), n, queries, ks)
+
+
+def class_metrics(hits: DataFrame, items: DataFrame, classes: DataFrame, queries: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """ranking_metrics() where all items of a query's classes are its gold, without a row for a query and a gold item.
+
+    items has id and label, classes has query_id and label. What is counted of a class is counted once for all its queries.
+    """
+    own, asked = items.where("label IS NOT NULL").select("id", "label").distinct(), classes.where("label IS NOT NULL").select("query_id", "label").distinct()
+    # An item of several classes counts once for a query: under all the classes that it is in.
+    kinds = own.groupBy("id").agg(F.sort_array(F.collect_set("label")).alias("labels")).groupBy("labels").agg(F.count("*").alias("n"))
+    n = asked.join(kinds.select("labels", "n", F.explode("labels").alias("label")), "label").select("query_id", "labels", "n").distinct().groupBy("query_id").agg(F.sum("n").alias("n_gold"))
+    good = hits.join(own, "id").join(asked, ["query_id", "label"], "left_semi")
+    return _metrics(good, n, queries, ks)
+
+
+def _metrics(good: DataFrame, n: DataFrame, queries: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """good has query_id, id and rank of hits that are gold, n the number of gold ids of each query."""
+    good = good.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
     parts = [F.min("rank").alias("first_rank")]
     for k in ks:
         in_k = F.col("rank") <= k

@@ -459,8 +459,7 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     q = e.where("vec_id % 50 = 0").select(F.floor(F.col("vec_id") / 50).alias("query_id"), "label")
     # One query has no gold.
-    gold = q.where("query_id <> 3").join(e.withColumnRenamed("vec_id", "id"), "label").select("query_id", "id")
-    return E.ranking_metrics(_hits(spark, sf), gold, q)
+    return E.class_metrics(_hits(spark, sf), e.withColumnRenamed("vec_id", "id"), q.where("query_id <> 3"), q)
 
 
 @query

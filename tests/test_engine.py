@@ -509,3 +509,14 @@ def test_dense_keeps_k_of_a_task(spark, monkeypatch):
     x = x.astype(np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert got == [(i, n, int(v)) for i in range(10) for n, v in enumerate(np.lexsort((np.arange(95), -np.round(x @ x[i], 6)))[:3])]
+
+
+def test_metrics_of_classes_have_no_row_for_a_gold_item(spark):
+    """class_metrics() is ranking_metrics() on all pairs of a query and an item of its classes; its plan has no such pairs."""
+    items = spark.createDataFrame([(i, i % 3) for i in range(20)] + [(4, 0), (5, None), (7, 1)], "id int, label int")
+    classes = spark.createDataFrame([(1, 0), (1, 1), (2, 2), (3, None), (4, 9)], "query_id int, label int")
+    hits = spark.createDataFrame([(q, r, (q * 5 + r) % 20) for q in range(1, 6) for r in range(1, 8)], "query_id int, rank int, id int")
+    asked = spark.range(1, 6).select(F.col("id").cast("int").alias("query_id"))
+    want = E.ranking_metrics(hits, classes.join(items, "label").select("query_id", "id"), asked)
+    assert sorted(map(tuple, E.class_metrics(hits, items, classes, asked).collect())) == sorted(map(tuple, want.collect()))
+    assert "labels" in QUERIES["retrieval_metrics"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
