@@ -408,11 +408,12 @@ def patch_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def patch_alignment(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    evidence = _evidence(spark, sf).withColumn("patch", G.patch_box(F.col("patch_idx"), 4, 4))
+    patches = e.select(F.floor(F.col("vec_id") / 16).alias("page_id"), (F.col("vec_id") % 16).alias("patch_idx"), "embedding")
     boxes = e.select(F.floor(F.col("vec_id") / 16).alias("page_id")).distinct().select("page_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk_idx"))
     x = F.col("chunk_idx") * 300.0
     boxes = boxes.withColumn("box", F.struct(x.alias("x0"), F.lit(0.0).alias("y0"), (x + 350.0).alias("x1"), F.lit(700.0).alias("y1")))
-    return R.align_chunks(evidence, boxes, _vector_queries(e), overlap=G.overlap_ratio(F.col("patch"), F.col("box")))
+    tokens = _vector_queries(e).withColumnRenamed("query_id", "token_idx")
+    return R.align_pages(patches, tokens, boxes, 3, patch=G.patch_box(F.col("patch_idx"), 4, 4), overlap=G.overlap_ratio(F.col("patch"), F.col("box")))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------

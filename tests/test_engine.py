@@ -520,3 +520,17 @@ def test_metrics_of_classes_have_no_row_for_a_gold_item(spark):
     want = E.ranking_metrics(hits, classes.join(items, "label").select("query_id", "id"), asked)
     assert sorted(map(tuple, E.class_metrics(hits, items, classes, asked).collect())) == sorted(map(tuple, want.collect()))
     assert "labels" in QUERIES["retrieval_metrics"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alignment_by_page_is_that_of_its_evidence(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(2)
+    patches = spark.createDataFrame([(p, i, rng.normal(size=4).round(1).tolist()) for p in range(5) for i in range(p + 1)], "page_id int, patch_idx int, embedding array<float>")
+    tokens = spark.createDataFrame([(i, rng.normal(size=4).round(1).tolist()) for i in range(8)], "token_idx int, embedding array<float>")
+    boxes = spark.createDataFrame([(p, c, (x, 0.0, x + 350.0, 700.0)) for p in range(6) for c, x in ((0, 0.0), (0, 200.0), (1, 500.0), (2, 990.0))], "page_id int, chunk_idx int, box struct<x0:double,y0:double,x1:double,y1:double>")
+    patch, overlap = G.patch_box(F.col("patch_idx"), 4, 4), G.overlap_ratio(F.col("patch"), F.col("box"))
+    want = R.align_chunks(R.patch_similarity(patches, tokens, 2).withColumn("patch", patch), boxes, tokens, overlap=overlap)
+    got = R.align_pages(patches, tokens, boxes, 2, patch=patch, overlap=overlap)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+    # No evidence row, of a page and a token, leaves the step that finds it.
+    assert "n_evidence" in str(next(x for x in QUERIES["patch_alignment"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in x))
