@@ -52,7 +52,8 @@ def quota_sample(chunks: DataFrame, *, target: int, order: str = "chunk_no", sec
 def keywords(docs: DataFrame, *, k: int, id_col: str = "doc_id", text_col: str = "text", stop_words: tuple[str, ...] = ()) -> DataFrame:
     """The k most frequent words of four letters and more of each text, ties by first place."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z][a-z0-9-]{3,}"), F.lit(0))
-    rows = docs.select(id_col, F.posexplode(words).alias("pos", "word"))
+    # Dealt out as texts: all that follows stays where the text is, as rows of words are many times its size.
+    rows = docs.select(id_col, text_col).repartition(F.col(id_col)).select(id_col, F.posexplode(words).alias("pos", "word"))
     if stop_words:
         rows = rows.where(~F.col("word").isin(*stop_words))
     counts = rows.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))

@@ -545,3 +545,11 @@ def test_question_ids_beyond_four_places(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["assembled_questions"](spark, str(tmp_path)).select("pdf", "n", "question", "qa_id").collect())) == sorted(want)
     d = spark.read.parquet(f"{tmp_path}/documents.parquet").select(F.col("source").alias("pdf"), F.col("doc_id").alias("n"), F.lit("Q").alias("question"))
     assert S.assemble_questions([d], d.select("pdf", F.lit(1).alias("target")).distinct(), fill=d.limit(0)).select("qa_id").distinct().count() == 10_050
+
+
+def test_keywords_shuffle_texts_not_words(spark):
+    got = S.keywords(spark.read.parquet(f"{SF}/documents.parquet"), k=5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange") > plan.index("Generate")
+    twice = spark.createDataFrame([(1, "alpha beta beta"), (1, "alpha gamma alpha"), (None, "delta")], "doc_id int, text string")
+    assert sorted(map(tuple, S.keywords(twice.where("doc_id = 1"), k=2).collect())) == [(1, "alpha", 3, 1), (1, "beta", 2, 2)] and S.keywords(twice, k=2).count() == 3
