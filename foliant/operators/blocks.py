@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
@@ -53,20 +57,48 @@ def stacked_paths(levels: list[int], titles: list[str]) -> list[str]:
     return out
 
 
+#: Groups whose items a worker has as Python objects at once, and characters or rows that it returns at once.
+GROUPS_AT_ONCE, CHARS_AT_ONCE, ROWS_AT_ONCE = 64, 1 << 22, 1 << 16
+
+
+def fold_groups(items: DataFrame, key: str, columns: list[str], fold: Callable[..., Iterator[tuple]], made: str) -> DataFrame:
+    """(key, made) of each group: fold gets its columns as lists, in order of the first, and yields rows.
+
+    Many groups come in one Arrow batch, but few at once become Python objects, and rows leave by bounded size.
+    """
+    group = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in columns])
+    out = f"`{key}` {items.schema[key].dataType.simpleString()}, {made}"
+    schema = to_arrow_schema(_parse_datatype_string(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, GROUPS_AT_ONCE):
+                for k, *lists in zip(*(c.to_pylist() for c in batch.slice(lo, GROUPS_AT_ONCE).columns), strict=True):
+                    for r in fold(*lists):
+                        rows.append((k, *r))
+                        chars += sum(len(x) for x in r if isinstance(x, str))
+                        if chars >= CHARS_AT_ONCE or len(rows) >= ROWS_AT_ONCE:
+                            yield batch_of(rows)
+                            rows, chars = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return group.mapInArrow(run, out)
+
+
 def outline_paths(outline: DataFrame, *, key: str = "source") -> DataFrame:
     """The path of titles of each outline entry.
 
     The entries of a document are folded in order, many documents in one Arrow batch: the work is linear in them.
     """
-    entries = outline.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("outline_index", "level", "title"))).alias("e"))
+    entries = outline.select(key, F.col("outline_index").cast("bigint").alias("outline_index"), F.col("level").cast("int").alias("level"), "title")
 
-    @F.pandas_udf("array<string>")
-    def run(levels: pd.Series, titles: pd.Series) -> pd.Series:
-        return pd.Series([stacked_paths(a.tolist(), b.tolist()) for a, b in zip(levels, titles, strict=True)], dtype=object)
+    def fold(index: list[int], levels: list[int], titles: list[str]) -> Iterator[tuple]:
+        return zip(index, levels, titles, stacked_paths(levels, titles), strict=True)
 
-    rows = entries.withColumn("p", run(F.col("e.level").cast("array<int>"), F.col("e.title")))
-    rows = rows.select(key, F.explode(F.zip_with("e", "p", lambda e, p: F.struct(e["outline_index"].cast("bigint").alias("outline_index"), e["level"].cast("int").alias("level"), e["title"].alias("title"), p.alias("section_path")))).alias("x"))
-    return rows.select(key, "x.outline_index", "x.level", "x.title", "x.section_path")
+    return fold_groups(entries, key, ["outline_index", "level", "title"], fold, "outline_index bigint, level int, title string, section_path string")
 
 
 def match_outline(outline: DataFrame, blocks: DataFrame, *, keys: tuple[str, ...] = ("source", "page_idx"), fuzzy: bool = True) -> DataFrame:
@@ -207,16 +239,16 @@ def context_window(content: list[tuple[int, str]], target: int, budget: int) ->
 
 
 def truncated_contexts(blocks: DataFrame, targets: DataFrame, *, key: str, budget: int) -> DataFrame:
-    """(key, target_idx, before, target, after); one document at a time, whose texts move once for all its targets."""
+    """(key, target_idx, before, target, after); a document's texts move once for all its targets."""
     rows = blocks.select(key, "block_idx", "text").join(targets.select(key, "block_idx", F.lit(True).alias("hit")).distinct(), [key, "block_idx"], "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_idx")
-        content = list(zip(pdf["block_idx"].tolist(), pdf["text"].fillna("").tolist(), strict=True))
-        wanted = pdf.loc[pdf["hit"].notna(), "block_idx"].tolist()
-        return pd.DataFrame([(pdf[key].iloc[0], t, *context_window(content, t, budget)) for t in wanted], columns=[key, "target_idx", "before", "target", "after"])
+    rows = rows.select(key, "block_idx", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("hit", F.lit(False)).alias("hit"))
+
+    def fold(places: list[int], texts: list[str], hits: list[bool]) -> Iterator[tuple]:
+        content = list(zip(places, texts, strict=True))
+        return ((t, *context_window(content, t, budget)) for t, hit in zip(places, hits, strict=True) if hit)
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {blocks.schema[key].dataType.simpleString()}, target_idx int, before string, target string, after string")
+    return fold_groups(rows, key, ["block_idx", "text", "hit"], fold, "target_idx int, before string, target string, after string")
 
 
 def patch_fields(blocks: DataFrame, known: tuple[str, ...]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .blocks import fold_groups
 
 MODES = ("auto", "section", "token")
 
@@ -115,18 +117,15 @@ def fold_chunks(costs: list[int], texts: list[str], profile: Profile) -> list[li
 
 
 def overlapping_chunks(items: DataFrame, *, key: str, order: str, profile: Profile) -> DataFrame:
-    """(key, chunk_idx, first_item, last_item, n_items, content) with overlap; one group at a time."""
+    """(key, chunk_idx, first_item, last_item, n_items, content) with overlap."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        places = pdf[order].tolist()
-        texts = pdf["text"].fillna("").tolist()
+    def fold(places: list[int], texts: list[str]) -> Iterator[tuple]:
         costs = [max(1, len(X.PYTHON_TOKEN.findall(t))) for t in texts]
-        rows = [(pdf[key].iloc[0], n, places[c[0][0]], places[c[-1][0]], len(c), "\n".join(t for _, t in c)) for n, c in enumerate(fold_chunks(costs, texts, profile))]
-        return pd.DataFrame(rows, columns=[key, "chunk_idx", "first_item", "last_item", "n_items", "content"])
+        for n, c in enumerate(fold_chunks(costs, texts, profile)):
+            yield n, places[c[0][0]], places[c[-1][0]], len(c), "\n".join(t for _, t in c)
 
-    kind = items.schema[key].dataType.simpleString()
-    return items.select(key, order, "text").groupBy(key).applyInPandas(run, f"{key} {kind}, chunk_idx int, first_item int, last_item int, n_items int, content string")
+    rows = items.select(key, order, F.coalesce("text", F.lit("")).alias("text"))
+    return fold_groups(rows, key, [order, "text"], fold, "chunk_idx int, first_item int, last_item int, n_items int, content string")
 
 
 def roll_up(items: DataFrame, *, key: str, order: str) -> DataFrame:

@@ -553,3 +553,18 @@ def test_keywords_shuffle_texts_not_words(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange") > plan.index("Generate")
     twice = spark.createDataFrame([(1, "alpha beta beta"), (1, "alpha gamma alpha"), (None, "delta")], "doc_id int, text string")
     assert sorted(map(tuple, S.keywords(twice.where("doc_id = 1"), k=2).collect())) == [(1, "alpha", 3, 1), (1, "beta", 2, 2)] and S.keywords(twice, k=2).count() == 3
+
+
+def test_folds_of_documents_are_cut_small(spark, monkeypatch):
+    """No fold starts a group at a time in pandas, and slices and small batches change no row."""
+    monkeypatch.setattr(B, "GROUPS_AT_ONCE", 2)
+    monkeypatch.setattr(B, "CHARS_AT_ONCE", 50)
+    rows = [(d, i, f"text {d} {i}" if i % 4 else None) for d in (1, 2, 3, None, 4) for i in range(9)]
+    blocks = spark.createDataFrame(rows, "doc_id int, block_idx int, text string")
+    got = B.truncated_contexts(blocks, blocks.where("block_idx = 5"), key="doc_id", budget=60)
+    content = lambda d: [(i, t or "") for x, i, t in rows if x == d]
+    assert sorted(map(tuple, got.collect())) == [(d, 5, *B.context_window(content(d), 5, 60)) for d in (1, 2, 3, 4)]
+    over = C.overlapping_chunks(blocks, key="doc_id", order="block_idx", profile=C.Profile(max_tokens=9, overlap_tokens=3, min_tokens=1))
+    want = sum(len(C.fold_chunks([max(1, len(X.PYTHON_TOKEN.findall(t))) for _, t in content(d)], [t for _, t in content(d)], C.Profile(max_tokens=9, overlap_tokens=3, min_tokens=1))) for d in (1, 2, 3, None, 4))
+    assert over.count() == want
+    assert all("FlatMapGroups" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (got, over))
