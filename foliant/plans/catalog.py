@@ -346,9 +346,12 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def route_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    routes = {"dense": _dense(spark, sf).withColumnRenamed("vec_id", "id"), "sparse": _sparse(spark, sf).withColumnRenamed("doc_id", "id")}
-    parts = [R.top(R.fuse({r: routes[r] for r in R.ROUTE_MODES[m]}).select("query_id", "id", F.round("score", 8).alias("score")), 3, tie="id").withColumn("mode", F.lit(m)) for m in ("text", "text-dense-only", "text-sparse-only")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # The routes are planned once: each row has a part from each route, and a mode sums the parts of its own.
+    fused = _fused(spark, sf)
+    modes = ("text", "text-dense-only", "text-sparse-only")
+    by_mode = F.array(*[F.struct(F.lit(m).alias("mode"), sum((F.col(r) for r in R.ROUTE_MODES[m]), F.lit(0.0)).alias("score")) for m in modes])
+    rows = fused.select("query_id", "id", F.inline(by_mode)).where("score > 0").select(F.struct("mode", "query_id").alias("of"), "id", F.round("score", 8).alias("score"))
+    return R.top(rows, 3, by="of", tie="id").select("of.query_id", "id", "score", "rank", "of.mode")
 
 
 @query

@@ -568,3 +568,9 @@ def test_folds_of_documents_are_cut_small(spark, monkeypatch):
     want = sum(len(C.fold_chunks([max(1, len(X.PYTHON_TOKEN.findall(t))) for _, t in content(d)], [t for _, t in content(d)], C.Profile(max_tokens=9, overlap_tokens=3, min_tokens=1))) for d in (1, 2, 3, None, 4))
     assert over.count() == want
     assert all("FlatMapGroups" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (got, over))
+
+
+def test_route_ablation_plans_its_routes_once(spark):
+    plan = QUERIES["route_ablation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # One scan of vectors; of documents their numbers and their scores.
+    assert plan.count("MapInArrow") == 3
